@@ -1,0 +1,5 @@
+"""No streaming operators: every collection this package works on is bounded.
+
+The data model has no event time, watermark or session, so there is nothing to
+express with Structured Streaming.  The folder is kept so that the layout says so.
+"""

@@ -48,6 +48,11 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def _constant_array(values) -> Column:
+    """An array constant written as one text, which the optimiser folds into a literal."""
+    return F.split(F.lit(",".join(str(v) for v in values)), ",")
+
+
 def idiv(a, b) -> Column:
     """Integer division, as a BIGINT."""
     return F.call_function("div", _col(a), _col(b))
@@ -113,7 +118,7 @@ def pitch_class(pitch) -> Column:
 
 def instruments(spark: SparkSession) -> DataFrame:
     """The 129 instruments with their names: a lookup of fixed size."""
-    names = F.array(*[F.lit(n) for n in INSTRUMENT_NAMES])
+    names = F.split(F.lit("|".join(INSTRUMENT_NAMES)), r"\|")
     return spark.range(1).select(F.posexplode(names).alias("instrument", "instrument_name"))
 
 
@@ -125,9 +130,20 @@ def instrument_name(df: DataFrame, column: str = "instrument") -> DataFrame:
 
 # ---- base 36 and tokens (SCL8, SCL9, SCL11) ---------------------------------------------
 
+def _two_digit_texts() -> Column:
+    """Base-36 texts of 0..1295, by rule: first digit, second digit, no leading zero."""
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return _constant_array((a + b).lstrip("0") or "0" for a in digits for b in digits)
+
+
 def itob36(x) -> Column:
-    """SCL8: signed, upper-case base-36 text."""
-    return F.conv(_col(x).cast("string"), 10, -36)
+    """SCL8: signed, upper-case base-36 text.
+
+    Token values are small, so most are looked up instead of converted digit by digit.
+    """
+    x = _col(x)
+    return F.when(x.between(0, 36 * 36 - 1), F.get(_two_digit_texts(), x.cast("int"))).otherwise(
+        F.conv(x.cast("string"), 10, -36))
 
 
 def b36toi(s) -> Column:
@@ -184,7 +200,8 @@ def gcd_upto(a, b, bound: int) -> Column:
     Looks up a table built from the rule, so the expression stays inside generated code.
     """
     a, b = _col(a), _col(b)
-    table = F.lit([gcd(i, j) for j in range(bound + 1) for i in range(bound + 1)])
+    table = _constant_array(
+        gcd(i, j) for j in range(bound + 1) for i in range(bound + 1)).cast("array<int>")
     reduced = F.when(b == 0, F.lit(0)).otherwise(a % F.greatest(b, F.lit(1))).cast("int")
     return F.when(b == 0, a).otherwise(F.get(table, b.cast("int") * (bound + 1) + reduced)).cast("int")
 

@@ -177,6 +177,33 @@ def piece_extent(notes: DataFrame) -> DataFrame:
         F.max("onset").alias("max_onset"))
 
 
+def piece_stats(quantised: DataFrame, p: CorpusParams) -> DataFrame:
+    """AGG31 and FLT4 in one pass over unsplit notes: extents and the rank of corruption.
+
+    The last corpus note in sort order is always the last chunk of some note, so long notes
+    need not be split to find it.  Extents are null where no note is playable.
+    """
+    lo, hi = DRUM_PITCHES
+    playable = ((F.col("start") < F.col("end")) & (F.col("start") >= 0)
+                & (F.col("start") <= EVENT_TIME_LIMIT) & (F.col("end") <= EVENT_TIME_LIMIT)
+                & ((F.col("instrument") != 128) | F.col("pitch").between(lo, hi)))
+    length = F.col("end") - F.col("start")
+    if p.use_cont_note:
+        onset = F.col("start") + S.idiv(length - 1, F.lit(p.max_duration)).cast("int") * p.max_duration
+        duration = F.col("end") - onset
+    else:
+        onset, duration = F.col("start"), F.least(length, F.lit(p.max_duration))
+    place = F.struct(
+        onset.alias("onset"), "track_number", "pitch", duration.alias("duration"),
+        S.quantize_velocity("velocity", p.velocity_step).alias("velocity"))
+    ok = lambda c: F.when(playable, c)
+    return quantised.groupBy("piece_id").agg(
+        F.min(ok(F.col("start"))).alias("first_onset"),
+        F.max_by(onset + duration, ok(place)).alias("last_end"),
+        F.max(ok(onset)).alias("max_onset"),
+        F.min(corruption()).alias("corruption"))
+
+
 def _rejected(df: DataFrame, rank: int) -> DataFrame:
     return df.select("piece_id", F.lit(rank).alias("rank"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from motifmill.functions import scalars as S
 from motifmill.operators.decode import Decoded
 from motifmill.operators.stats import describe, unpivot
+from motifmill.session import stage
 
 SCALARS = ["pitch_class_entropy", "instrumentation_self_similarity", "grooving_self_similarity"]
 
@@ -158,8 +159,8 @@ def measure_pairs(bars: DataFrame) -> DataFrame:
 
 def scalar_features(d: Decoded) -> DataFrame:
     """One row per piece that has notes."""
-    bars = bar_counts(d.notes, d.measures)
-    placed = note_bars(d.notes, d.measures)
+    bars = stage(bar_counts(d.notes, d.measures), "bars")
+    placed = stage(note_bars(d.notes, d.measures), "placed")
     return (pitch_class_entropy(d.notes)
             .join(instrumentation_self_similarity(placed, d.tracks, bars), "piece_id", "left")
             .join(grooving_self_similarity(placed, bars), "piece_id", "left"))

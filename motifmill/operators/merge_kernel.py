@@ -128,9 +128,16 @@ def count_pairs(batches, bounds: ShapeBounds, adjacency: str, gap: int):
         fits = ((bounds.onset[r] * rr + d <= SHAPE_ONSET_LIMIT)
                 & (bounds.onset[l] * lr <= SHAPE_ONSET_LIMIT)
                 & (bounds.duration[l] * lr <= SHAPE_DURATION_LIMIT))
-        keys, counts = np.unique(keys[fits], axis=0, return_counts=True)
-        out = pd.DataFrame(keys, columns=columns)
-        out["n"] = counts
+        # All six numbers fit into one 64-bit word: ids 16 bits each, the rest a byte each.
+        word = np.uint64
+        l, r, lr, rr, d = keys[fits][:, :5].astype(word).T
+        packed = (l << word(48)) | (r << word(32)) | (lr << word(24)) | (rr << word(16)) | (d << word(8)) | (
+            (keys[fits][:, 5] + 128).astype(word))
+        packed, counts = np.unique(packed, return_counts=True)
+        byte = lambda shift: ((packed >> word(shift)) & word(255)).astype(np.int64)
+        out = pd.DataFrame({
+            "l": (packed >> word(48)).astype(np.int64), "r": ((packed >> word(32)) & word(65535)).astype(np.int64),
+            "lr": byte(24), "rr": byte(16), "d": byte(8), "dp": byte(0) - 128, "n": counts})
         total = pd.DataFrame([[-1, -1, 0, 0, 0, 0, n_neighbours], [-2, -2, 0, 0, 0, 0, done]],
                              columns=[*columns, "n"])
         return pd.concat([out, total], ignore_index=True), rows.iloc[done:]

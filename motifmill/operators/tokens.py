@@ -45,24 +45,29 @@ def union_tokens(notes: DataFrame, measures: DataFrame, tempos: DataFrame, p: Co
 def _ordered_body(notes, measures, tempos, p, note_order) -> DataFrame:
     """Body rows with their measure, their local rank and whether a position comes first.
 
-    One shuffle by (piece, block); duplicates, measures, positions and ranks all use it.
+    One shuffle by (piece, block) and one sort; duplicates (neighbours in that order), measures,
+    positions and ranks all use it.
     """
-    rows = (union_tokens(notes, measures, tempos, p)
-            .repartition("piece_id", "blk").dropDuplicates())
+    for name in ("shape", "k"):
+        if name not in notes.columns:
+            notes = notes.withColumn(name, F.lit(None).cast("string" if name == "shape" else "int"))
+    rows = union_tokens(notes, measures, tempos, p)
     w = Window.partitionBy("piece_id", "blk").orderBy("onset", "prio", *note_order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     copy = F.coalesce("copy", F.lit(False))
     timed = F.col("prio") > S.PRIORITY["M"]
-    before = F.lag(F.struct("onset", "prio")).over(w)
+    place = F.struct("onset", "prio", *note_order)
+    before = F.lag(place).over(w)
+    twin = (F.col("prio") == S.PRIORITY["N"]) & before.eqNullSafe(place)
     covered = F.coalesce((before["onset"] == F.col("onset")) & (before["prio"] > S.PRIORITY["M"]),
                          F.lit(False))
     return (rows.withColumns({
                 "measure_onset": F.last(F.when(~timed, F.col("onset")), True).over(upto),
-                "needs_position": timed & ~covered})
-            .withColumn("rank", F.sum(F.when(copy, 0).otherwise(
+                "dropped": copy | twin, "needs_position": timed & ~covered})
+            .withColumn("rank", F.sum(F.when(F.col("dropped"), 0).otherwise(
                 1 + F.col("needs_position").cast("int"))).over(upto))
             # Rows of rejected pieces have no measure.
-            .filter(~copy & F.col("measure_onset").isNotNull())
+            .filter(~F.col("dropped") & F.col("measure_onset").isNotNull())
             .withColumn("position", F.col("onset") - F.col("measure_onset")))
 
 
@@ -71,54 +76,69 @@ def head_tokens(tracks: DataFrame) -> DataFrame:
     return tracks.select("piece_id", "track_number", "instrument").distinct()
 
 
-def order_tokens(notes: DataFrame, measures: DataFrame, tempos: DataFrame, tracks: DataFrame,
-                 p: CorpusParams, note_order: list[str] = NOTE_ORDER) -> DataFrame:
-    """WIN5, WIN7, SNK4: the full token sequence of every piece that has measures.
+def order_blocks(notes: DataFrame, measures: DataFrame, tempos: DataFrame, p: CorpusParams,
+                 note_order: list[str] = NOTE_ORDER) -> DataFrame:
+    """WIN5, WIN7: body tokens with their time block ``blk`` and their ``rank`` within it.
 
     ``note_order`` is the order among the notes of one onset: by value for plain notes, by
-    track and rank within the track for multi-notes (K3).
+    track and rank within the track for multi-notes (K3).  Pieces without measures drop out.
     """
-    for name in ("shape", "k"):
-        if name not in notes.columns:
-            notes = notes.withColumn(name, F.lit(None).cast("string" if name == "shape" else "int"))
     body = _ordered_body(notes, measures, tempos, p, note_order)
-
     kind = (F.when(F.col("prio") == S.PRIORITY["M"], "M").when(F.col("prio") == S.PRIORITY["T"], "T")
             .when(F.col("shape").isNotNull(), "U").otherwise("N"))
-    row = _token(kind, onset="onset", track_number="track_number", numer="numer", denom="denom",
-                 bpm="bpm", shape="shape", pitch="pitch", duration="duration",
-                 velocity="velocity", is_cont="is_cont")
-    position = _token("P", onset="onset", position="position")
-    emitted = body.select(
-        "piece_id", "blk", "rank",
-        F.posexplode(F.when(F.col("needs_position"), F.array(position, row)).otherwise(F.array(row)))
-        .alias("_i", "t"), F.col("needs_position").cast("int").alias("_two"))
-    local = emitted.select("piece_id", "blk", (F.col("rank") - F.col("_two") + F.col("_i")).alias("rank"), "t.*")
-
-    sizes = body.groupBy("piece_id", "blk").agg(F.max("rank").alias("n"))
+    first = F.when(F.col("needs_position"), F.array(F.lit(True), F.lit(False))).otherwise(
+        F.array(F.lit(False)))
+    doubled = body.withColumn("is_position", F.explode(first))
+    own = lambda c: F.when(~F.col("is_position"), F.col(c)).cast(FIELDS[c]).alias(c)
+    local = doubled.select(
+        "piece_id", "blk", (F.col("rank") - F.col("is_position").cast("int")).alias("rank"),
+        F.when(F.col("is_position"), "P").otherwise(kind).alias("type"),
+        F.col("onset").cast("int").alias("onset"), own("track_number"),
+        F.lit(None).cast("int").alias("instrument"), own("numer"), own("denom"),
+        F.when(F.col("is_position"), F.col("position")).cast("int").alias("position"), own("bpm"),
+        own("shape"), own("pitch"), own("duration"), own("velocity"), own("is_cont"))
+    return local.withColumn("text", S.format_token())
+
+
+def number_tokens(blocks: DataFrame, tracks: DataFrame) -> DataFrame:
+    """WIN7: head, body and end of every piece in one sequence.
+
+    ``blocks`` (from ``order_blocks``) is read three times and should be a stored table; only
+    the number of tokens per block is scanned per piece.
+    """
+    sizes = blocks.groupBy("piece_id", "blk").agg(F.max("rank").alias("n"))
     heads = head_tokens(tracks)
     n_tracks = heads.groupBy("piece_id").agg(F.count("*").alias("n_tracks"))
     by_block = Window.partitionBy("piece_id").orderBy("blk")
     offsets = sizes.join(n_tracks, "piece_id").select(
-        "piece_id", "blk", "n_tracks", "n",
+        "piece_id", "blk",
         (F.col("n_tracks") + 1 + F.sum("n").over(by_block.rowsBetween(Window.unboundedPreceding, 0))
          - F.col("n")).alias("offset"))
-    placed = local.join(offsets.select("piece_id", "blk", "offset"), ["piece_id", "blk"]).withColumn(
-        "seq", (F.col("offset") + F.col("rank")).cast("int")).drop("blk", "rank", "offset")
-
-    piece_ends = offsets.groupBy("piece_id").agg(
-        F.max("n_tracks").alias("n_tracks"), F.max(F.col("offset") + F.col("n")).alias("end"))
-    edges = piece_ends.select("piece_id", F.explode(F.array(
-        F.struct(F.lit(0).cast("int").alias("seq"), _token("BOS").alias("t")),
-        F.struct((F.col("n_tracks") + 1).cast("int").alias("seq"), _token("SEP").alias("t")),
-        F.struct((F.col("end") + 1).cast("int").alias("seq"), _token("EOS").alias("t")),
-    )).alias("e")).select("piece_id", "e.seq", "e.t.*")
-    track_rows = heads.join(piece_ends.select("piece_id"), "piece_id", "left_semi").select(
-        "piece_id", (F.col("track_number") + 1).cast("int").alias("seq"),
-        _token("R", track_number="track_number", instrument="instrument").alias("t"),
-    ).select("piece_id", "seq", "t.*")
-    tokens = placed.unionByName(edges).unionByName(track_rows)
-    return tokens.withColumn("text", S.format_token()).select(*TOKEN_COLUMNS)
+    placed = blocks.join(offsets, ["piece_id", "blk"]).withColumn(
+        "seq", (F.col("offset") + F.col("rank")).cast("int")).select(*TOKEN_COLUMNS)
+
+    lengths = sizes.groupBy("piece_id").agg(F.sum("n").alias("n"))
+    at = lambda seq, token: F.struct(seq.cast("int").alias("seq"), token.alias("t"))
+    edges = lengths.join(n_tracks, "piece_id").select("piece_id", F.explode(F.array(
+        at(F.lit(0), _token("BOS")), at(F.col("n_tracks") + 1, _token("SEP")),
+        at(F.col("n_tracks") + F.col("n") + 2, _token("EOS")))).alias("e"))
+    track_rows = heads.join(lengths, "piece_id", "left_semi").select(
+        "piece_id", at(F.col("track_number") + 1, _token(
+            "R", track_number="track_number", instrument="instrument")).alias("e"))
+    rest = (edges.unionByName(track_rows).select("piece_id", "e.seq", "e.t.*")
+            .withColumn("text", S.format_token()).select(*TOKEN_COLUMNS))
+    return placed.unionByName(rest)
+
+
+def join_blocks(blocks: DataFrame, tracks: DataFrame) -> DataFrame:
+    """SNK1 straight from blocks: the text of each piece, without numbering its tokens."""
+    body = (blocks.groupBy("piece_id", "blk").agg(_in_order("rank", "text").alias("text"))
+            .groupBy("piece_id").agg(_in_order("blk", "text").alias("text")))
+    track = F.concat(F.lit("R"), S.itob36("instrument"), F.lit(":"), S.itob36("track_number"))
+    heads = (head_tokens(tracks).withColumn("track_text", track)
+             .groupBy("piece_id").agg(_in_order("track_number", "track_text").alias("head")))
+    return heads.join(body, "piece_id").select("piece_id", F.concat_ws(
+        " ", F.lit("BOS"), "head", F.lit("SEP"), "text", F.lit("EOS")).alias("text"))
 
 
 def position_tokens(notes, measures, tempos, p: CorpusParams) -> DataFrame:
@@ -129,19 +149,20 @@ def position_tokens(notes, measures, tempos, p: CorpusParams) -> DataFrame:
 
 # ---- text -------------------------------------------------------------------------------
 
+def _in_order(key: str, value: str) -> Column:
+    pairs = F.array_sort(F.collect_list(F.struct(key, value)))
+    return F.array_join(F.transform(pairs, lambda s: s[value]), " ")
+
+
 def join_text(tokens: DataFrame) -> DataFrame:
     """ARR1, SNK1: one line per piece.
 
     Blocks of the sequence are joined first, so that only block texts meet per piece; a line
     per piece is what the text format asks for.
     """
-    def ordered(key, value):
-        pairs = F.array_sort(F.collect_list(F.struct(key, value)))
-        return F.array_join(F.transform(pairs, lambda s: s[value]), " ")
-
     blocks = (tokens.withColumn("_block", token_block())
-              .groupBy("piece_id", "_block").agg(ordered("seq", "text").alias("text")))
-    return blocks.groupBy("piece_id").agg(ordered("_block", "text").alias("text"))
+              .groupBy("piece_id", "_block").agg(_in_order("seq", "text").alias("text")))
+    return blocks.groupBy("piece_id").agg(_in_order("_block", "text").alias("text"))
 
 
 def explode_text(corpus: DataFrame) -> DataFrame:

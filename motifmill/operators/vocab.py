@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motifmill.functions import scalars as S
-from motifmill.functions.scan import running, token_block
+from motifmill.functions.scan import token_block
 from motifmill.operators.stats import supported_used
 from motifmill.params import CorpusParams
 
@@ -63,16 +63,36 @@ def vocab_summary(vocab: DataFrame) -> DataFrame:
 
 
 def mps_numbers(tokens: DataFrame) -> DataFrame:
-    """WIN9: add ``mps``, the number of the maximal permutable run a token belongs to."""
+    """WIN9: add ``mps``, the number of the maximal permutable run a token belongs to.
+
+    A note opens a run unless a note stands before it, and whatever follows BOS opens one.
+    Blocks are numbered on their own; what the first token of a block owes to the token
+    before it is settled in the one-row-per-block summary.
+    """
     kind = F.col("type")
-    with_before = running(tokens, ["piece_id"], ["seq"], token_block(), previous={"_before": kind})
-    follows_note = F.coalesce(F.col("_before").isin("N", "U", "R"), F.lit(False))
-    step = (F.when(kind == "R", 0).when(kind.isin("N", "U"), (~follows_note).cast("int")).otherwise(1)
-            # BOS stands alone: whatever follows starts the next run.
-            + (F.col("_before") == "BOS").cast("int"))
-    stepped = with_before.withColumn("_step", F.coalesce(step, F.lit(1)))
-    numbered = running(stepped, ["piece_id"], ["seq"], token_block(), sums={"mps": F.col("_step")})
-    return numbered.withColumn("mps", F.col("mps").cast("int")).drop("_before", "_step")
+    notes = ("N", "U", "R")
+    base = tokens.withColumn("_block", token_block())
+    inside = Window.partitionBy("piece_id", "_block").orderBy("seq")
+    before = F.lag("type").over(inside)
+    own = F.when(kind == "R", 0).otherwise(1)
+    step = (F.when(kind.isin("N", "U") & F.coalesce(before.isin(*notes), F.lit(False)), 0).otherwise(own)
+            + F.coalesce((before == "BOS").cast("int"), F.lit(0)))
+    stepped = base.withColumn("_step", step)
+    local = stepped.withColumn("_local", F.sum("_step").over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    summary = stepped.groupBy("piece_id", "_block").agg(
+        F.sum("_step").alias("total"), F.min_by("type", "seq").alias("opens"),
+        F.max_by("type", "seq").alias("closes"))
+    blocks = Window.partitionBy("piece_id").orderBy("_block")
+    closed = F.lag("closes").over(blocks)
+    owed = (F.when(F.col("opens").isin("N", "U") & closed.isin(*notes), -1).otherwise(0)
+            + F.coalesce((closed == "BOS").cast("int"), F.lit(0)))
+    carried = summary.withColumn("_owed", owed).withColumn("_carry", F.coalesce(
+        F.sum(F.col("total") + F.col("_owed")).over(blocks.rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)) + F.col("_owed")).select("piece_id", "_block", "_carry")
+    return local.join(carried, ["piece_id", "_block"]).select(
+        *tokens.columns, (F.col("_local") + F.col("_carry")).cast("int").alias("mps"))
 
 
 def _attribute_texts() -> dict[str, Column]:

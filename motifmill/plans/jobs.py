@@ -42,9 +42,13 @@ class CorpusBuild:
         """Notes of the corpus before duplicates and rejected pieces are removed."""
         return C.note_chunks(self.quantised, self.p)
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stage(C.piece_stats(self.quantised, self.p), "stats")
+
     @cached_property
     def extent(self) -> DataFrame:
-        return stage(C.piece_extent(self.chunks), "extent")
+        return self.stats.filter("first_onset is not null").drop("corruption")
 
     @cached_property
     def time_sigs(self) -> DataFrame:
@@ -74,7 +78,7 @@ class CorpusBuild:
         rules = [
             C.reject_no_tracks(self.raw),
             C.reject_track_limit(self.track_map),
-            C.reject_corrupt(self.quantised),
+            self.stats.filter("corruption is not null").selectExpr("piece_id", "corruption as rank"),
             C.reject_no_notes(self.raw, self.extent),
             C.reject_no_time_signature(self.extent, self.time_sigs),
             C.reject_unsupported(self.time_sigs),
@@ -111,13 +115,18 @@ class CorpusBuild:
         return C.dedup_notes(self.chunks).join(self.rejects, "piece_id", "left_anti")
 
     @cached_property
-    def tokens(self) -> DataFrame:
+    def blocks(self) -> DataFrame:
         # Rejected pieces lose their notes because they bring no measures.
-        return K.order_tokens(self.chunks, self.measures, self.tempos, self.tracks, self.p)
+        return K.order_blocks(self.chunks, self.measures, self.tempos, self.p)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        self.blocks = stage(self.blocks, "blocks")
+        return K.number_tokens(self.blocks, self.tracks)
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return K.join_text(self.tokens)
+        return K.join_blocks(self.blocks, self.tracks)
 
 
 def build_corpus(raw: RawTables, p: CorpusParams) -> CorpusBuild:
@@ -183,8 +192,9 @@ def merged_tokens(multi_notes: DataFrame, shapes: DataFrame, timed: DataFrame, p
     measures = stage(K.token_measures(timed, p.tpq), "measures")
     tempos = timed.filter("type = 'T'").select("piece_id", "onset", "bpm")
     tracks = timed.filter("type = 'R'").select("piece_id", "track_number", "instrument")
-    notes = stage(B.as_note_rows(multi_notes, shapes), "merged_notes")
-    return K.order_tokens(notes, measures, tempos, tracks, p, K.MULTI_NOTE_ORDER)
+    notes = B.as_note_rows(multi_notes, shapes)
+    blocks = stage(K.order_blocks(notes, measures, tempos, p, K.MULTI_NOTE_ORDER), "blocks")
+    return K.number_tokens(blocks, tracks)
 
 
 def primer_tokens(tokens: DataFrame, length: int, unit: str, p: CorpusParams,

@@ -242,8 +242,9 @@ def normal_overlap(pred: DataFrame, true: DataFrame) -> DataFrame:
     """AGG17: overlapping area of the two fitted normals; on one row per feature."""
     a = normal_moments(pred)
     b = normal_moments(true).toDF("feature", "mean2", "std2")
-    return a.join(b, "feature").select(
-        "feature", _overlap("mean", "std", "mean2", "std2").alias("oa"))
+    # Arrow hands an undefined overlap back as null.
+    area = F.coalesce(_overlap("mean", "std", "mean2", "std2"), F.lit(float("nan")))
+    return a.join(b, "feature").select("feature", area.alias("oa"))
 
 
 def histogram_intersection(aligned: DataFrame) -> DataFrame:

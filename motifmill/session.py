@@ -60,6 +60,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     is read column by column, and has a known size, by which Catalyst decides on broadcasts.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{_stages_of(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _stages_of(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's staged tables, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_stages_of(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

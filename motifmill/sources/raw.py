@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from motifmill.session import stage
 
 
 def _schema(ddl: str) -> T.StructType:
@@ -50,11 +52,17 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 def number_paths(paths: DataFrame) -> DataFrame:
     """TOP5: ``piece_id`` is the rank of the path.
 
-    ``zipWithIndex`` after a range sort numbers rows in order without one big window.
+    A range sort, ranks within each partition, and the partitions' sizes added up: no window
+    over all paths.
     """
-    ordered = paths.select("path").orderBy("path")
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("piece_id", T.LongType())])
-    return ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(schema)
+    ordered = stage(paths.select("path").orderBy("path").withColumns({
+        "part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "paths")
+    parts = ordered.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # One row per partition of the sort.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return ordered.join(F.broadcast(offsets), "part").select(
+        "path", (F.col("place") - F.col("first") + F.col("offset")).alias("piece_id"))
 
 
 def read_notes(spark: SparkSession, folder: str) -> RawTables:

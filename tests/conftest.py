@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from motifmill.session import local_session  # noqa: E402
+from motifmill.session import local_session, stage  # noqa: E402
 from motifmill.sources import raw as R  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -13,7 +13,10 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("*", 8, app="tests", **{"spark.driver.memory": "4g"})
+    # Tiny tables: compiling code for them costs more than it saves.
+    return local_session("*", 4, app="tests", **{
+        "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.parquet.compression.codec": "uncompressed"})
 
 
 @pytest.fixture(scope="session")
@@ -28,7 +31,7 @@ def make_raw(spark):
         """``notes``: (piece, track, start, end, pitch, velocity); changes: (piece, time, ...)."""
         pieces = sorted({n[0] for n in notes} | {t[0] for t in time_sigs} | {t[0] for t in (tracks or [])})
         tracks = tracks or sorted({(n[0], n[1], 0, False) for n in notes})
-        frame = lambda rows, name: spark.createDataFrame(list(rows), R.SCHEMAS[name])
+        frame = lambda rows, name: stage(spark.createDataFrame(list(rows), R.SCHEMAS[name]).coalesce(1))
         numbered = lambda rows: [(r[0], i, *r[1:]) for i, r in enumerate(rows)]
         return R.RawTables(
             frame([(p, f"a/{p}.mid", beat) for p in pieces], "pieces"), frame(tracks, "raw_tracks"),

@@ -161,15 +161,25 @@ def shape_counts_from_pairs(pairs: DataFrame, shapes: DataFrame, adjacency: str,
     return named_counts(keys, lookup)
 
 
-def named_counts(keys: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Counts of reduced pairs to counts of shapes; pairs that overflow are gone (SCL18)."""
-    left = F.broadcast(lookup.toDF("l", "left_shape"))
+def _name_pairs(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Reduced pairs summed by the shape they make; ``code`` keeps the totals of ``count_pairs``.
+
+    One frame for both, so that the pass over the notes runs once.
+    """
+    left = F.broadcast(lookup.toDF("l", "left_shape"))  # at most 2**16 rows, by their id type
     right = F.broadcast(lookup.toDF("r", "right_shape"))
     joined = S.join_shapes("left_shape", "right_shape", "lr", "rr", "d", "dp")
     fits = F.forall("shape", lambda m: m["rel_onset"] <= SHAPE_ONSET_LIMIT)
-    return (keys.join(left, "l").join(right, "r").withColumn("shape", joined).filter(fits)
-            .groupBy("shape").agg(F.sum("n").alias("n"))
-            .select(S.format_shape("shape").alias("text"), "shape", "n"))
+    return (keys.join(left, "l", "left").join(right, "r", "left").withColumn("shape", joined)
+            .filter((F.col("l") < 0) | fits)
+            .groupBy("shape", F.when(F.col("l") < 0, F.col("l")).alias("code"))
+            .agg(F.sum("n").alias("n")))
+
+
+def named_counts(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Counts of reduced pairs to counts of shapes; pairs that overflow are gone (SCL18)."""
+    return _name_pairs(keys, lookup).filter("code is null").select(
+        S.format_shape("shape").alias("text"), "shape", "n")
 
 
 def _byte_order(shape="shape") -> Column:
@@ -265,17 +275,14 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams) -> Learned:
         sample = keep_sampled_pieces(state, b.sampling_rate, b.seed, iteration)
         keys = score_shapes(sample, shapes, b.adjacency, tpq)
         lookup = shapes_frame(spark, shapes).select("shape_id", "shape")
-        counts = named_counts(keys.filter("l >= 0"), lookup)
-        totals = keys.filter("l < 0").select(F.col("l").cast("string").alias("text"),
-                                             F.lit(None).cast(S.SHAPE_TYPE).alias("shape"), "n")
-        ranked = counts.unionByName(totals).agg(
-            F.max(F.when(F.col("shape").isNotNull(), F.col("n"))).alias("score"),
-            F.count_if(F.col("shape").isNotNull()).alias("n_shapes"),
-            F.max(F.when(F.col("text") == "-1", F.col("n"))).alias("n_neighbours"),
-            F.max(F.when(F.col("text") == "-2", F.col("n"))).alias("n_rows"),
-            F.min(F.when(F.col("shape").isNotNull(), F.struct(-F.col("n"), _byte_order(), "text"))
-                  ).alias("best"),
-        ).select("score", "n_shapes", "n_neighbours", "n_rows", "best.text").first()
+        shape = F.col("code").isNull()
+        total = lambda code: F.max(F.when(F.col("code") == code, F.col("n")))
+        ranked = _name_pairs(keys, lookup).agg(
+            F.max(F.when(shape, F.col("n"))).alias("score"), F.count_if(shape).alias("n_shapes"),
+            total(-1).alias("n_neighbours"), total(-2).alias("n_rows"),
+            F.min(F.when(shape, F.struct(-F.col("n"), _byte_order(), "shape"))).alias("best"),
+        ).select("score", "n_shapes", "n_neighbours", "n_rows",
+                 S.format_shape("best.shape").alias("text")).first()
         if ranked["score"] is None or ranked["score"] <= b.min_score:
             break
         new_shape = shape_tuple(ranked["text"])

@@ -344,13 +344,13 @@ query("flt03_playable_notes", "piece_id track_number start end pitch velocity",
       lambda w: C.keep_playable_notes(w.build().quantised),
       """select piece_id, track_number, s as "start", e as "end", pitch, velocity from quant
          where s >= 0 and s <= 131071 and e <= 131071 and (instrument <> 128 or pitch between 35 and 81)""")
-FINE = CORPUS.with_(tpq=1536)
+FINE = CORPUS.with_(tpq=4096)
 query("flt04_corrupt_pieces", "piece_id rank",
       lambda w: C.reject_corrupt(C.requantize_notes(
           w.raw.notes.filter("end_tick > start_tick").join(w.raw.pieces, "piece_id"), FINE)),
       f"""select piece_id, min(rank) as rank from (
             select piece_id, case when s > 262143 and e > 262143 then 3 when e - s > 16383 then 4 end as rank
-            from (select n.piece_id, {O.quantise('start_tick', 1536)} as s, {O.quantise('end_tick', 1536)} as e
+            from (select n.piece_id, {O.quantise("start_tick", 4096)} as s, {O.quantise("end_tick", 4096)} as e
                   from raw_notes n join pieces f on n.piece_id = f.piece_id where end_tick > start_tick))
           where rank is not null group by piece_id""")
 query("flt05_flt11_rejects", "piece_id rank reason:s", lambda w: w.build().rejects, "select * from rejects")
@@ -525,13 +525,13 @@ query("jon09_compare_coarse", "piece_id reason:s",
 query("jon09_compare_chunking", "piece_id reason:s",
       lambda w: Y.compare_corpora(w.decoded, w.decoded_of(SHORT)), _all_diffs("sh_"), O.corpus_ctes("sh_", SHORT))
 query("set04_note_set_diff", "piece_id track_number at pitch velocity side edge:s",
-      lambda w: Y.note_set_diff(w.decoded.notes, w.decoded_of(SHORT).notes),
+      lambda w: Y.note_set_diff(w.decoded.notes, w.decoded_of(COARSE).notes),
       " union all ".join(
           f"""select piece_id, track_number, "{e}" as at, pitch, velocity, {sign} as side, '{e}' as edge from (
                 select piece_id, track_number, "{e}", pitch, velocity from {a}
                 except select piece_id, track_number, "{e}", pitch, velocity from {b})"""
-          for e in ("start", "end") for sign, a, b in ((1, "decoded", "sh_decoded"), (-1, "sh_decoded", "decoded"))),
-      O.corpus_ctes("sh_", SHORT))
+          for e in ("start", "end") for sign, a, b in ((1, "decoded", "co_decoded"), (-1, "co_decoded", "decoded"))),
+      O.corpus_ctes("co_", COARSE))
 
 
 def _scrambled(w: Workspace) -> DataFrame:

@@ -385,3 +385,37 @@ def test_permutations_keep_contents(spark, folder):
     pairs = tracks.withColumnRenamed("trn", "new").join(ex.select(*key, "pos", "trn"), [*key, "pos"])
     per = pairs.groupBy(*key, "trn").agg(F.countDistinct("new").alias("n"), F.min("new").alias("lo"))
     assert per.filter("n != 1 or (trn = 0) != (lo = 0)").isEmpty()
+
+
+def test_text_sinks(spark, tmp_path):
+    corpus = spark.createDataFrame([(2, "BOS c"), (0, "BOS a"), (1, "BOS b")], "piece_id bigint, text string")
+    Z.write_corpus_lines(corpus, str(tmp_path))
+    assert [r.value for r in spark.read.text(f"{tmp_path}/corpus_lines").orderBy("value").collect()] == [
+        "BOS a", "BOS b", "BOS c"]
+    Z.write_corpus(corpus.union(spark.createDataFrame([(3, "junk")], corpus.schema)), str(tmp_path))
+    assert Z.read_corpus(spark, str(tmp_path)).count() == 3
+    with pytest.raises(IndexError):
+        Z.get_piece(corpus, 9)
+    assert rows(Z.extract(corpus, "-1", 3), "text") == [("BOS c",)]
+    pieces = spark.createDataFrame([(1, "b.mid"), (0, "a.mid")], "piece_id bigint, path string")
+    Z.write_pathlist(pieces, str(tmp_path))
+    assert rows(R.read_pathlist(spark, f"{tmp_path}/pathlist"), "path") == [("a.mid",), ("b.mid",)]
+    assert Z.corpus_len(pieces) == 2
+    stats = T.describe(spark.createDataFrame([("a", 1.0), ("a", 3.0)], "name string, value double"))
+    Z.write_stats(stats, f"{tmp_path}/stats")
+    assert spark.read.json(f"{tmp_path}/stats").first()["50%"] == 2.0
+
+
+def test_checkpoint_folder_of_the_session_is_used(spark):
+    from motifmill.session import ensure_checkpoint_dir, stage
+
+    staged = stage(spark.range(3), "three")
+    assert all(ensure_checkpoint_dir(spark).split(":")[-1] in f for f in staged.inputFiles())
+
+
+def test_evaluating_a_collection_against_itself(spark):
+    h = spark.createDataFrame(
+        [(p, f, str(b), b + p) for p in (1, 2) for f in ("pitch_histogram", "velocity_histogram") for b in (3, 4, 5)],
+        "piece_id bigint, feature string, bin string, n bigint")
+    for r in J.evaluate(h, h).collect():
+        assert (r.kld, r.hi) == (pytest.approx(0.0), pytest.approx(1.0)) and r.oa == pytest.approx(1.0)

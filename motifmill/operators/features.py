@@ -1,4 +1,4 @@
-"""Evaluation features of pieces and of collections (AGG9-19, AGG25-26, AGG29, JON10-11)."""
+"""Evaluation features of pieces and of collections (AGG9-19, AGG25-26, AGG29, JON10)."""
 
 from __future__ import annotations
 
@@ -150,13 +150,6 @@ def programs_present(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("piece_id").agg(F.countDistinct("instrument").alias("n_programs"))
 
 
-def measure_pairs(bars: DataFrame) -> DataFrame:
-    """JON11: all pairs of bars; only to test the closed form on small pieces."""
-    a, b = bars.alias("a"), bars.alias("b")
-    return a.join(b, (F.col("a.piece_id") == F.col("b.piece_id")) & (F.col("a.bar") < F.col("b.bar"))
-                  ).select("a.piece_id", F.col("a.bar").alias("bar_a"), F.col("b.bar").alias("bar_b"))
-
-
 def scalar_features(d: Decoded) -> DataFrame:
     """One row per piece that has notes."""
     bars = stage(bar_counts(d.notes, d.measures), "bars")

@@ -410,7 +410,12 @@ query("flt06_track_limit", "piece_id rank",
 query("flt15_filter_failed", "piece_id path:s",
       lambda w: J.filter_failed(w.raw.pieces, w.build().rejects),
       "select piece_id, path from pieces where piece_id not in (select piece_id from rejects)")
-query("flt16_flt18_sampled_multi_notes", MN_SPEC,
+query("flt16_notes_in_pitch_range", "piece_id track_number pitch onset",
+      lambda w: D.drop_out_of_range_notes(
+          w.multi_notes.withColumn("pitch", F.col("pitch") + F.col("velocity") - 40)),
+      """select piece_id, track_number, pitch + velocity - 40 as pitch, onset from mn
+         where pitch + velocity - 40 between 0 and 127""")
+query("flt18_sampled_multi_notes", MN_SPEC,
       lambda w: B.keep_sampled_pieces(w.multi_notes, 0.5, 7, 0))
 query("agg31_piece_extent", "piece_id first_onset last_end max_onset", lambda w: w.build().extent,
       "select * from extent")

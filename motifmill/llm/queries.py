@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import suffix_dedup
+from motifmill.llm import ngram_join, suffix_dedup
 from motifmill.llm.tables import documents
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share 85 % of their distinct four-word shingles, as components."""
+    return ngram_join.near_duplicates(documents(spark, folder), width=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes that repeat an earlier string of 100 bytes, removed."""
     return suffix_dedup.remove_repeats(documents(spark, folder), as_text=False).select(
@@ -15,7 +21,7 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -110,9 +110,9 @@ def shingles_of(hashes: np.ndarray, width: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     if len(hashes) < width:
-        seed = np.uint64(len(hashes))
-        for h in hashes:
-            seed = mix(np.array([seed * np.uint64(3) + h], np.uint64))[0]
+        seed = len(hashes)
+        for h in hashes.tolist():
+            seed = int(mix(np.array([(seed * 3 + h) & _MASK], np.uint64))[0])
         return np.array([seed], np.uint64)
     n = len(hashes) - width + 1
     total = np.zeros(n, np.uint64)

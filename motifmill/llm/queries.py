@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import ngram_join, suffix_dedup
+from motifmill.llm import bpe_automaton, ngram_join, suffix_dedup, token_files
 from motifmill.llm.tables import documents
 
 
@@ -20,8 +20,31 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def vocabulary() -> str:
+    """Where the vocabulary file of the byte-level queries is, on the driver and the executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of whole texts and the texts decoded from them."""
+    return bpe_automaton.encode_decode(documents(spark, folder), vocabulary(), with_ids=False)
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids written as binary files and read back."""
+    place = token_files.scratch_folder(spark)
+    token_files.write_tokens(documents(spark, folder), place, vocabulary(), end_id=2, vocabulary=50257)
+    return token_files.read_tokens(spark, place).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op4_suffix_dedup)}
+    return {f.__name__: f for f in (
+        op1_ngram_join,
+        op4_suffix_dedup,
+        op6_bpe,
+        op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,3 +39,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     numbered = stage(numbered, "keys").withColumnRenamed("h", "g").withColumnRenamed("none", "m")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("none") == F.col("m"))
     return docs.join(numbered, same).select("key", "doc_id", "text")
+
+
+def range_bounds(docs: DataFrame, n: int) -> list[int]:
+    """At most n - 1 doc_ids that cut the documents into parts of about the same number."""
+    if n < 2:
+        return []
+    found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.1 / n)
+    return sorted({int(x) for x in found})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import bpe_automaton, ngram_join, suffix_dedup, token_files
+from motifmill.llm import bpe_automaton, fingerprints, license_scan, ngram_join, suffix_dedup, token_files
 from motifmill.llm.tables import documents
 
 
@@ -39,10 +39,22 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, place).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Bottom-k sketches of texts, of their edited texts, and their likeness."""
+    return fingerprints.compare_edited(documents(spark, folder))
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices in whole texts."""
+    return license_scan.summary(documents(spark, folder))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join,
+        op3_fingerprints,
         op4_suffix_dedup,
+        op5_license_scan,
         op6_bpe,
         op8_token_files)}
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.graph import components
 from motifmill.llm.tables import keyed, parts
-from motifmill.llm.text import mix, shingles_of, texts_of, word_hashes
+from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, word_hashes
 from motifmill.session import ship_package, stage
 
 #: A column is busy from so many rows on, or from a power of two more if over BUSY would be.
@@ -51,9 +51,10 @@ def needed_overlap(a, b, percent: int):
 def _sets(batch, width):
     """(row, sorted n-gram hashes) of a batch."""
     data, offsets = texts_of(batch.column("text"))
-    hashes, first = word_hashes(data, offsets)
-    for i in range(len(first) - 1):
-        yield i, shingles_of(hashes[first[i]: first[i + 1]], width)
+    for i, j in ranges_of(offsets, 4 * STEP):
+        hashes, first = word_hashes(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+        for k in range(j - i):
+            yield i + k, shingles_of(hashes[first[k]: first[k + 1]], width)
 
 
 def _digest(grams: np.ndarray) -> bytes:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import bpe_automaton, fingerprints, license_scan, ngram_join, suffix_dedup, token_files
-from motifmill.llm.tables import documents
+from motifmill.llm import bpe_automaton, decontaminate, fingerprints, language, license_scan, ngram_join, quality, suffix_dedup, token_files
+from motifmill.llm.tables import documents, texts
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,14 +49,42 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(documents(spark, folder))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a tenth of it edited."""
+    return decontaminate.find_items(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of label 1 for whole texts; a fifth of the labels is held out."""
+    docs = texts(documents(spark, folder))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    network = quality.learn(docs, labels, held_out=held_out)
+    return quality.score(docs, network).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of whole texts; a quarter of the documents is held out from learning."""
+    docs = documents(spark, folder)
+    held_out = quality.remainder(F.col("doc_id"), 4) == 2
+    model = language.learn(docs, held_out)
+    return language.predict(docs, model, reject=False).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join,
+        op2_decontaminate,
         op3_fingerprints,
         op4_suffix_dedup,
         op5_license_scan,
         op6_bpe,
-        op8_token_files)}
+        op7_quality,
+        op8_token_files,
+        op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

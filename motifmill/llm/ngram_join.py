@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.graph import components
-from motifmill.llm.tables import keyed, parts
+from motifmill.llm.tables import keyed, parts, with_key
 from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, word_hashes
 from motifmill.session import ship_package, stage
 
@@ -382,3 +382,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     ship_package(docs.sparkSession)
     return _Join(keyed(docs), width, percent).run()
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a row with a smaller doc_id, with all their columns.
+
+    Of rows with one doc_id and equal texts one stays; rows with empty texts all stay.
+    """
+    rows, key = with_key(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width, percent)
+    first = stage(found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)), "first")
+    return rows.join(first, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

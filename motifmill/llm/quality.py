@@ -246,3 +246,15 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, network: Network, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text has a probability of ``least`` or more, with all their columns."""
+    ship_package(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.value.scores(*texts_of(batch.column("text"))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import bpe_automaton, decontaminate, fingerprints, language, license_scan, ngram_join, quality, suffix_dedup, token_files
+from motifmill.llm import bpe_automaton, decontaminate, fingerprints, html_template, language, license_scan, ngram_join, quality, suffix_dedup, token_files
 from motifmill.llm.tables import documents, texts
 
 
@@ -74,6 +74,11 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of whole web pages."""
+    return html_template.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join,
@@ -84,6 +89,7 @@ def queries() -> dict:
         op6_bpe,
         op7_quality,
         op8_token_files,
+        op9_html,
         op10_language)}
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from motifmill.llm.tables import keyed, parts
+from motifmill.llm.tables import keyed, parts, with_key
 from motifmill.llm.text import STEP, Rolling, mix, ranges_of, texts_of
 from motifmill.session import ship_package, stage
 
@@ -326,3 +326,31 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
     return rows.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(
         lambda b: _remove(b, length, as_text),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+
+
+def without_repeats(docs: DataFrame, length: int = 100, trigger: int = 32) -> DataFrame:
+    """``docs`` with all rows and columns; ``text`` without what repeats an earlier string, ``n_chars`` (if there) counted anew."""
+    ship_package(docs.sparkSession)
+    rows, key = with_key(docs)
+    runs = (repeated_windows(rows.select(F.col(key).alias("key"), "text"), length, trigger).groupBy("key")
+            .agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+            .select(F.col("key").alias(key), F.col("runs").alias(f"{key}runs")))
+    names, schema = docs.columns, docs.schema
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            valid = batch.column("text").is_valid().to_pylist()
+            out = []
+            for i, found in enumerate(batch.column(f"{key}runs").to_pylist()):
+                text = data[offsets[i]: offsets[i + 1]].tobytes()
+                cut = list(_whole_characters(text, _merge(found, length)))
+                edges = [0, *(x for span in cut for x in span), len(text)]
+                out.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8") if valid[i] else None)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns["text"] = pa.array(out, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if x is None else len(x) for x in out]).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return rows.join(runs, key, "left").select(*(F.col(f"`{c}`") for c in names), f"{key}runs").mapInArrow(run, schema)

@@ -47,3 +47,20 @@ def range_bounds(docs: DataFrame, n: int) -> list[int]:
         return []
     found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.1 / n)
     return sorted({int(x) for x in found})
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with all its columns and rows and a unique key in the order of doc_id, and the key's name.
+
+    The key is doc_id where it can be; otherwise rows are numbered by doc_id (null first), in a written table.
+    """
+    name = "key"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    docs = stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    order = docs.select("doc_id", F.col(name).alias("was")).orderBy("doc_id", "was").rdd.zipWithIndex()
+    order = stage(order.map(lambda x: (x[0][1], x[1])).toDF("was long, place long"), "keys")
+    return docs.join(order, docs[name] == order["was"]).withColumn(name, F.col("place")).drop("was", "place"), name

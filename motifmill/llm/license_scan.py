@@ -56,14 +56,19 @@ def _split(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """One row per seed: (t, label, phrase, seeds, length, q, gram); a few hundred rows, fixed in the code."""
+def seeds() -> list[tuple]:
+    """One row per seed: (template, label, phrase, seeds, length, place, word, next word)."""
     rows = []
     for t, (label, text, phrase) in enumerate([*((v, k, True) for k, v in PHRASES.items()), *((k, v, False) for k, v in NOTICES)]):
         words = _split(text)
-        seeds = [q for q in range(len(words) - 1) if phrase or max(map(len, words[q: q + 2])) > COMMON]
-        rows += [(t, label, phrase, len(seeds), len(words), q, words[q], words[q + 1]) for q in seeds]
-    found = spark.createDataFrame(rows, "t int, label string, phrase boolean, seeds int, length int, q int, x string, y string")
+        places = [q for q in range(len(words) - 1) if phrase or max(map(len, words[q: q + 2])) > COMMON]
+        rows += [(t, label, phrase, len(places), len(words), q, words[q], words[q + 1]) for q in places]
+    return rows
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    """The seeds by the hash of their words; a few hundred rows, fixed in the code."""
+    found = spark.createDataFrame(seeds(), "t int, label string, phrase boolean, seeds int, length int, q int, x string, y string")
     return found.select("t", "label", "phrase", "seeds", "length", "q", F.xxhash64("x", "y").alias("gram"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motifmill.llm import bpe_automaton, decontaminate, fingerprints, html_template, language, license_scan, ngram_join, quality, suffix_dedup, token_files
+from motifmill.llm import (
+    bpe_automaton, decontaminate, fingerprints, html_template, language, license_scan, ngram_join, oracle, quality, suffix_dedup, token_files,
+)
 from motifmill.llm.tables import documents, texts
 
 
@@ -94,4 +96,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.QUERIES)

@@ -18,13 +18,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def hashes(words_: Column, width: int = WIDTH) -> Column:
-    """Hashes of the runs of ``width`` words; of the whole sequence if it is shorter; none without words."""
-    codes = F.transform(words_, lambda w: F.xxhash64(w))
-    cut = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITS)
-    n = F.size(words_)
-    return (F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: cut(F.slice(codes, i, width))))
-            .when(n > 0, F.array(cut(codes))).otherwise(F.array().cast("array<bigint>")))
+def codes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
+def hashes(codes_: str, width: int = WIDTH) -> Column:
+    """Hashes of the runs of ``width`` words; of the whole sequence if it is shorter; none without words.
+
+    ``codes_`` names a column: an expression would be evaluated anew for every run.
+    """
+    cut = lambda c: F.shiftrightunsigned(c, 64 - BITS)
+    n = F.size(codes_)
+    return (F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: cut(
+                F.xxhash64(*(F.get(codes_, i + k) for k in range(width))))))
+            .when(n > 0, F.array(cut(F.xxhash64(codes_)))).otherwise(F.array().cast("array<bigint>")))
 
 
 def bottom(values: Column, k: int = SIZE) -> Column:
@@ -73,10 +80,9 @@ def of_groups(sketches: DataFrame, *groups: str, sketch: str = "sketch", k: int
 
 def fingerprints(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_chars, n_shingles, sketch) per row of ``docs`` (doc_id, text); null texts are empty."""
-    sketch = bottom(hashes(F.col("words"), width), k)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), words(F.col("text")).alias("words")).select(
-        "doc_id", "n_chars", sketch.alias("sketch")).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), codes(words(F.col("text"))).alias("codes")).select(
+        "doc_id", "n_chars", bottom(hashes("codes", width), k).alias("sketch")).select(
         "doc_id", "n_chars", distinct_count(F.col("sketch"), k).alias("n_shingles"), "sketch")
 
 
@@ -118,10 +124,10 @@ def compare_edited(docs: DataFrame, k: int = SIZE, width: int = WIDTH) -> DataFr
                  F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)).alias("edited"))
     cut = kept.select(
         "part", "extra", "key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        words(F.col("text")).alias("own"), words(F.col("edited")).alias("other"))
+        codes(words(F.col("text"))).alias("own"), codes(words(F.col("edited"))).alias("other"))
     sketched = cut.select(
         "part", "extra", "key", "doc_id", "n_chars", "edited_sha256",
-        bottom(hashes(F.col("own"), width), k).alias("a"), bottom(hashes(F.col("other"), width), k).alias("b"))
+        bottom(hashes("own", width), k).alias("a"), bottom(hashes("other", width), k).alias("b"))
     a, b = F.col("a"), F.col("b")
     return sketched.withColumn("next", F.lead("a").over(window)).filter(~F.col("extra")).select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",

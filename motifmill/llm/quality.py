@@ -23,12 +23,12 @@ LAG, RUN = 32, 64
 
 
 def _layout(data: np.ndarray, offsets: np.ndarray):
-    """Texts side by side, each at the start of a half chunk, with zeros between; and each text's halves."""
+    """Texts side by side, each in half chunks of its own, with zeros before and after; and each text's halves."""
     size = np.diff(offsets)
-    halves = -(-(size + PAD) // HALF)
+    halves = -(-(WIDTH + size + PAD) // HALF)
     first = np.cumsum(halves) - halves
     out = np.zeros(int(halves.sum()) * HALF + WIDTH, np.uint8)
-    shift = np.repeat(first * HALF - offsets[:-1], size)
+    shift = np.repeat(first * HALF + WIDTH - offsets[:-1], size)  # no filter reaches from one text into the next
     out[np.arange(len(data)) + shift] = data
     return out, first, halves
 

@@ -2,7 +2,8 @@
 
 The automaton's states are tokens; an arc from x to y says that y may follow x.  It starts with the byte
 values, every one of which may follow every other.  The gadget of a merge (u, v) adds the state uv,
-which is reached from wherever u is and goes on wherever v goes, and takes away the arc from u to v.  As the
+which is reached from wherever u is and goes on wherever v goes, and takes away the arc from u to v; it has nothing
+to do if that arc is gone already.  As the
 new state takes over its parts' arcs, an arc from x to y exists at the end unless a gadget cut it while
 its two ends were at the edges of what became x and y.  The edges of a token with the time when each of them
 disappeared into a larger one are its *left* and *right spine*, so the arcs need not be stored: whether one exists is
@@ -58,18 +59,20 @@ class Automaton:
         self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
         # Gadgets, one after the other: parts, and when the state came to be.
         self.gadgets: dict[tuple[int, int], int] = {}
+        self.arcs: dict[tuple[int, int], bool] = {}
         left = {i: [(i, NEVER)] for t, i in vocab.items() if len(t) == 1}
         right = {i: [(i, NEVER)] for t, i in vocab.items() if len(t) == 1}
+        self.left, self.right = left, right
         for time, (u, v) in enumerate(merges):
             u, v, new = vocab[u], vocab[v], vocab[u + v]
+            if u not in left or v not in left or not self._arc(u, v):
+                continue
             self.gadgets[u, v] = time
             if new not in left:
                 left[new] = [(new, NEVER), (u, time), *left[u][1:]]
                 right[new] = [(new, NEVER), (v, time), *right[v][1:]]
-        self.left, self.right = left, right
         self.ids = {raw[t]: i for t, i in vocab.items() if i in left}
         self.longest = max(map(len, self.ids))
-        self.arcs: dict[tuple[int, int], bool] = {}
         # For steps in common: tokens by the hash of their bytes, spines and gadgets as arrays.
         token_ids = np.array(sorted(left), np.int64)
         text = np.frombuffer(b"".join(self.labels[i] for i in token_ids), np.uint8)
@@ -94,20 +97,22 @@ class Automaton:
             token[: len(spine), i], gone[: len(spine), i] = zip(*spine)
         return token, gone
 
-    def follows(self, x: int, y: int) -> bool:
+    def _arc(self, x: int, y: int) -> bool:
         """Whether the arc from x to y is there: no gadget cut it while both its ends were bare."""
+        for a, a_gone in self.right[x]:
+            for b, b_gone in self.left[y]:
+                time = self.gadgets.get((a, b))
+                # Of one merge's places the leftmost goes first.
+                if time is not None and time < a_gone and time <= b_gone:
+                    return False
+        return True
+
+    def follows(self, x: int, y: int) -> bool:
         found = self.arcs.get((x, y))
         if found is None:
-            found = True
-            for a, a_gone in self.right[x]:
-                for b, b_gone in self.left[y]:
-                    time = self.gadgets.get((a, b))
-                    # Of one merge's places the leftmost goes first.
-                    if time is not None and time < a_gone and time <= b_gone:
-                        found = False
             if len(self.arcs) > 1 << 20:
                 self.arcs.clear()
-            self.arcs[x, y] = found
+            self.arcs[x, y] = found = self._arc(x, y)
         return found
 
     def _follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

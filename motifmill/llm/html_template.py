@@ -112,6 +112,12 @@ class Page:
                         break
                     if stack[k][0] in HOLDS:
                         break
+            if tag in MAIN:  # no menu holds the main part: one that is open was not closed
+                for k in range(1, len(stack)):
+                    if stack[k][0] in ("nav", "menu"):
+                        del stack[k:]
+                        links = 0
+                        break
             names = []
             for key, value in _NAME.findall(found[3] or found[6] or ""):
                 names += [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower()) if w]

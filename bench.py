@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from motifmill.operators import bpe as B, decode as D, features as X, tokens as K  # noqa: E402
 from motifmill.params import CORPUS, BpeParams  # noqa: E402
 from motifmill.plans import jobs as J  # noqa: E402
-from motifmill.session import local_session, stage  # noqa: E402
+from motifmill.session import job, local_session, stage  # noqa: E402
 from motifmill.sources import projections  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,11 +63,12 @@ def main() -> None:
         "token_rows": lambda: drain(J.ExampleBuild(tokens, CORPUS, None).token_rows),
     }
     seconds = {}
-    for name, job in jobs.items():
+    for name, run in jobs.items():
         spent = []
         for _ in range(RUNS + 1):
             began = time.perf_counter()
-            job()
+            with job(spark):
+                run()
             spent.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(spent[1:]), 3)
         print(name, [round(s, 2) for s in spent], file=sys.stderr, flush=True)

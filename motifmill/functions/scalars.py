@@ -192,29 +192,39 @@ def parse_shape(text) -> Column:
     return F.transform(members, member)
 
 
+def shared_hash(*parts) -> Column:
+    """48 bits of a text key's MD5: a draw that any engine can repeat."""
+    key = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint")
+
+
 # ---- durations (SCL14, SCL15) -----------------------------------------------------------
 
 def gcd_upto(a, b, bound: int) -> Column:
     """SCL17 for two values, ``0 <= b <= bound``, ``a >= 0``; ``gcd(0, b) = b``.
 
-    Looks up a table built from the rule, so the expression stays inside generated code.
+    Looks up a table built from the rule, so the expression stays inside generated code.  A
+    ``b`` beyond the bound is an error: ``gcd_of`` takes any values.
     """
     a, b = _col(a), _col(b)
     table = _constant_array(
         gcd(i, j) for j in range(bound + 1) for i in range(bound + 1)).cast("array<int>")
     reduced = F.when(b == 0, F.lit(0)).otherwise(a % F.greatest(b, F.lit(1))).cast("int")
-    return F.when(b == 0, a).otherwise(F.get(table, b.cast("int") * (bound + 1) + reduced)).cast("int")
+    return (F.when(b == 0, a).when(b > bound, F.raise_error(F.lit("gcd_upto: beyond its bound")).cast("int"))
+            .otherwise(F.get(table, b.cast("int") * (bound + 1) + reduced)).cast("int"))
 
 
-def gcd_of(values, bound: int) -> Column:
-    """SCL17: greatest common divisor of an array of non-negative values, zeros ignored.
+def gcd_of(values) -> Column:
+    """SCL17: greatest common divisor of an array of non-negative values, zeros ignored; 0 if all are 0.
 
-    At least one non-zero value has to be ``<= bound``.
+    Euclid's algorithm: 93 divisions reach the end for any two 64-bit numbers.
     """
-    values = _col(values)
-    return F.array_max(F.filter(
-        F.sequence(F.lit(1), F.lit(bound)),
-        lambda d: F.forall(values, lambda v: v % d == 0)))
+    def both(x, y):
+        pair = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.greatest(s["b"], F.lit(1))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(93)), pair(x, y), step, lambda s: s["a"])
+
+    return F.aggregate(_col(values), F.lit(0).cast("bigint"), both)
 
 
 def duration_fraction(ticks, tpq: int) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from motifmill.session import stage
+
 TOKEN_BLOCK = 4096
 
 
@@ -17,6 +19,22 @@ def token_block(seq="seq") -> Column:
     return F.call_function("div", F.col(seq), F.lit(TOKEN_BLOCK)).alias("_block")
 
 
+def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``(column, name)``: ranks from 0 in the order of ``column``.
+
+    A range sort, ranks within each partition, and the partitions' sizes added up: no window
+    over all rows.
+    """
+    ordered = stage(df.select(column).orderBy(column).withColumns({
+        "_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranked")
+    parts = ordered.groupBy("_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    # One row per partition of the sort.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return ordered.join(F.broadcast(offsets), "_part").select(
+        column, (F.col("_place") - F.col("_first") + F.col("_offset")).alias(name))
+
+
 def running(df: DataFrame, key: list[str], order: list[str], block: Column,
             sums: dict[str, Column] | None = None,
             lasts: dict[str, Column] | None = None,

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from motifmill.functions import scalars as S
 from motifmill.operators import merge_kernel as M
-from motifmill.params import BpeParams, CorpusParams, NEIGHBOUR_LIMIT, SHAPE_ONSET_LIMIT
-from motifmill.session import cut_lineage
+from motifmill.params import LIMITS, MAX_SHAPES, BpeParams, CorpusParams, Limits
+from motifmill.session import cut_lineage, ship_package
 
 # The two shapes every vocabulary starts with.
 DEFAULT_SHAPES = [((0, 0, 1, 0),), ((0, 0, 1, 1),)]
@@ -114,7 +114,8 @@ def to_multi_notes(timed_notes: DataFrame, tpq: int) -> DataFrame:
     return placed.withColumn("k", F.row_number().over(order)).select(*COLUMNS)
 
 
-def neighbour_pairs(multi_notes: DataFrame, shapes: DataFrame, gap: int, block_ticks: int = 96) -> DataFrame:
+def neighbour_pairs(multi_notes: DataFrame, shapes: DataFrame, gap: int, block_ticks: int = 96,
+                    limit: int | None = LIMITS.neighbours) -> DataFrame:
     """JON6 as a join: pairs ``(a, b)`` of ranks within a phrase.
 
     The left note enters every time block in which a neighbour may start, the right note only
@@ -128,8 +129,9 @@ def neighbour_pairs(multi_notes: DataFrame, shapes: DataFrame, gap: int, block_t
     value = F.struct("k", "onset", "end", "shape_id", "pitch", "stretch", "velocity")
     a = notes.select(*phrase, value.alias("a"), F.explode(F.sequence(first, last)).alias("blk"))
     b = notes.select(*phrase, value.alias("b"), first.alias("blk"))
+    within = F.lit(True) if limit is None else F.col("b.k") <= F.col("a.k") + limit
     near = (a.join(b, [*phrase, "blk"])
-            .filter((F.col("b.k") > F.col("a.k")) & (F.col("b.k") <= F.col("a.k") + NEIGHBOUR_LIMIT)
+            .filter((F.col("b.k") > F.col("a.k")) & within
                     & (F.col("b.onset") <= F.col("a.end") + gap)))
     after = F.when(F.col("b.onset") >= F.col("a.end"), F.col("b.onset"))
     follow = F.min(after).over(Window.partitionBy(*phrase, "a.k"))
@@ -146,7 +148,8 @@ def adjacent(adjacency: str) -> Column:
     return (same & (F.col("a.onset") == F.col("b.onset")) & (F.col("a.stretch") == F.col("b.stretch")))
 
 
-def shape_counts_from_pairs(pairs: DataFrame, shapes: DataFrame, adjacency: str, p: CorpusParams) -> DataFrame:
+def shape_counts_from_pairs(pairs: DataFrame, shapes: DataFrame, adjacency: str, p: CorpusParams,
+                            limits: Limits = LIMITS) -> DataFrame:
     """AGG23 for one round, wholly in built-in expressions."""
     lookup = shapes.select("shape_id", "shape")
     reduced = pairs.filter(adjacent(adjacency)).withColumn(
@@ -158,10 +161,10 @@ def shape_counts_from_pairs(pairs: DataFrame, shapes: DataFrame, adjacency: str,
         S.idiv("b.stretch", "unit").cast("int").alias("rr"),
         S.idiv(F.col("b.onset") - F.col("a.onset"), "unit").cast("int").alias("d"),
         (F.col("b.pitch") - F.col("a.pitch")).alias("dp")).agg(F.count("*").alias("n"))
-    return named_counts(keys, lookup)
+    return named_counts(keys, lookup, limits)
 
 
-def _name_pairs(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+def _name_pairs(keys: DataFrame, lookup: DataFrame, limits: Limits) -> DataFrame:
     """Reduced pairs summed by the shape they make; ``code`` keeps the totals of ``count_pairs``.
 
     One frame for both, so that the pass over the notes runs once.
@@ -169,16 +172,16 @@ def _name_pairs(keys: DataFrame, lookup: DataFrame) -> DataFrame:
     left = F.broadcast(lookup.toDF("l", "left_shape"))  # at most 2**16 rows, by their id type
     right = F.broadcast(lookup.toDF("r", "right_shape"))
     joined = S.join_shapes("left_shape", "right_shape", "lr", "rr", "d", "dp")
-    fits = F.forall("shape", lambda m: m["rel_onset"] <= SHAPE_ONSET_LIMIT)
+    fits = F.forall("shape", lambda m: (m["rel_onset"] <= limits.onset) & (m["rel_dur"] <= limits.duration))
     return (keys.join(left, "l", "left").join(right, "r", "left").withColumn("shape", joined)
             .filter((F.col("l") < 0) | fits)
             .groupBy("shape", F.when(F.col("l") < 0, F.col("l")).alias("code"))
             .agg(F.sum("n").alias("n")))
 
 
-def named_counts(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+def named_counts(keys: DataFrame, lookup: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Counts of reduced pairs to counts of shapes; pairs that overflow are gone (SCL18)."""
-    return _name_pairs(keys, lookup).filter("code is null").select(
+    return _name_pairs(keys, lookup, limits).filter("code is null").select(
         S.format_shape("shape").alias("text"), "shape", "n")
 
 
@@ -201,7 +204,7 @@ def keep_sampled_pieces(multi_notes: DataFrame, rate: float, seed: int, iteratio
     if rate >= 1:
         return multi_notes
     bits = 2**20
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(iteration), "piece_id"), F.lit(bits))
+    draw = F.pmod(S.shared_hash(F.lit(seed), F.lit(iteration), "piece_id"), F.lit(bits))
     return multi_notes.filter(draw < int(rate * bits))
 
 
@@ -211,37 +214,44 @@ def lay_out(multi_notes: DataFrame) -> DataFrame:
             .sortWithinPartitions(*M.PHRASE, "k"))
 
 
-def score_shapes(laid_out: DataFrame, shapes: list[tuple], adjacency: str, gap: int) -> DataFrame:
+def score_shapes(laid_out: DataFrame, shapes: list[tuple], adjacency: str, gap: int,
+                 limits: Limits = LIMITS) -> DataFrame:
     """BPE2: counts of reduced pairs, summed; the only thing that is shuffled in a round."""
+    ship_package(laid_out.sparkSession)
     bounds = M.ShapeBounds.of(shapes)
     schema = "l int, r int, lr int, rr int, d int, dp int, n bigint"
-    partial = laid_out.mapInPandas(lambda it: M.count_pairs(it, bounds, adjacency, gap), schema)
+    partial = laid_out.mapInPandas(lambda it: M.count_pairs(it, bounds, adjacency, gap, limits), schema)
     return partial.groupBy("l", "r", "lr", "rr", "d", "dp").agg(F.sum("n").alias("n"))
 
 
 def merge_shape(laid_out: DataFrame, shapes: list[tuple], new_shape: tuple, gap: int,
-                include_last: bool = True) -> DataFrame:
+                include_last: bool = True, limits: Limits = LIMITS) -> DataFrame:
     """BPE3: one shape merged everywhere; narrow, keeps layout and order."""
+    ship_package(laid_out.sparkSession)
     bounds = M.ShapeBounds.of(shapes)
     targets = splits_of(new_shape, {s: i for i, s in enumerate(shapes)})
     new_id = len(shapes)
     return laid_out.mapInPandas(
-        lambda it: M.merge_pass(it, new_id, targets, bounds, gap, include_last), SCHEMA)
+        lambda it: M.merge_pass(it, new_id, targets, bounds, gap, include_last, limits), SCHEMA)
 
 
 def apply_shapes(multi_notes: DataFrame, learned: list[tuple], gap: int,
-                 include_last: bool = True) -> DataFrame:
+                 include_last: bool = True, limits: Limits = LIMITS) -> DataFrame:
     """BPE5, BPE6: all shapes in order, in one pass over each phrase.
 
     Also the way to apply the vocabulary of one collection to another.
     """
+    ship_package(multi_notes.sparkSession)
     shapes = [*DEFAULT_SHAPES, *learned]
+    if len(shapes) > MAX_SHAPES:
+        raise ValueError(f"a vocabulary has at most {MAX_SHAPES} shapes")
     bounds = M.ShapeBounds.of(shapes)
-    plan = []
+    plan, known = [], dict(zip(DEFAULT_SHAPES, range(2)))
     for i in range(2, len(shapes)):
-        plan.append((i, splits_of(shapes[i], {s: j for j, s in enumerate(shapes[:i])})))
+        plan.append((i, splits_of(shapes[i], known)))
+        known[shapes[i]] = i
     return lay_out(multi_notes).mapInPandas(
-        lambda it: M.merge_all(it, plan, bounds, gap, include_last), SCHEMA)
+        lambda it: M.merge_all(it, plan, bounds, gap, include_last, limits), SCHEMA)
 
 
 @dataclass
@@ -257,7 +267,7 @@ class Learned:
         """BPE9: a row per round; as long as the number of rounds."""
         return spark.createDataFrame(
             self.log, "iteration int, avg_neighbours double, n_shapes bigint, shape string, "
-                      "score bigint, n_multi_notes bigint, seconds double")
+                      "score bigint, n_multi_notes bigint, cut_notes bigint, oversized_pairs bigint, seconds double")
 
 
 def learn(multi_notes: DataFrame, tpq: int, b: BpeParams) -> Learned:
@@ -273,27 +283,29 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams) -> Learned:
     for iteration in range(b.iterations):
         began = perf_counter()
         sample = keep_sampled_pieces(state, b.sampling_rate, b.seed, iteration)
-        keys = score_shapes(sample, shapes, b.adjacency, tpq)
+        keys = score_shapes(sample, shapes, b.adjacency, tpq, b.limits)
         lookup = shapes_frame(spark, shapes).select("shape_id", "shape")
         shape = F.col("code").isNull()
         total = lambda code: F.max(F.when(F.col("code") == code, F.col("n")))
-        ranked = _name_pairs(keys, lookup).agg(
+        ranked = _name_pairs(keys, lookup, b.limits).agg(
             F.max(F.when(shape, F.col("n"))).alias("score"), F.count_if(shape).alias("n_shapes"),
             total(-1).alias("n_neighbours"), total(-2).alias("n_rows"),
+            total(-3).alias("n_cut"), total(-4).alias("n_oversized"),
             F.min(F.when(shape, F.struct(-F.col("n"), _byte_order(), "shape"))).alias("best"),
-        ).select("score", "n_shapes", "n_neighbours", "n_rows",
+        ).select("score", "n_shapes", "n_neighbours", "n_rows", "n_cut", "n_oversized",
                  S.format_shape("best.shape").alias("text")).first()
         if ranked["score"] is None or ranked["score"] <= b.min_score:
             break
         new_shape = shape_tuple(ranked["text"])
-        merged = merge_shape(state, shapes, new_shape, tpq)
+        merged = merge_shape(state, shapes, new_shape, tpq, limits=b.limits)
         shapes.append(new_shape)
         if (iteration + 1) % b.checkpoint_every == 0:
             merged = cut_lineage(merged)
         state = merged.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(state)
         log.append((iteration, ranked["n_neighbours"] / max(ranked["n_rows"], 1), ranked["n_shapes"],
-                    ranked["text"], ranked["score"], ranked["n_rows"], perf_counter() - began))
+                    ranked["text"], ranked["score"], ranked["n_rows"], ranked["n_cut"], ranked["n_oversized"],
+                    perf_counter() - began))
         # The next round's job fills the new state from the one before; older ones can go.
         for old in held[:-2]:
             old.unpersist()

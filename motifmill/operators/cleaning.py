@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from motifmill.functions import scalars as S
 from motifmill.params import (
-    DRUM_PITCHES, EMPTY_MEASURE_LIMIT, EVENT_TIME_LIMIT, NOTE_DURATION_CORRUPTION_LIMIT,
+    CORPUS, DRUM_PITCHES, NOTE_DURATION_CORRUPTION_LIMIT,
     NOTE_TIME_CORRUPTION_LIMIT, CorpusParams,
 )
 
@@ -129,13 +129,23 @@ def quantised_notes(raw, track_map: DataFrame, p: CorpusParams) -> DataFrame:
         "piece_id", "track_number", "instrument", "start", "end", "pitch", "velocity")
 
 
-def keep_playable_notes(notes: DataFrame) -> DataFrame:
-    """FLT3."""
+def _unplayable(p: CorpusParams) -> Column:
+    """Why a note is left out of the corpus; null if it is not."""
     lo, hi = DRUM_PITCHES
-    return notes.filter(
-        (F.col("start") < F.col("end")) & (F.col("start") >= 0)
-        & (F.col("start") <= EVENT_TIME_LIMIT) & (F.col("end") <= EVENT_TIME_LIMIT)
-        & ((F.col("instrument") != 128) | F.col("pitch").between(lo, hi)))
+    return (F.when((F.col("start") >= F.col("end")) | (F.col("start") < 0), "no length")
+            .when((F.col("start") > p.event_time_limit) | (F.col("end") > p.event_time_limit), "too late")
+            .when((F.col("instrument") == 128) & ~F.col("pitch").between(lo, hi), "no drum"))
+
+
+def keep_playable_notes(notes: DataFrame, p: CorpusParams = CORPUS) -> DataFrame:
+    """FLT3."""
+    return notes.filter(_unplayable(p).isNull())
+
+
+def dropped_notes(notes: DataFrame, p: CorpusParams = CORPUS) -> DataFrame:
+    """FLT3, the other way round: notes that are left out, per piece and reason."""
+    return (notes.withColumn("reason", _unplayable(p)).filter("reason is not null")
+            .groupBy("piece_id", "reason").agg(F.count("*").alias("n")))
 
 
 def split_long_notes(notes: DataFrame, p: CorpusParams) -> DataFrame:
@@ -155,7 +165,7 @@ def split_long_notes(notes: DataFrame, p: CorpusParams) -> DataFrame:
 
 def note_chunks(quantised: DataFrame, p: CorpusParams) -> DataFrame:
     """Playable notes as corpus notes, duplicates still in."""
-    notes = keep_playable_notes(quantised).select(
+    notes = keep_playable_notes(quantised, p).select(
         "piece_id", "track_number", F.col("start").alias("onset"), "pitch",
         (F.col("end") - F.col("start")).alias("duration"),
         S.quantize_velocity("velocity", p.velocity_step).alias("velocity"))
@@ -183,10 +193,7 @@ def piece_stats(quantised: DataFrame, p: CorpusParams) -> DataFrame:
     The last corpus note in sort order is always the last chunk of some note, so long notes
     need not be split to find it.  Extents are null where no note is playable.
     """
-    lo, hi = DRUM_PITCHES
-    playable = ((F.col("start") < F.col("end")) & (F.col("start") >= 0)
-                & (F.col("start") <= EVENT_TIME_LIMIT) & (F.col("end") <= EVENT_TIME_LIMIT)
-                & ((F.col("instrument") != 128) | F.col("pitch").between(lo, hi)))
+    playable = _unplayable(p).isNull()
     length = F.col("end") - F.col("start")
     if p.use_cont_note:
         onset = F.col("start") + S.idiv(length - 1, F.lit(p.max_duration)).cast("int") * p.max_duration
@@ -284,9 +291,9 @@ def empty_measure_runs(note_measures: DataFrame, measures: DataFrame) -> DataFra
         .cast("int").alias("longest_run"))
 
 
-def reject_long_empty(runs: DataFrame) -> DataFrame:
+def reject_long_empty(runs: DataFrame, p: CorpusParams = CORPUS) -> DataFrame:
     """FLT11."""
-    return _rejected(runs.filter(F.col("longest_run") >= EMPTY_MEASURE_LIMIT), 12)
+    return _rejected(runs.filter(F.col("longest_run") >= p.empty_measure_limit), 12)
 
 
 def first_reasons(rules: list[DataFrame]) -> DataFrame:

@@ -71,9 +71,10 @@ def cut_examples(token_rows: DataFrame, starts: DataFrame, e: ExampleParams) ->
             .join(wanted, ["piece_id", "_blk"])
             .filter((F.col("seq") >= F.col("start")) & (F.col("seq") < F.col("stop")))
             .withColumn("pos", F.col("seq") - F.col("start") + F.col("body_start")))
-    # Heads are a few rows per piece; how many is bounded by the number of tracks.
-    longest = F.least(F.lit(e.max_len), F.lit(2 + 256))
-    heads = (token_rows.filter(F.col("seq") < longest)
+    # Heads are a few rows per piece; how many says its layout.
+    sizes = ends.groupBy("piece_id").agg(F.max("head_len").alias("_head"))
+    heads = (token_rows.filter(F.col("seq") < e.max_len).join(sizes, "piece_id")
+             .filter(F.col("seq") < F.col("_head")).drop("_head")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HEAD_SALTS - 1)))))
     head = (heads.join(ends.withColumn("_salt", F.pmod("vp_idx", F.lit(HEAD_SALTS))), ["piece_id", "_salt"])
             .filter(F.col("seq") < F.col("head_len")).withColumn("pos", F.col("seq")))
@@ -95,18 +96,20 @@ def rebase_mps(examples: DataFrame) -> DataFrame:
 def augment_pitch(examples: DataFrame, drum_event: int, e: ExampleParams) -> DataFrame:
     """EXM4: a copy per shift; body pitches of non-drum tracks move, clipped to the range."""
     p = e.pitch_range
-    copies = examples.withColumn("pitch_shift", F.explode(F.sequence(F.lit(-p), F.lit(p))))
+    shifts = F.explode(F.sequence(F.lit(-p), F.lit(p)))
     if p == 0:
-        return copies
+        return examples.withColumn("pitch_shift", shifts)
+    cut = ["piece_id", "vp_idx"]
     heads = examples.filter((F.col("evt") == drum_event) & (F.col("pos") < F.col("body_start"))).select(
-        "piece_id", "vp_idx", "trn").distinct().withColumn("_drum", F.lit(True))
-    marked = copies.join(heads, ["piece_id", "vp_idx", "trn"], "left").withColumn(
-        "_moves", F.col("is_body") & (F.col("pit") != 0) & F.col("_drum").isNull())
-    w = Window.partitionBy(*EXAMPLE)
-    pitch = F.when(F.col("_moves"), F.col("pit"))
-    shift = F.least(F.greatest(F.col("pitch_shift"), 1 - F.min(pitch).over(w)), 128 - F.max(pitch).over(w))
-    return marked.withColumn("_shift", shift).withColumn(
-        "pit", F.when(F.col("_moves"), F.col("pit") + F.col("_shift")).otherwise(F.col("pit"))
+        *cut, "trn").distinct().withColumn("_drum", F.lit(True))
+    moves = F.col("is_body") & (F.col("pit") != 0) & F.col("_drum").isNull()
+    pitch, w = F.when(F.col("_moves"), F.col("pit")), Window.partitionBy(*cut)
+    # Everything that an example's copies share is found before they are made.
+    marked = examples.join(heads, [*cut, "trn"], "left").withColumn("_moves", moves).withColumns(
+        {"_low": F.min(pitch).over(w), "_high": F.max(pitch).over(w)})
+    shift = F.least(F.greatest(F.col("pitch_shift"), 1 - F.col("_low")), 128 - F.col("_high"))
+    return marked.withColumn("pitch_shift", shifts).withColumn(
+        "pit", F.when(F.col("_moves"), F.col("pit") + shift).otherwise(F.col("pit"))
     ).select(*examples.columns, "pitch_shift")
 
 
@@ -114,7 +117,7 @@ def permute_tracks(examples: DataFrame, n_tracks: int, e: ExampleParams) -> Data
     """EXM5: track ids 1..n relabelled at random per example, by hash; 0 stays."""
     ids = F.sequence(F.lit(1), F.lit(n_tracks))
     drawn = F.array_sort(F.transform(ids, lambda t: F.struct(
-        F.xxhash64(F.lit(e.seed), *[F.col(c) for c in EXAMPLE], t).alias("h"), t.alias("t"))))
+        S.shared_hash(F.lit(e.seed), *EXAMPLE, t).alias("h"), t.alias("t"))))
     order = F.transform(drawn, lambda s: s["t"])
     relabelled = F.when(F.col("trn") == 0, 0).otherwise(F.array_position("_order", F.col("trn")))
     labels = examples.select(*EXAMPLE).distinct().withColumn("_order", order)
@@ -124,7 +127,7 @@ def permute_tracks(examples: DataFrame, n_tracks: int, e: ExampleParams) -> Data
 
 def permute_mps(examples: DataFrame, e: ExampleParams) -> DataFrame:
     """EXM6: shuffle the tokens of each run, tracks of the head too, by hash."""
-    h = F.xxhash64(F.lit(e.seed), *[F.col(c) for c in EXAMPLE], "pos")
+    h = S.shared_hash(F.lit(e.seed), *EXAMPLE, "pos")
     by = Window.partitionBy(*EXAMPLE).orderBy("is_body", "mps", h)
     return examples.withColumn("pos", (F.row_number().over(by) - 1).cast("int"))
 

@@ -1,8 +1,8 @@
 """Numpy helpers that run inside tasks: neighbours and greedy merges along sorted rows.
 
-Rows arrive sorted by (phrase, rank) in Arrow batches.  A note looks at most
-``NEIGHBOUR_LIMIT`` rows ahead, so a task only keeps that many rows between batches, however
-long a phrase is.
+Rows arrive sorted by (phrase, rank) in Arrow batches.  A note looks ahead as far as the gap
+allows, and at most ``Limits.neighbours`` rows, so a task keeps only the rows within that reach
+between batches, however long a phrase is.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-from motifmill.params import NEIGHBOUR_LIMIT, SHAPE_DURATION_LIMIT, SHAPE_ONSET_LIMIT
+from motifmill.params import LIMITS, Limits
 
 PHRASE = ["piece_id", "track_number", "phrase"]
 
@@ -41,17 +41,18 @@ def phrase_numbers(rows: pd.DataFrame) -> np.ndarray:
     return np.cumsum(change)
 
 
-def neighbours(onset, end, phrase, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """JON6 as row numbers ``(left, right)``, ordered by left, then right.
+def neighbours(onset, end, phrase, gap: int, limit: int | None = LIMITS.neighbours):
+    """JON6 as row numbers ``(left, right)``, ordered by left, then right; and the notes cut short.
 
     A neighbour starts before the left note ends, or is one of the notes at the first onset
-    after it, if that comes within ``gap``.
+    after it, if that comes within ``gap``.  The last array holds the notes that have more
+    neighbours than ``limit``.
     """
     n = len(onset)
     follow = np.full(n, -1, dtype=np.int64)
     active = np.arange(n)
-    lefts, rights = [], []
-    for step in range(1, NEIGHBOUR_LIMIT + 1):
+    lefts, rights, cut = [], [], active[:0]
+    for step in range(1, n):
         active = active[active + step < n]
         right = active + step
         same = phrase[active] == phrase[right]
@@ -64,13 +65,16 @@ def neighbours(onset, end, phrase, gap: int) -> tuple[np.ndarray, np.ndarray]:
         stop = (fresh & (at - close > gap)) | (after & (known >= 0) & (at != known))
         follow[active[fresh]] = at[fresh]
         active, right = active[~stop], right[~stop]
+        if limit is not None and step > limit:
+            cut = active
+            break
         lefts.append(active)
         rights.append(right)
     if not lefts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), cut
     left, right = np.concatenate(lefts), np.concatenate(rights)
     order = np.lexsort((right, left))
-    return left[order], right[order]
+    return left[order], right[order], cut
 
 
 def pair_keys(rows: pd.DataFrame, left, right) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +88,15 @@ def pair_keys(rows: pd.DataFrame, left, right) -> tuple[np.ndarray, np.ndarray]:
     return keys, unit
 
 
-def _settled(rows: pd.DataFrame, phrase: np.ndarray, last_batch: bool) -> int:
+def _settled(onset, end, phrase, gap: int, limit: int | None, last_batch: bool) -> int:
     """How many leading rows already see all rows they may look at."""
-    if last_batch or not len(rows):
-        return len(rows)
-    return max(int(np.searchsorted(phrase, phrase[-1])), len(rows) - NEIGHBOUR_LIMIT)
+    n = len(onset)
+    if last_batch or not n:
+        return n
+    # Rows that are still to come start at the last onset or later.
+    open_ = (phrase == phrase[-1]) & (end + gap >= onset[-1])
+    done = int(open_.argmax()) if open_.any() else n
+    return done if limit is None else max(done, n - limit - 1)
 
 
 def _with_carry(batches, step):
@@ -107,16 +115,30 @@ def _with_carry(batches, step):
             yield out
 
 
-def count_pairs(batches, bounds: ShapeBounds, adjacency: str, gap: int):
-    """BPE2, local part: counts of reduced pairs, and (as shape -1) of neighbours."""
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of whole numbers, and how often each occurs."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def count_pairs(batches, bounds: ShapeBounds, adjacency: str, gap: int, limits: Limits = LIMITS):
+    """BPE2, local part: counts of reduced pairs.
+
+    Totals come as shapes below 0: neighbours (-1), notes (-2), notes with more neighbours than
+    the limit (-3), pairs whose shape would be too large (-4).
+    """
     columns = ["l", "r", "lr", "rr", "d", "dp"]
 
     def step(rows, last_batch):
         phrase = phrase_numbers(rows)
-        done = _settled(rows, phrase, last_batch)
         col = lambda c: rows[c].to_numpy(dtype=np.int64)
         onset, shape, stretch, velocity = col("onset"), col("shape_id"), col("stretch"), col("velocity")
-        left, right = neighbours(onset, onset + bounds.span[shape] * stretch, phrase, gap)
+        end = onset + bounds.span[shape] * stretch
+        done = _settled(onset, end, phrase, gap, limits.neighbours, last_batch)
+        left, right, cut = neighbours(onset, end, phrase, gap, limits.neighbours)
         ready = left < done
         left, right = left[ready], right[ready]
         n_neighbours = len(left)
@@ -125,20 +147,14 @@ def count_pairs(batches, bounds: ShapeBounds, adjacency: str, gap: int):
             match &= (onset[left] == onset[right]) & (stretch[left] == stretch[right])
         keys, _ = pair_keys(rows, left[match], right[match])
         l, r, lr, rr, d, _ = keys.T
-        fits = ((bounds.onset[r] * rr + d <= SHAPE_ONSET_LIMIT)
-                & (bounds.onset[l] * lr <= SHAPE_ONSET_LIMIT)
-                & (bounds.duration[l] * lr <= SHAPE_DURATION_LIMIT))
-        # All six numbers fit into one 64-bit word: ids 16 bits each, the rest a byte each.
-        word = np.uint64
-        l, r, lr, rr, d = keys[fits][:, :5].astype(word).T
-        packed = (l << word(48)) | (r << word(32)) | (lr << word(24)) | (rr << word(16)) | (d << word(8)) | (
-            (keys[fits][:, 5] + 128).astype(word))
-        packed, counts = np.unique(packed, return_counts=True)
-        byte = lambda shift: ((packed >> word(shift)) & word(255)).astype(np.int64)
-        out = pd.DataFrame({
-            "l": (packed >> word(48)).astype(np.int64), "r": ((packed >> word(32)) & word(65535)).astype(np.int64),
-            "lr": byte(24), "rr": byte(16), "d": byte(8), "dp": byte(0) - 128, "n": counts})
-        total = pd.DataFrame([[-1, -1, 0, 0, 0, 0, n_neighbours], [-2, -2, 0, 0, 0, 0, done]],
+        fits = ((bounds.onset[r] * rr + d <= limits.onset)
+                & (bounds.onset[l] * lr <= limits.onset)
+                & (bounds.duration[l] * lr <= limits.duration)
+                & (bounds.duration[r] * rr <= limits.duration))
+        found, counts = _counted(keys[fits])
+        out = pd.DataFrame(found, columns=columns).assign(n=counts)
+        totals = [n_neighbours, done, int((cut < done).sum()), int((~fits).sum())]
+        total = pd.DataFrame([[-1 - k, -1 - k, 0, 0, 0, 0, n] for k, n in enumerate(totals)],
                              columns=[*columns, "n"])
         return pd.concat([out, total], ignore_index=True), rows.iloc[done:]
 
@@ -147,7 +163,7 @@ def count_pairs(batches, bounds: ShapeBounds, adjacency: str, gap: int):
 
 
 def merge_pass(batches, new_id: int, targets: np.ndarray, bounds: ShapeBounds, gap: int,
-               include_last: bool = True):
+               include_last: bool = True, limits: Limits = LIMITS):
     """WIN16, BPE3: absorb the first free matching neighbour, left to right.
 
     ``targets`` lists the reduced pairs that make up the new shape.  The left note takes the
@@ -155,10 +171,11 @@ def merge_pass(batches, new_id: int, targets: np.ndarray, bounds: ShapeBounds, g
     """
     def step(rows, last_batch):
         phrase = phrase_numbers(rows)
-        done = _settled(rows, phrase, last_batch)
         col = lambda c: rows[c].to_numpy(dtype=np.int64)
         onset, shape, stretch, velocity = col("onset"), col("shape_id"), col("stretch"), col("velocity")
-        left, right = neighbours(onset, onset + bounds.span[shape] * stretch, phrase, gap)
+        end = onset + bounds.span[shape] * stretch
+        done = _settled(onset, end, phrase, gap, limits.neighbours, last_batch)
+        left, right, _ = neighbours(onset, end, phrase, gap, limits.neighbours)
         if not include_last and len(left):
             final = np.append(left[1:] != left[:-1], True)
             left, right = left[~final], right[~final]
@@ -186,9 +203,9 @@ def merge_pass(batches, new_id: int, targets: np.ndarray, bounds: ShapeBounds, g
 
 
 def merge_all(batches, plan: list[tuple[int, np.ndarray]], bounds: ShapeBounds, gap: int,
-              include_last: bool = True):
+              include_last: bool = True, limits: Limits = LIMITS):
     """BPE5: every shape in order, as a chain of passes over one stream of rows."""
     stream = batches
     for new_id, targets in plan:
-        stream = merge_pass(stream, new_id, targets, bounds, gap, include_last)
+        stream = merge_pass(stream, new_id, targets, bounds, gap, include_last, limits)
     return stream

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from motifmill.functions import scalars as S
 from motifmill.functions.scan import running
+from motifmill.session import stage
 
 TOKEN_TYPES = {"multinote": ("N", "U"), "tempo": ("T",), "position": ("P",), "measure": ("M",),
                "track": ("R",)}
@@ -75,14 +76,15 @@ def shape_distribution(tokens: DataFrame) -> DataFrame:
 
 def top_shapes(distribution: DataFrame, n: int) -> DataFrame:
     """TOP4: the most frequent shapes of more than one note."""
-    return (distribution.filter("length(shape) > 7")
+    return (distribution.filter(~F.col("shape").isin("0,0,1;", "0,0,1~;"))
             .orderBy(F.desc("n"), F.desc("shape")).limit(n))
 
 
 def describe(values: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """AGG8: count, mean, std, min, quartiles (linear, exact) and max of each named series.
 
-    Quartiles come from running counts over value ranges, so no task holds a whole series.
+    Quartiles come from running counts over the ranges of a range sort, which hold about the
+    same number of distinct values whatever their distribution, so no task holds a whole series.
     """
     v = (values.select(F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
          .filter(F.col("value").isNotNull() & ~F.isnan("value")))
@@ -92,10 +94,9 @@ def describe(values: DataFrame, name: str = "name", value: str = "value") -> Dat
         F.max("value").alias("max"))
     counts = v.groupBy("name", "value").agg(F.count("*").alias("n"))
     # A handful of series: one row each.
-    placed = counts.join(F.broadcast(moments.select("name", "count", "min", "max")), "name")
-    share = (F.col("value") - F.col("min")) / F.nullif(F.col("max") - F.col("min"), F.lit(0.0))
-    block = F.coalesce((share * 1023).cast("int"), F.lit(0))
-    ranked = running(placed, ["name"], ["value"], block, sums={"upto": F.col("n")})
+    placed = counts.join(F.broadcast(moments.select("name", "count")), "name")
+    placed = stage(placed.orderBy("name", "value").withColumn("range", F.spark_partition_id()), "ranges")
+    ranked = running(placed, ["name"], ["value"], F.col("range"), sums={"upto": F.col("n")})
 
     quartiles = {}
     for label, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75)):
@@ -123,13 +124,20 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 
 def shape_size_histogram(tokens: DataFrame) -> DataFrame:
-    """AGG28: how many notes the multi-notes of a corpus hold."""
+    """AGG28: how many notes the multi-notes of a corpus hold; ``describe_shape_sizes`` sums it up."""
     size = F.when(F.col("shape").isNotNull(),
                   F.length("shape") - F.length(F.replace(F.col("shape"), F.lit(";"), F.lit(""))))
     return (tokens.filter(F.col("type").isin("N", "U"))
             .groupBy(F.coalesce(size, F.lit(1)).alias("shape_size")).agg(F.count("*").alias("n")))
 
 
+def describe_shape_sizes(tokens: DataFrame) -> DataFrame:
+    """AGG28: the description of the sizes of the distinct shapes that occur."""
+    distinct = tokens.filter(F.col("type").isin("N", "U")).select("shape").distinct()
+    size = F.length("shape") - F.length(F.replace(F.col("shape"), F.lit(";"), F.lit("")))
+    return describe(distinct.select(F.lit("shape_size").alias("name"), F.coalesce(size, F.lit(1)).alias("value")))
+
+
 def _share_order(items):
     return Window.partitionBy("attr").orderBy(F.desc("n"), "item")
 

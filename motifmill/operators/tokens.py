@@ -259,10 +259,9 @@ def after_k_measures(tokens: DataFrame, k: int) -> DataFrame:
 
 def first_k_ticks(tokens: DataFrame, tpq: int, k: int) -> DataFrame:
     """WIN13: everything before the first token later than tick k."""
-    timed = running_time(tokens, tpq)
-    late = running(timed, ["piece_id"], ["seq"], token_block(),
-                   maxes={"latest": F.coalesce("onset", F.lit(0))})
-    return late.filter(F.col("latest") <= k).select(*tokens.columns)
+    late = running_time(tokens, tpq).filter(F.col("onset") > k).groupBy("piece_id").agg(F.min("seq").alias("_late"))
+    return tokens.join(late, "piece_id", "left").filter(
+        F.col("_late").isNull() | (F.col("seq") < F.col("_late"))).select(*tokens.columns)
 
 
 def first_k_tokens(tokens: DataFrame, k: int) -> DataFrame:
@@ -279,7 +278,7 @@ def sample_measures(tokens: DataFrame, k: int, seed: int = 0) -> DataFrame:
     numbered = _measure_number(tokens)
     sizes = numbered.filter("type = 'M'").groupBy("piece_id").agg(F.count("*").alias("n"))
     starts = sizes.filter(F.col("n") >= k).select(
-        "piece_id", F.pmod(F.xxhash64(F.lit(seed), "piece_id"), F.col("n") - k + 1).alias("first"))
+        "piece_id", F.pmod(S.shared_hash(F.lit(seed), "piece_id"), F.col("n") - k + 1).alias("first"))
     inside = F.col("measure_no").between(F.col("first") + 1, F.col("first") + k)
     return (numbered.join(starts, "piece_id")
             .filter(((F.col("measure_no") == 0) | inside) & (F.col("type") != "EOS"))

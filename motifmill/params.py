@@ -13,6 +13,7 @@ EMPTY_MEASURE_LIMIT = 20
 NEIGHBOUR_LIMIT = 126
 SHAPE_ONSET_LIMIT = 127
 SHAPE_DURATION_LIMIT = 255
+MAX_SHAPES = 2**16
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,10 @@ class CorpusParams:
 
     ``block_ticks`` only steers the physical layout: sequences are cut into blocks of
     that many ticks so that one huge piece is spread over many tasks.  With onsets bounded
-    by ``EVENT_TIME_LIMIT`` a piece has at most ``2**17 / block_ticks`` blocks.
+    by ``event_time_limit`` a piece has at most ``event_time_limit / block_ticks + 1`` blocks.
+    Notes that start or end after ``event_time_limit`` are no notes of the corpus
+    (``cleaning.dropped_notes`` reports them); pieces with ``empty_measure_limit`` empty measures
+    in a row are rejected.
     """
 
     tpq: int = 12
@@ -35,8 +39,12 @@ class CorpusParams:
     deny_long_empty_measures: bool = True
     strict_track_limit: bool = False
     block_ticks: int = 384
+    event_time_limit: int = EVENT_TIME_LIMIT
+    empty_measure_limit: int = EMPTY_MEASURE_LIMIT
 
     def __post_init__(self):
+        if self.event_time_limit < 0 or self.empty_measure_limit < 1:
+            raise ValueError("event_time_limit and empty_measure_limit have to be positive")
         if self.tpq <= 2 or self.tpq % 2:
             raise ValueError("tpq has to be an even number above 2")
         if not 1 <= self.max_track_number <= 255:
@@ -64,16 +72,42 @@ EVALUATION = CorpusParams(
 )
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How far merges reach.  The defaults are those of the established vocabularies.
+
+    ``neighbours``: rows that a note looks ahead in its phrase, ``None`` for all that the gap
+    allows.  ``onset``, ``duration``: largest relative onset and duration of a shape's member.
+    The iteration log counts what they leave out.
+    """
+
+    neighbours: int | None = NEIGHBOUR_LIMIT
+    onset: int = SHAPE_ONSET_LIMIT
+    duration: int = SHAPE_DURATION_LIMIT
+
+    def __post_init__(self):
+        if (self.neighbours is not None and self.neighbours < 1) or self.onset < 0 or self.duration < 1:
+            raise ValueError("limits have to be positive")
+
+
+LIMITS = Limits()
+
+
 @dataclass(frozen=True)
 class BpeParams:
+    """A vocabulary has at most ``MAX_SHAPES`` shapes, so its table can be broadcast."""
+
     iterations: int = 4
     adjacency: str = "ours"
     min_score: int = 1
     sampling_rate: float = 1.0
     seed: int = 0
     checkpoint_every: int = 8
+    limits: Limits = LIMITS
 
     def __post_init__(self):
+        if not 0 <= self.iterations <= MAX_SHAPES - 2:
+            raise ValueError(f"iterations has to be within 0..{MAX_SHAPES - 2}")
         if self.adjacency not in ("ours", "mulpi"):
             raise ValueError("adjacency is 'ours' or 'mulpi'")
         if not 0 < self.sampling_rate <= 1:

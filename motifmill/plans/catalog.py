@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from motifmill.functions import scalars as S
 from motifmill.operators import (
@@ -198,11 +198,74 @@ LINES = "select piece_id, string_agg(text, ' ' order by seq) as text from {t} gr
 query("src03_snk01_corpus_round_trip", "piece_id text:s", _corpus_round_trip, LINES.format(t="tokens"))
 query("src04_get_piece", "piece_id text:s", lambda w: Z.get_piece(w.corpus, 3),
       f"select * from ({LINES.format(t='tokens')}) where piece_id = 3")
-query("src05_corpus_len", "n", lambda w: w.build().accepted.agg(F.count("*").alias("n")),
+CORPUS_LINES = f"select *, row_number() over (order by piece_id) - 1 as line from ({LINES.format(t='tokens')})"
+query("src04_get_line", "piece_id text:s", lambda w: Z.get_line(w.corpus, -1),
+      f"select * from ({CORPUS_LINES}) where line = (select max(line) from ({CORPUS_LINES}))")
+query("src04_corpus_lines", "piece_id line", lambda w: Z.corpus_lines(w.corpus), CORPUS_LINES)
+query("src05_corpus_len", "n", lambda w: w.corpus.agg(F.lit(Z.corpus_len(w.corpus)).alias("n")),
       "select count(*) as n from pieces where piece_id not in (select piece_id from rejects)")
-query("src07_snk02_pathlist", "piece_id path:s", lambda w: w.build().accepted,
-      "select piece_id, path from pieces where piece_id not in (select piece_id from rejects)")
-query("src11_splits", "path_suffix:s split:s", lambda w: w.splits, "select * from splits")
+
+
+def _notes_round_trip(w: Workspace) -> R.RawTables:
+    folder = w.scratch("notes")
+    R.write_notes(w.raw, folder)
+    return R.read_notes(w.spark, folder)
+
+
+query("src02_read_notes", "piece_id track_idx start_tick end_tick pitch velocity",
+      lambda w: _notes_round_trip(w).notes, "select * from raw_notes")
+query("src02_read_time_sigs", "piece_id change_idx time_tick numer denom",
+      lambda w: _notes_round_trip(w).time_sigs, "select * from raw_time_sigs")
+
+
+def _listed_files(w: Workspace) -> DataFrame:
+    """A tree of files with the pieces' ids as contents; only their names and sizes are listed."""
+    folder = w.scratch("files")
+    paths = w.raw.pieces.select(F.col("piece_id").cast("string").alias("value"), (F.col("piece_id") % 7).alias("d"))
+    paths.write.partitionBy("d").option("compression", "none").text(folder)
+    return R.list_files(w.spark, [f"{folder}/d={d}" for d in range(7)], "*.txt").agg(F.sum("length").alias("n"))
+
+
+query("src01_listed_bytes", "n", _listed_files, "select sum(length(cast(piece_id as varchar)) + 1) as n from pieces")
+
+
+def _pathlist_round_trip(w: Workspace) -> DataFrame:
+    folder = w.scratch("paths")
+    Z.write_pathlist(w.build().accepted, folder)
+    return R.read_pathlist(w.spark, f"{folder}/pathlist")
+
+
+query("src07_snk02_pathlist", "path:s", _pathlist_round_trip,
+      "select path from pieces where piece_id not in (select piece_id from rejects)")
+
+
+def _splits_round_trip(w: Workspace) -> DataFrame:
+    folder = w.scratch("splits")
+    for name in ("test", "valid"):
+        w.splits.filter(F.col("split") == name).select("path_suffix").write.text(f"{folder}/{name}")
+    return R.read_splits(w.spark, f"{folder}/test", f"{folder}/valid")
+
+
+query("src11_read_splits", "path_suffix:s split:s", _splits_round_trip, "select * from splits")
+
+
+def _stats_round_trip(w: Workspace) -> DataFrame:
+    path = w.scratch("stats")
+    Z.write_stats(T.token_type_counts(w.tokens), path)
+    return w.spark.read.schema("piece_id bigint, multinote bigint, all bigint").json(path)
+
+
+query("snk07_written_stats", "piece_id multinote all", _stats_round_trip,
+      """select piece_id, count(*) filter (type in ('N', 'U')) as multinote, count(*) as "all" from tokens group by 1""")
+
+
+def _shapes_round_trip(w: Workspace) -> DataFrame:
+    """The shapes of all pairs of single notes, most frequent first, as a vocabulary on disk."""
+    found = _kernel_counts(w, "ours").orderBy(F.desc("n"), "text").limit(500)
+    named = found.withColumn("shape_id", (F.row_number().over(Window.orderBy(F.desc("n"), "text")) + 1).cast("int"))
+    path = w.scratch("shapes")
+    Z.write_shapes(named, path)
+    return Z.read_shapes(w.spark, path).filter("shape_id > 1")
 
 
 def _rows_round_trip(w: Workspace) -> DataFrame:
@@ -240,10 +303,9 @@ SUMMED = ("select feature, bin, sum(n) as n from hist where piece_id in "
 TEST_HIST, TRAIN_HIST = (SUMMED.format(s=SPLIT_OF, name=n) for n in ("test", "train"))
 query("src12_snk08_arr04_features_round_trip", "feature:s bin:s n", _features_round_trip, TEST_HIST)
 query("snk09_set05_extract", "piece_id text:s", lambda w:
-      Z.extract(w.corpus, "0, 2:5, 7, 20:", w.raw.pieces.count()),
-      f"""select * from ({LINES.format(t='tokens')})
-          where piece_id = 0 or piece_id between 2 and 4 or piece_id = 7
-             or (piece_id >= 20 and piece_id < (select count(*) from pieces))""")
+      Z.extract(w.corpus, "0, 2:5, 6, -1, 20:"),
+      f"""select piece_id, text from ({CORPUS_LINES})
+          where line = 0 or line between 2 and 4 or line = 6 or line >= 20 or line = (select max(line) from ({CORPUS_LINES}))""")
 
 # ---- scalars ----------------------------------------------------------------------------
 
@@ -297,7 +359,7 @@ query("scl16_pitch_classes", "piece_id pc n",
       "select piece_id, pitch % 12 as pc, count(*) as n from decoded group by 1, 2")
 query("scl17_gcd_of", "piece_id track_number g n",
       lambda w: w.multi_notes.groupBy("piece_id", "track_number", S.gcd_of(
-          F.array(F.col("onset").cast("int"), F.col("stretch"), F.col("stretch") * 2), 48).alias("g"))
+          F.array(F.col("onset").cast("int"), F.col("stretch"), F.col("stretch") * 2)).alias("g"))
       .agg(F.count("*").alias("n")),
       """select piece_id, track_number, gcd(onset, stretch) as g, count(*) as n from mn group by 1, 2, 3""")
 
@@ -416,7 +478,13 @@ query("flt16_notes_in_pitch_range", "piece_id track_number pitch onset",
       """select piece_id, track_number, pitch + velocity - 40 as pitch, onset from mn
          where pitch + velocity - 40 between 0 and 127""")
 query("flt18_sampled_multi_notes", MN_SPEC,
-      lambda w: B.keep_sampled_pieces(w.multi_notes, 0.5, 7, 0))
+      lambda w: B.keep_sampled_pieces(w.multi_notes, 0.5, 7, 0),
+      f"select * from mn where {O.shared_hash('7', '0', 'piece_id')} % 1048576 < 524288")
+query("flt03_dropped_notes", "piece_id reason:s n", lambda w: C.dropped_notes(w.build().quantised, CORPUS.with_(event_time_limit=1200)),
+      """select piece_id, reason, count(*) as n from (
+           select piece_id, case when s >= e or s < 0 then 'no length' when s > 1200 or e > 1200 then 'too late'
+                                 when instrument = 128 and pitch not between 35 and 81 then 'no drum' end as reason from quant)
+         where reason is not null group by 1, 2""")
 query("agg31_piece_extent", "piece_id first_onset last_end max_onset", lambda w: w.build().extent,
       "select * from extent")
 
@@ -463,7 +531,11 @@ query("win13_first_ticks", "piece_id seq text:s", lambda w: K.first_k_ticks(w.to
 query("win14_first_tokens", "piece_id seq text:s", lambda w: K.first_k_tokens(w.tokens, 500),
       """select piece_id, seq, text from tokens where seq < 500
          union all select piece_id, 500, 'EOS' from tokens where seq = 499 and type <> 'EOS'""")
-query("win15_sampled_measures", "piece_id seq text:s", lambda w: K.sample_measures(w.tokens, 4, 11))
+query("win15_sampled_measures", "piece_id seq text:s", lambda w: K.sample_measures(w.tokens, 4, 11),
+      f"""select t.piece_id, seq, text from timed t join (
+            select piece_id, {O.shared_hash('11', 'piece_id')} % (count(*) - 3) as first from tokens where type = 'M'
+            group by piece_id having count(*) >= 4) s on t.piece_id = s.piece_id
+          where type <> 'EOS' and (measure_no = 0 or measure_no between first + 1 and first + 4)""")
 query("win09_mps_numbers", "piece_id seq mps", lambda w: V.mps_numbers(w.tokens),
       """select piece_id, seq, sum(step) over (partition by piece_id order by seq rows unbounded preceding) as mps
          from steps""")
@@ -621,6 +693,7 @@ query("agg27_mps_stats", "n_runs avg_length:d", lambda w: V.mps_stats(w.example_
       """select count(*) as n_runs, avg(n) as avg_length from (
            select count(*) as n from rows group by piece_id, mps having count(*) >= 2)""")
 query("agg28_shape_sizes", "shape_size n", lambda w: T.shape_size_histogram(w.merged))
+query("agg28_described_shape_sizes", DESCRIBE_SPEC, lambda w: T.describe_shape_sizes(w.merged))
 query("win18_top_p_pitches", "attr:s item n p:d", lambda w: T.truncate_top_p(
     w.decoded.notes.groupBy(F.lit("pitch").alias("attr"), F.col("pitch").alias("item"))
     .agg(F.count("*").alias("n")), 0.5),
@@ -693,10 +766,24 @@ query("agg17_normal_moments", "feature:s mean:d std:d", lambda w: X.normal_momen
           from (select feature, n, case when bin like '%/%' then cast(split_part(bin, '/', 1) as double)
                   / cast(split_part(bin, '/', 2) as double) else cast(bin as double) end as x
                 from ({TEST_HIST})) group by feature""")
-query("agg17_normal_overlap", "feature:s oa:d", lambda w: X.normal_overlap(*w.test_and_train))
+MOMENTS = """select feature, m, sqrt(greatest(s2 - m * m, 0)) as s from (
+    select feature, sum(x * n) / sum(n) as m, sum(x * x * n) / sum(n) as s2
+    from (select feature, n, case when bin like '%/%' then cast(split_part(bin, '/', 1) as double)
+          / cast(split_part(bin, '/', 2) as double) else cast(bin as double) end as x from ({rows})) group by feature)"""
+BELOW = lambda x, m, s: f"(1 + {O.erf(f'(({x}) - {m}) / ({s} * sqrt(2.0))')}) / 2"
+PART = lambda x: f"abs({BELOW(x, 'm1', 's1')} - {BELOW(x, 'm2', 's2')})"
+OVERLAP = f"""select feature, case when not (s1 > 0 and s2 > 0) then 'NaN'::double
+    when s1 = s2 then 1 - {O.erf('abs(m2 - m1) / (2 * s1 * sqrt(2.0))')} else 1 - {PART('c + r')} - {PART('c - r')} end as oa
+  from (select *, (m1 * s2 * s2 - m2 * s1 * s1) / nullif(s2 * s2 - s1 * s1, 0) as c,
+               s1 * s2 * sqrt((m2 - m1) ** 2 + (s2 * s2 - s1 * s1) * ln(s2 * s2 / (s1 * s1))) / nullif(s2 * s2 - s1 * s1, 0) as r
+        from (select a.feature, a.m as m1, a.s as s1, b.m as m2, b.s as s2
+              from ({MOMENTS.format(rows=TEST_HIST)}) a join ({MOMENTS.format(rows=TRAIN_HIST)}) b on a.feature = b.feature))"""
+query("agg17_normal_overlap", "feature:s oa:d", lambda w: X.normal_overlap(*w.test_and_train), OVERLAP)
 query("agg18_histogram_intersection", "feature:s hi:d",
       lambda w: X.histogram_intersection(X.align_histograms(*w.test_and_train)), HI)
-query("agg19_job06_compare_with_ref", "feature:s kld:d oa:d hi:d", lambda w: X.compare_with_ref(*w.test_and_train))
+query("agg19_job06_compare_with_ref", "feature:s kld:d oa:d hi:d", lambda w: X.compare_with_ref(*w.test_and_train),
+      f"""select k.feature, kld, oa, hi from ({KLD}) k join ({OVERLAP}) o on k.feature = o.feature
+          join ({HI}) h on k.feature = h.feature""")
 query("agg25_notes_per_piece", "piece_id n_notes", lambda w: X.notes_per_piece(w.decoded.notes),
       "select piece_id, count(*) as n_notes from decoded group by 1")
 query("agg25_note_totals", "n_notes avg_notes:d", lambda w: X.note_totals(w.decoded.notes),
@@ -741,10 +828,25 @@ query("agg23_udf02_shape_counts_mulpi", "text:s n",
       lambda w: B.shape_counts_from_pairs(w.pairs, w.single_shapes, "mulpi", CORPUS), MULPI)
 query("bpe02_score_shapes_ours", "text:s n", lambda w: _kernel_counts(w, "ours"), OURS)
 query("bpe02_score_shapes_mulpi", "text:s n", lambda w: _kernel_counts(w, "mulpi"), MULPI)
-query("agg24_best_score", "n", lambda w: B.best_shape(_kernel_counts(w, "ours")), f"select max(n) as n from ({OURS})")
+query("agg24_best_shape", "text:s n", lambda w: B.best_shape(_kernel_counts(w, "ours")),
+      f"select text, n from ({OURS}) order by n desc, text limit 1")
+query("src08_snk03_shapes_round_trip", "shape_id text:s", _shapes_round_trip,
+      f"select row_number() over (order by n desc, text) + 1 as shape_id, text from ({OURS}) order by n desc, text limit 500")
+
+
+def _merged_once(w: Workspace) -> DataFrame:
+    best = B.best_shape(_kernel_counts(w, "ours")).first()["text"]
+    return B.merge_shape(B.lay_out(w.multi_notes), B.DEFAULT_SHAPES, B.shape_tuple(best), CORPUS.tpq)
+
+
+query("bpe03_win16_merged_once", MN_SPEC, _merged_once, O.merged_once(""))
+query("jon06_neighbours_within_two", "piece_id track_number phrase a_k b_k",
+      lambda w: B.neighbour_pairs(w.multi_notes, w.single_shapes, CORPUS.tpq, limit=2).select(
+          "piece_id", "track_number", "phrase", F.col("a.k").alias("a_k"), F.col("b.k").alias("b_k")),
+      "select piece_id, track_number, phrase, a_k, b_k from pairs where b_k <= a_k + 2")
 query("bpe04_win16_learned_multi_notes", MN_SPEC, lambda w: w.learned().multi_notes)
 query("bpe04_learned_mulpi", MN_SPEC, lambda w: w.learned("mulpi").multi_notes)
-query("bpe09_iteration_log", "iteration avg_neighbours:d n_shapes shape:s score n_multi_notes",
+query("bpe09_iteration_log", "iteration avg_neighbours:d n_shapes shape:s score n_multi_notes cut_notes oversized_pairs",
       lambda w: w.learned().iteration_log(w.spark))
 query("bpe05_bpe03_applied_multi_notes", MN_SPEC, lambda w: w.applied)
 
@@ -826,9 +928,19 @@ query("exm02_cut_examples", "piece_id vp_idx pos evt pit dur vel trn mps",
       lambda w: E.cut_examples(w.example_build.token_rows, w.example_build.starts, EXAMPLES), "select * from cut")
 query("exm03_exm04_augmented", "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps", lambda w: w.examples,
       "select piece_id, vp_idx, shift as pitch_shift, pos, evt, pit, dur, vel, trn, mps4 as mps from shifted")
-query("exm05_permuted_tracks", "piece_id vp_idx pitch_shift pos evt trn",
-      lambda w: E.permute_tracks(w.examples, CORPUS.max_track_number, EXAMPLES))
-query("exm06_permuted_mps", "piece_id vp_idx pitch_shift pos evt trn mps", lambda w: E.permute_mps(w.examples, EXAMPLES))
+ALL_ATTRS = "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps"
+OF_EXAMPLE = "piece_id, vp_idx, shift"
+query("exm05_permuted_tracks", ALL_ATTRS,
+      lambda w: E.permute_tracks(w.examples, CORPUS.max_track_number, EXAMPLES),
+      f"""select s.piece_id, s.vp_idx, s.shift as pitch_shift, pos, evt, pit, dur, vel, coalesce(place, 0) as trn, mps4 as mps
+          from shifted s left join (
+            select *, row_number() over (partition by {OF_EXAMPLE} order by {O.shared_hash('0', OF_EXAMPLE, 't')}, t) as place
+            from (select distinct {OF_EXAMPLE}, unnest(range(1, {CORPUS.max_track_number + 1})) as t from shifted)) p
+          on s.piece_id = p.piece_id and s.vp_idx = p.vp_idx and s.shift = p.shift and s.trn = p.t""")
+query("exm06_permuted_mps", ALL_ATTRS, lambda w: E.permute_mps(w.examples, EXAMPLES),
+      f"""select piece_id, vp_idx, shift as pitch_shift, evt, pit, dur, vel, trn, mps4 as mps,
+                 row_number() over (partition by {OF_EXAMPLE} order by is_body, mps4, {O.shared_hash('0', OF_EXAMPLE, 'pos')}) - 1 as pos
+          from shifted""")
 query("exm07_rotated", "piece_id vp_idx start", lambda w: E.rotate(w.example_build.starts, 5),
       """select piece_id, vp_idx, start from (select *, count(*) over (partition by piece_id) as n from starts)
          where vp_idx = 5 % n""")
@@ -839,20 +951,19 @@ query("exm08_example_count", "n_examples", lambda w: E.example_count(w.example_b
 def _padded(w: Workspace) -> DataFrame:
     rows = E.pad_batch(E.to_arrays(w.examples), EXAMPLES.max_len, "left")
     text = lambda a: F.concat_ws(",", F.col(a).cast("array<string>"))
-    return rows.select("piece_id", "vp_idx", "pitch_shift", "length", text("evt").alias("evt"), text("pit").alias("pit"))
-
-
-query("exm09_arr05_padded", "piece_id vp_idx pitch_shift length evt:s pit:s", _padded,
-      """select piece_id, vp_idx, shift as pitch_shift, count(*) as length,
-                repeat('0,', 64 - count(*)) || string_agg(cast(evt as varchar), ',' order by pos) as evt,
-                repeat('0,', 64 - count(*)) || string_agg(cast(pit as varchar), ',' order by pos) as pit
-         from shifted group by 1, 2, 3""")
-query("arr06_shifted_targets", "piece_id vp_idx pitch_shift pos evt target_evt target_pit",
-      lambda w: E.shift_targets(w.examples),
-      """select * from (select piece_id, vp_idx, shift as pitch_shift, pos, evt, lead(evt) over w as target_evt,
-                               lead(pit) over w as target_pit from shifted
-                        window w as (partition by piece_id, vp_idx, shift order by pos))
-         where target_evt is not null""")
+    return rows.select("piece_id", "vp_idx", "pitch_shift", "length", *(text(a).alias(a) for a in E.ATTRS))
+
+
+ATTR_SQL = {a: "mps4" if a == "mps" else a for a in E.ATTRS}
+query("exm09_arr05_padded", "piece_id vp_idx pitch_shift length " + " ".join(f"{a}:s" for a in E.ATTRS), _padded,
+      "select piece_id, vp_idx, shift as pitch_shift, count(*) as length, " + ", ".join(
+          f"repeat('0,', 64 - count(*)) || string_agg(cast({c} as varchar), ',' order by pos) as {a}" for a, c in ATTR_SQL.items())
+      + " from shifted group by 1, 2, 3")
+query("arr06_shifted_targets", "piece_id vp_idx pitch_shift pos evt " + " ".join(f"target_{a}" for a in E.ATTRS),
+      lambda w: E.shift_targets(w.examples, drop_mps=False),
+      "select * from (select piece_id, vp_idx, shift as pitch_shift, pos, evt, " + ", ".join(
+          f"lead({c}) over w as target_{a}" for a, c in ATTR_SQL.items())
+      + " from shifted window w as (partition by piece_id, vp_idx, shift order by pos)) where target_evt is not null")
 query("exm10_primers_measures", "piece_id seq text:s", lambda w: J.primer_tokens(w.tokens, 4, "measure", CORPUS),
       "select piece_id, seq, text from timed where measure_no <= 4 and type <> 'EOS'")
 query("exm10_primers_merged", "piece_id seq text:s",

@@ -88,7 +88,7 @@ class CorpusBuild:
         ]
         if self.p.deny_long_empty_measures:
             rules.append(C.reject_long_empty(
-                C.empty_measure_runs(self.note_measures, self.all_measures)))
+                C.empty_measure_runs(self.note_measures, self.all_measures), self.p))
         return stage(C.first_reasons(rules), "rejects")
 
     @cached_property
@@ -160,7 +160,7 @@ def piece_features(tokens: DataFrame, tpq: int, skip_measures: int = 0,
 
 def raw_features(raw: RawTables, p: CorpusParams = EVALUATION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """JOB4: features straight from raw tables, on a fine grid; and the rejected pieces (K7)."""
-    build = build_corpus(raw, p.with_(deny_long_empty_measures=False))
+    build = build_corpus(raw, p)
     features, hists = piece_features(stage(build.tokens, "tokens"), p.tpq)
     return features, hists, build.rejects
 

@@ -271,16 +271,59 @@ def bpe_ctes(x: str, p: CorpusParams) -> dict[str, str]:
     }
 
 
-def pair_shapes(x: str, condition: str = "true") -> str:
-    """Counts of the shapes of pairs of single notes."""
+def pair_texts(x: str, condition: str = "true") -> str:
+    """Pairs of single notes and the texts of their shapes."""
     member = lambda o, d, pitch, c: (
         f"{b36(o)} || ',' || {b36(pitch)} || ',' || {b36(d)} || case when {c} = 1 then '~;' else ';' end")
     left, right = member("0", "l1", "0", "lc"), member("d1", "r1", "dp", "rc")
     first = "row(0, 0, l1, lc) <= row(d1, (dp + 256) % 256, r1, rc)"
     return f"""
-        select text, count(*) as n from (
-          select case when {first} then {left} || {right} else {right} || {left} end as text
-          from {x}reduced where d1 <= 127 and ({condition})) group by text"""
+        select *, case when {first} then {left} || {right} else {right} || {left} end as text
+        from {x}reduced where d1 <= 127 and ({condition})"""
+
+
+def pair_shapes(x: str, condition: str = "true") -> str:
+    """Counts of the shapes of pairs of single notes."""
+    return f"select text, count(*) as n from ({pair_texts(x, condition)}) group by text"
+
+
+def merged_once(x: str) -> str:
+    """All notes after the most frequent shape of a pair was merged.
+
+    The pairs of a phrase are walked in order of their notes; a pair is merged if both are free.
+    """
+    key = "piece_id, track_number, phrase"
+    on = " and ".join(f"w.{c} = p.{c}" for c in key.split(", "))
+    return f"""
+        with recursive best as (select text from ({pair_shapes(x)}) order by n desc, text limit 1),
+        chosen as (select {key}, a_k, b_k, g, row_number() over (partition by {key} order by a_k, b_k) as i
+                 from ({pair_texts(x)}) where text = (select text from best)),
+        walk as (
+          select distinct {key}, 0::bigint as i, []::bigint[] as used, []::bigint[] as taken from chosen
+          union all
+          select w.piece_id, w.track_number, w.phrase, p.i,
+                 case when list_contains(used, a_k) or list_contains(used, b_k) then used else list_concat(used, [a_k, b_k]) end,
+                 case when list_contains(used, a_k) or list_contains(used, b_k) then taken else list_append(taken, p.i) end
+          from walk w join chosen p on {on} and p.i = w.i + 1),
+        ends as (select {key}, arg_max(taken, i) as taken from walk group by all),
+        done as (select p.* from chosen p join ends w on {on} and list_contains(taken, p.i))
+        select m.piece_id, m.track_number, m.phrase, m.k, case when d.g is null then m.shape_id else 2 end as shape_id,
+               m.onset, m.pitch, coalesce(d.g, m.stretch) as stretch, m.velocity
+        from {x}mn m left join done d on m.piece_id = d.piece_id and m.track_number = d.track_number and m.phrase = d.phrase and m.k = d.a_k
+        where not exists (select 1 from done e where e.piece_id = m.piece_id and e.track_number = m.track_number
+                          and e.phrase = m.phrase and e.b_k = m.k)"""
+
+
+def shared_hash(*parts: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12) as bigint)"
+
+
+def erf(x: str) -> str:
+    """The error function, by the logarithms of its terms."""
+    size = f"greatest(least(abs({x}), 6.0), 1e-300)"
+    terms = (f"list_sum(list_transform(range(0, 121), lambda n: exp((2 * n + 1) * ln({size}) + 2 * n * ln(2.0)"
+             f" + lgamma(n + 1.0) - lgamma(2 * n + 2.0))))")
+    return f"(sign({x}) * least(1.0, 2 / sqrt(pi()) * exp(-({size}) * ({size})) * {terms}))"
 
 
 def vocab_ctes(x: str, p: CorpusParams) -> dict[str, str]:
@@ -360,7 +403,7 @@ def example_ctes(x: str, max_len: int, step: int, shifts: int = 0) -> dict[str,
             select *, case when is_body then mps - min(case when is_body then mps end)
                       over (partition by piece_id, vp_idx) + 4 else mps end as mps4 from {x}cut""",
         f"{x}shifted": f"""
-            select piece_id, vp_idx, shift, pos, evt, dur, vel, trn, mps4,
+            select piece_id, vp_idx, shift, pos, is_body, evt, dur, vel, trn, mps4,
                    case when moves then pit + least(greatest(shift, 1 - min(case when moves then pit end) over e),
                                                    128 - max(case when moves then pit end) over e)
                         else pit end as pit

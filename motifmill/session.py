@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,16 +93,35 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_stages_of(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_jobs:
+        _open_jobs[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open_jobs: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Drop, at the end, the tables that were staged within; results have to be written by then."""
+    _open_jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _open_jobs.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _stages_of(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stages-{spark.sparkContext.applicationId}"
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete this application's staged tables, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_stages_of(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _stages_of(spark))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from motifmill.session import stage
+from motifmill.functions.scan import ranked
 
 
 def _schema(ddl: str) -> T.StructType:
@@ -32,15 +32,15 @@ class RawTables:
     tempos: DataFrame
 
 
-def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """SRC1: every ``.mid``/``.midi``/``.MID`` below all roots, by path (K2: all roots count).
+def list_files(spark: SparkSession, roots: list[str], pattern: str = "*.{mid,midi,MID}") -> DataFrame:
+    """SRC1: every file of that pattern of names below all roots, by path (K2: all roots count).
 
     Only names and sizes are read.  An empty result is an error.
     """
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{mid,midi,MID}")
+        .option("pathGlobFilter", pattern)
         .load(roots)
         .select("path", "length")
     )
@@ -50,19 +50,14 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def number_paths(paths: DataFrame) -> DataFrame:
-    """TOP5: ``piece_id`` is the rank of the path.
+    """TOP5: ``piece_id`` is the rank of the path."""
+    return ranked(paths, "path", "piece_id")
 
-    A range sort, ranks within each partition, and the partitions' sizes added up: no window
-    over all paths.
-    """
-    ordered = stage(paths.select("path").orderBy("path").withColumns({
-        "part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "paths")
-    parts = ordered.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    # One row per partition of the sort.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return ordered.join(F.broadcast(offsets), "part").select(
-        "path", (F.col("place") - F.col("first") + F.col("offset")).alias("piece_id"))
+
+def write_notes(raw: RawTables, folder: str, mode: str = "errorifexists") -> None:
+    """The five tables as ``read_notes`` takes them."""
+    for name, table in zip(SCHEMAS, (raw.pieces, raw.tracks, raw.notes, raw.time_sigs, raw.tempos)):
+        table.write.mode(mode).parquet(f"{folder}/{name}")
 
 
 def read_notes(spark: SparkSession, folder: str) -> RawTables:

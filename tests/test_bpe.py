@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from motifmill.operators import bpe as B, merge_kernel as M, tokens as K
-from motifmill.params import CORPUS, BpeParams
+from motifmill.params import CORPUS, BpeParams, Limits
 from math import gcd
 
 GAP = 12
@@ -169,3 +169,59 @@ def test_phrases_end_at_rests(spark):
     note = lambda on, st: {"on": on, "pi": 60, "st": st, "sh": 0, "ve": 40}
     got = as_frame(spark, [[note(0, 30), note(5, 5), note(42, 3), note(58, 3)]])
     assert rows(got, "onset", "phrase", "k") == [(0, 0, 1), (42, 0, 3), (5, 0, 2), (58, 58, 1)]
+
+
+def test_no_limit_on_neighbours(spark):
+    """200 notes at one onset: all pairs without a limit, and what a limit leaves out is counted."""
+    notes = B.to_multi_notes(
+        spark.createDataFrame([(0, 0, "N", 0, 0, k % 100, 1 + k // 100, 4) for k in range(200)],
+                              "piece_id bigint, track_number int, type string, is_cont int, onset int, pitch int, duration int, velocity int"), GAP)
+    single = B.shapes_frame(spark, B.DEFAULT_SHAPES)
+    every = B.neighbour_pairs(notes, single, GAP, limit=None).count()
+    assert every == 200 * 199 // 2
+    totals = {}
+    for limit in (None, 126):
+        keys = B.score_shapes(B.lay_out(notes), B.DEFAULT_SHAPES, "ours", GAP, Limits(neighbours=limit))
+        totals[limit] = {r.l: r.n for r in keys.filter("l < 0").collect()}
+    assert (totals[None][-1], totals[None][-2], totals[None][-3]) == (every, 200, 0)
+    assert totals[126][-1] == B.neighbour_pairs(notes, single, GAP).count()
+    assert totals[126][-3] == 200 - 127
+
+
+def test_carry_without_a_limit(spark, monkeypatch):
+    """Batches of a few rows give the same pairs as one batch."""
+    notes = B.lay_out(as_frame(spark, random_tracks(3)))
+    count = lambda: sorted(tuple(r) for r in B.score_shapes(notes, B.DEFAULT_SHAPES, "ours", GAP, Limits(neighbours=None)).collect())
+    whole = count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert count() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_too_many_shapes():
+    with pytest.raises(ValueError):
+        BpeParams(iterations=2**16)
+    with pytest.raises(ValueError):
+        Limits(neighbours=0)
+
+
+def test_workers_import_the_package_from_anywhere(tmp_path):
+    """A merge in a fresh session that was started in another folder, without PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from motifmill.operators import bpe as B
+from motifmill.session import local_session
+spark = local_session(2, 2)
+rows = [(0, 0, "N", 0, t, 60, 1, 4) for t in range(6)]
+notes = B.to_multi_notes(spark.createDataFrame(rows, "piece_id bigint, track_number int, type string, is_cont int, onset int, pitch int, duration int, velocity int"), 12)
+print("merged", B.apply_shapes(notes, [B.shape_tuple("0,0,1;1,0,1;")], 12).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "merged 3" in done.stdout, done.stderr[-2000:]

@@ -60,6 +60,11 @@ def test_gcd(spark, a, b):
     assert value(spark, S.gcd_upto(F.lit(a), F.lit(b), 48)) == math.gcd(a, b)
 
 
+@pytest.mark.parametrize("values", [(100, 150), (0, 0), (0, 7), (2**40, 6 * 2**30, 0), (987, 610), (13,), (48, 36, 60)])
+def test_gcd_of(spark, values):
+    assert value(spark, S.gcd_of(F.array(*(F.lit(v) for v in values)))) == math.gcd(*values)
+
+
 def test_forty_two_time_signatures(spark):
     s = S.supported_time_signatures(spark)
     assert s.count() == 42 and s.agg(F.max("length")).first()[0] == 144
@@ -396,7 +401,8 @@ def test_text_sinks(spark, tmp_path):
     assert Z.read_corpus(spark, str(tmp_path)).count() == 3
     with pytest.raises(IndexError):
         Z.get_piece(corpus, 9)
-    assert rows(Z.extract(corpus, "-1", 3), "text") == [("BOS c",)]
+    assert rows(Z.extract(corpus, "-1"), "text") == [("BOS c",)]
+    assert rows(Z.get_line(corpus, -1), "text") == [("BOS c",)]
     pieces = spark.createDataFrame([(1, "b.mid"), (0, "a.mid")], "piece_id bigint, path string")
     Z.write_pathlist(pieces, str(tmp_path))
     assert rows(R.read_pathlist(spark, f"{tmp_path}/pathlist"), "path") == [("a.mid",), ("b.mid",)]
@@ -419,3 +425,31 @@ def test_evaluating_a_collection_against_itself(spark):
         "piece_id bigint, feature string, bin string, n bigint")
     for r in J.evaluate(h, h).collect():
         assert (r.kld, r.hi) == (pytest.approx(0.0), pytest.approx(1.0)) and r.oa == pytest.approx(1.0)
+
+
+def test_describe_with_an_outlier(spark):
+    """One value far away leaves the others spread over the ranges, and the quartiles exact."""
+    import statistics
+    from motifmill.operators import stats as T
+    values = [float(v) for v in range(2000)] + [1e12]
+    got = T.describe(spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "name string, value double")).collect()
+    a = next(r for r in got if r["name"] == "a")
+    assert [a["25%"], a["50%"], a["75%"]] == pytest.approx(statistics.quantiles(values, n=4, method="inclusive"))
+
+
+def test_dropped_notes(spark):
+    notes = spark.createDataFrame([(1, 0, 0, 5, 60), (1, 0, 300, 310, 60), (1, 128, 0, 5, 20), (2, 0, 5, 5, 60)],
+                                  "piece_id bigint, instrument int, start int, end int, pitch int")
+    p = CORPUS.with_(event_time_limit=200)
+    assert rows(C.dropped_notes(notes, p), "piece_id", "reason", "n") == [(1, "no drum", 1), (1, "too late", 1), (2, "no length", 1)]
+    assert C.keep_playable_notes(notes, p).count() == 1
+
+
+def test_staged_tables_of_a_job_are_dropped(spark):
+    import os
+    from motifmill import session
+    with session.job(spark):
+        kept = session.stage(spark.range(3))
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

@@ -1,6 +1 @@
-import os
-import sys
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from conftest_llm import corpus, docs_of  # noqa: E402, F401
+from .conftest_llm import corpus, docs_of  # noqa: F401

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest_llm import EDGES, words
+from .conftest_llm import EDGES, words
 
 from motifmill.llm import decontaminate as D, fingerprints as P, graph, ngram_join as N, suffix_dedup as S
 

@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from motifmill.llm import decontaminate, oracle, queries, quality
-from test_pairs import components, plain
-from test_single import library
+from .test_pairs import components, plain
+from .test_single import library
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +101,7 @@ def test_pipeline_step_by_step(spark, folder, tables):
 
 
 def test_pipeline_of_odd_rows(spark, docs_of, folder):
-    from conftest_llm import EDGES
+    from .conftest_llm import EDGES
     docs = docs_of(EDGES)
     for k, (_, step) in enumerate(corpus_pipeline.STAGES):
         docs = step(spark, docs, folder)

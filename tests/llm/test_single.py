@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import EDGES, words
+from .conftest_llm import EDGES, words
 
 from motifmill.llm import (
     bpe_automaton as B, html_template as H, language as L, license_scan as C, pretokens, quality as Q, token_files as T,

@@ -58,6 +58,10 @@ class Workspace:
     def raw(self) -> R.RawTables:
         return projections.raw_tables(self.spark, self.folder)
 
+    @cached_property
+    def odd(self) -> J.CorpusBuild:
+        return J.build_corpus(projections.odd_tables(self.spark, self.folder), CORPUS)
+
     @cached_property
     def splits(self) -> DataFrame:
         return projections.splits(self.spark, self.folder)
@@ -416,6 +420,10 @@ query("flt04_corrupt_pieces", "piece_id rank",
                   from raw_notes n join pieces f on n.piece_id = f.piece_id where end_tick > start_tick))
           where rank is not null group by piece_id""")
 query("flt05_flt11_rejects", "piece_id rank reason:s", lambda w: w.build().rejects, "select * from rejects")
+query("flt05_flt11_all_reasons", "piece_id rank", lambda w: w.odd.rejects,
+      "select piece_id, min(rank) as rank from od_broken group by piece_id", O.odd_ctes())
+query("win02_win03_odd_measures", "piece_id measure_idx onset length", lambda w: w.odd.all_measures,
+      "select * from od_measures", O.odd_ctes())
 query("agg01_rejection_counts", "reason:s n", lambda w: C.rejection_counts(w.build().rejects),
       "select reason, count(*) as n from rejects group by reason")
 

@@ -7,7 +7,7 @@ front of a final select.  Written with per-piece windows and joins, without any
 from __future__ import annotations
 
 from motifmill.params import CORPUS, EVALUATION, CorpusParams
-from motifmill.sources.projections import PROJECTION_SQL
+from motifmill.sources.projections import ODD_SQL, PROJECTION_SQL
 
 NULL = "cast(null as bigint)"
 DIGITS = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -426,6 +426,56 @@ def base_ctes() -> dict[str, str]:
     return ctes
 
 
+def odd_ctes() -> dict[str, str]:
+    """``ODD_SQL`` up to the reasons of rejection, all rules written out."""
+    ctes = dict(ODD_SQL)
+    ctes |= {n: sql.replace("raw_", "od_raw_") for n, sql in corpus_ctes("od_", CORPUS).items()
+             if n in ("od_map", "od_quant", "od_playable", "od_chunks", "od_extent", "od_sigs", "od_changes")}
+    ctes["od_first"] = """
+        select piece_id, numer, denom, first_onset, last_end, length,
+               case when row_number() over w = 1 and time = 1 and coalesce(lead(time) over w % length = 0, true)
+                    then 0 else time end as time
+        from (select *, 48 * numer // denom as length from od_changes)
+        window w as (partition by piece_id order by time, change_idx)"""
+    ctes["od_filled"] = """
+        select * from od_first union all
+        select piece_id, 4, 4, any_value(first_onset), any_value(last_end), 48, 0 from od_first
+        group by piece_id having min(time) > any_value(first_onset)"""
+    ctes["od_segments"] = """
+        select *, coalesce(lead(time) over (partition by piece_id order by time),
+                           time + ((last_end - time) // length + 1) * length) as next_time from od_filled where length > 0"""
+    ctes["od_measures"] = """
+        select *, row_number() over (partition by piece_id order by onset) - 1 as measure_idx
+        from (select piece_id, length, unnest(range(time + greatest((first_onset - time) // length, 0) * length,
+                                                    least(next_time, last_end + 1), length)) as onset
+              from od_segments where next_time > first_onset)"""
+    ctes["od_span"] = """
+        select piece_id, min(onset) as a, max(onset) as z, max(onset + length) as stop, count(*) as n
+        from od_measures group by piece_id"""
+    ctes["od_busy"] = """
+        select distinct c.piece_id, measure_idx from od_chunks c join od_measures m on c.piece_id = m.piece_id
+             and c.onset >= m.onset and c.onset < m.onset + m.length"""
+    ctes["od_runs"] = """
+        select s.piece_id, greatest(coalesce(max(run), 0), any_value(n) - 1 - coalesce(max(measure_idx), -1)) as longest
+        from od_span s left join (select *, measure_idx - coalesce(lag(measure_idx) over (
+          partition by piece_id order by measure_idx), -1) as run from od_busy) b on s.piece_id = b.piece_id group by s.piece_id"""
+    ctes["od_broken"] = f"""
+        select piece_id, 1 as rank from pieces where piece_id not in (select piece_id from od_raw_tracks)
+        union all select piece_id, 3 from od_quant where s > 262143 and e > 262143
+        union all select piece_id, 4 from od_quant where e - s > 16383
+        union all select piece_id, 5 from pieces where piece_id not in (select piece_id from od_extent)
+        union all select piece_id, 6 from od_extent where piece_id not in (select piece_id from od_sigs)
+        union all select piece_id, 7 from od_sigs where not (denom in (2, 4, 8) and numer between 1 and least(24, 3 * denom))
+        union all select piece_id, 8 from od_segments where next_time > first_onset and (next_time - time) % length <> 0
+        union all select e.piece_id, case when s.z is null or not (z <= last_end and last_end < stop) then 9 else 10 end
+                  from od_extent e left join od_span s on e.piece_id = s.piece_id
+                  where s.z is null or not (z <= last_end and last_end < stop) or a > first_onset
+        union all select t.piece_id, 11 from od_raw_tempos t join pieces f on t.piece_id = f.piece_id join od_extent e on e.piece_id = t.piece_id
+                  group by t.piece_id having min({quantise('time_tick', 12)}) > any_value(last_end)
+        union all select piece_id, 12 from od_runs where longest >= 20"""
+    return ctes
+
+
 def evaluation_ctes(x: str = "ev_") -> dict[str, str]:
     return corpus_ctes(x, EVALUATION.with_(deny_long_empty_measures=False))
 

@@ -73,5 +73,36 @@ def raw_tables(spark: SparkSession, folder: str) -> RawTables:
                        ("pieces", "raw_tracks", "raw_notes", "raw_time_sigs", "raw_tempos")])
 
 
+#: Pieces with something wrong, by their ids; the columns of ``PROJECTION_SQL``, read from its tables.
+ODD_SQL = {
+    "od_raw_tracks": "select piece_id, track_idx, program, is_drum from raw_tracks where piece_id % 12 <> 1",
+    "od_raw_notes": """
+        select piece_id, track_idx, start_tick + case when piece_id % 12 = 5 then 10600000 else 0 end as start_tick,
+               end_tick + case when piece_id % 12 = 5 then 10600000 when piece_id % 12 = 4 and start_tick % 50 = 0 then 700000
+                               else 0 end as end_tick, pitch, velocity
+        from raw_notes
+        where piece_id % 12 not in (1, 2) and (piece_id % 12 <> 9 or start_tick < 4000 or start_tick > 50000)
+          and (piece_id % 12 <> 10 or start_tick < 3840 or start_tick > 34560)""",
+    "od_raw_time_sigs": """
+        select piece_id, change_idx, case when change_idx > 0 then time_tick when piece_id % 12 = 6 then 3840
+                                          when piece_id % 12 = 7 then 40 else time_tick end as time_tick, numer, denom
+        from raw_time_sigs where piece_id % 12 <> 3""",
+    "od_raw_tempos": """
+        select piece_id, change_idx, time_tick + case when piece_id % 12 = 8 then 9000000 else 0 end as time_tick, bpm
+        from raw_tempos""",
+}
+
+
+def odd_tables(spark: SparkSession, folder: str) -> RawTables:
+    """``raw_tables`` with pieces that break one rule each."""
+    raw = raw_tables(spark, folder)
+    sources = {"raw_tracks": raw.tracks, "raw_notes": raw.notes, "raw_time_sigs": raw.time_sigs, "raw_tempos": raw.tempos}
+
+    def of(name):
+        sql, source = ODD_SQL[f"od_{name}"], sources[name]
+        return spark.sql(sql.replace(f"from {name}", "from {source}"), source=source).to(source.schema)
+    return RawTables(raw.pieces, *(of(n) for n in sources))
+
+
 def splits(spark: SparkSession, folder: str) -> DataFrame:
     return project(spark, folder, "splits")

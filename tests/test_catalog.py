@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from motifmill.plans import catalog
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Nothing scores above the limit or differs in these at this scale.
@@ -26,7 +27,7 @@ def normal(columns, data):
     return sorted((tuple(r[i] for i in order) for r in data), key=str)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, folder, con, name):
     df = QUERIES[name](spark, folder)
     mine = normal(df.columns, [tuple(r) for r in df.collect()])

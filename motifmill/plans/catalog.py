@@ -142,6 +142,11 @@ class Workspace:
         shapes = self.learned().shapes_frame(self.spark)
         return stage(J.merged_tokens(self.applied, shapes, self.timed, CORPUS), "merged")
 
+    @cached_property
+    def merged_build(self) -> J.ExampleBuild:
+        """Vocabulary, rows and examples of the merged corpus."""
+        return J.ExampleBuild(self.merged, CORPUS, EXAMPLES, shapes=self.learned().shapes_frame(self.spark))
+
     @cached_property
     def merged_decoded(self) -> D.Decoded:
         return J.staged(D.decode_tokens(stage(K.running_time(self.merged, CORPUS.tpq)), CORPUS.tpq))
@@ -866,7 +871,20 @@ def _foreign(w: Workspace) -> DataFrame:
 
 
 query("bpe06_apply_foreign", MN_SPEC, _foreign)
-query("bpe07_snk04_merged_corpus", "piece_id text:s", lambda w: K.join_text(w.merged))
+def _merged_round_trip(w: Workspace) -> DataFrame:
+    folder = w.scratch("merged")
+    Z.write_corpus(K.join_text(w.merged), folder)
+    return Z.read_corpus(w.spark, folder)
+
+
+query("bpe07_snk04_merged_corpus", "piece_id text:s", _merged_round_trip)
+query("exm01_merged_vocab", "attr:s id text:s", lambda w: w.merged_build.vocab)
+query("jon07_merged_rows", "piece_id seq evt pit dur vel trn mps", lambda w: w.merged_build.token_rows)
+query("jon08_merged_rows_and_back", "piece_id seq text:s",
+      lambda w: V.decode_rows(w.merged_build.token_rows, w.merged_build.vocab))
+query("exm04_merged_examples", "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps", lambda w: w.merged_build.examples)
+query("job03_merged_features", "piece_id " + " ".join(f"{c}:d" for c in X.SCALARS),
+      lambda w: J.piece_features(w.merged, CORPUS.tpq)[0])
 
 
 def _edges(notes: DataFrame) -> DataFrame:

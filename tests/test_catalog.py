@@ -41,3 +41,14 @@ def test_query(spark, folder, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_merged_corpus_through_rows(spark, folder):
+    """Every token of the merged corpus has an id and comes back from it; its text survives a store."""
+    run = lambda name: QUERIES[name](spark, folder)
+    tokens = catalog.Workspace.of(spark, folder).merged
+    assert tokens.filter("type = 'U'").count() > 0
+    texts = {(r.piece_id, r.seq): r.text for r in tokens.select("piece_id", "seq", "text").collect()}
+    assert {(r.piece_id, r.seq): r.text for r in run("jon08_merged_rows_and_back").collect()} == texts
+    lines = {r.piece_id: r.text.split(" ") for r in run("bpe07_snk04_merged_corpus").collect()}
+    assert {(p, k): t for p, line in lines.items() for k, t in enumerate(line)} == texts

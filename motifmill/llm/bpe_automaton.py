@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.pretokens import WordTable, split
+from motifmill.llm.tables import prepare
 from motifmill.llm.text import Rolling, ranges_of, texts_of
-from motifmill.session import ship_package
 
 NEVER = 1 << 30
 #: Longer words take their steps alone.
-LOCKSTEP = 24
+LOCKSTEP = 32
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,16 +58,26 @@ class Automaton:
         self.label_at = np.cumsum(self.label_size) - self.label_size
         self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
         # Gadgets, one after the other: parts, and when the state came to be.
-        self.gadgets: dict[tuple[int, int], int] = {}
+        gadgets: dict[tuple[int, int], int] = {}
         self.arcs: dict[tuple[int, int], bool] = {}
         left = {i: [(i, NEVER)] for t, i in vocab.items() if len(t) == 1}
         right = {i: [(i, NEVER)] for t, i in vocab.items() if len(t) == 1}
-        self.left, self.right = left, right
+
+        def arc(x, y):
+            """Whether the arc from x to y is there: no gadget cut it while both its ends were bare."""
+            for a, a_gone in right[x]:
+                for b, b_gone in left[y]:
+                    time = gadgets.get((a, b))
+                    # Of one merge's places the leftmost goes first.
+                    if time is not None and time < a_gone and time <= b_gone:
+                        return False
+            return True
+
         for time, (u, v) in enumerate(merges):
             u, v, new = vocab[u], vocab[v], vocab[u + v]
-            if u not in left or v not in left or not self._arc(u, v):
+            if u not in left or v not in left or not arc(u, v):
                 continue
-            self.gadgets[u, v] = time
+            gadgets[u, v] = time
             if new not in left:
                 left[new] = [(new, NEVER), (u, time), *left[u][1:]]
                 right[new] = [(new, NEVER), (v, time), *right[v][1:]]
@@ -80,8 +90,8 @@ class Automaton:
         hashes = Rolling(text).of(ends - self.label_size[token_ids], ends)
         order = np.argsort(hashes)
         self.hashes, self.hash_ids = hashes[order], token_ids[order]
-        pairs = np.array([u << 32 | v for u, v in self.gadgets], np.int64)
-        times, order = np.array(list(self.gadgets.values()), np.int64), np.argsort(pairs)
+        pairs = np.array([u << 32 | v for u, v in gadgets], np.int64)
+        times, order = np.array(list(gadgets.values()), np.int64), np.argsort(pairs)
         self.pairs, self.times = pairs[order], times[order]
         self.left_spine, self.left_gone = self._spines(left, size)
         self.right_spine, self.right_gone = self._spines(right, size)
@@ -97,22 +107,12 @@ class Automaton:
             token[: len(spine), i], gone[: len(spine), i] = zip(*spine)
         return token, gone
 
-    def _arc(self, x: int, y: int) -> bool:
-        """Whether the arc from x to y is there: no gadget cut it while both its ends were bare."""
-        for a, a_gone in self.right[x]:
-            for b, b_gone in self.left[y]:
-                time = self.gadgets.get((a, b))
-                # Of one merge's places the leftmost goes first.
-                if time is not None and time < a_gone and time <= b_gone:
-                    return False
-        return True
-
     def follows(self, x: int, y: int) -> bool:
         found = self.arcs.get((x, y))
         if found is None:
-            if len(self.arcs) > 1 << 20:
+            if len(self.arcs) > 1 << 16:
                 self.arcs.clear()
-            self.arcs[x, y] = found = self._arc(x, y)
+            self.arcs[x, y] = found = bool(self._check(np.array([x]), np.array([y]))[0])
         return found
 
     def _follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ class Automaton:
             self.fresh.append((new, value))
             self.n_fresh += len(new)
             if self.n_fresh > 1 << 16:
-                if len(self.known) > 1 << 21:
+                if len(self.known) > 1 << 20:
                     self.known, self.may = self.known[:1], self.may[:1]
                 keys = np.concatenate([self.known, *(k for k, _ in self.fresh)])
                 values = np.concatenate([self.may, *(v for _, v in self.fresh)])
@@ -137,7 +137,7 @@ class Automaton:
         return out
 
     def _check(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """``follows`` along the spines of all pairs at once."""
+        """``follows`` along the spines of all pairs at once: no gadget cut an arc while both its ends were bare."""
         ok = np.ones(len(x), bool)
         for a, a_gone in zip(self.right_spine, self.right_gone):
             some = np.flatnonzero(a[x] >= 0)
@@ -246,7 +246,7 @@ def _compiled(path: str) -> tuple[Automaton, WordTable]:
 def tokenize(data: np.ndarray, offsets: np.ndarray, table: WordTable, special) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, number of ids of each row), in steps of bounded size where rows are not too long."""
     ids, counts = [], []
-    for i, j in ranges_of(offsets, 1 << 22):
+    for i, j in ranges_of(offsets, 1 << 20):
         low = int(offsets[i])
         own, bounds = data[low: int(offsets[j])], offsets[i: j + 1] - low
         starts = split(own, bounds, special)
@@ -283,7 +283,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFram
     decoded_sha256).  One row per row of ``docs``, repeated ones and null doc_ids included; null and empty
     texts have no tokens.  The file has to be installed at the same path on all executors.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = ("doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string" if with_ids
               else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

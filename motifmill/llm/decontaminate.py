@@ -27,8 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from motifmill.llm.tables import prepare
 from motifmill.llm.text import ranges_of, texts_of
-from motifmill.session import ship_package
 
 WALKS = 2
 #: Steps of each level, and samples taken from them.
@@ -178,7 +178,7 @@ def distance_within(item: bytes, region: bytes, most: int) -> int:
 def _found(batch, items: Items, max_share: float):
     """(row, item, distance, word) of the items that are in a batch's texts."""
     data, offsets = plain(batch.column("text"))
-    for i, j in ranges_of(offsets, 1 << 22):
+    for i, j in ranges_of(offsets, 1 << 20):
         low = int(offsets[i])
         own, bounds = data[low: int(offsets[j])], offsets[i: j + 1] - low
         tried = set()
@@ -234,7 +234,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.1) ->
     number of words before it.  One row per row of ``docs`` and item, repeated rows included.  Null and empty texts and items
     match nothing; items with fewer than 16 characters of words are too short to be told from chance and are not searched.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance long, word long, item_chars long"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -245,7 +245,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.1) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.1) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def clean(batches, items):
         for batch in batches:

@@ -23,7 +23,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from motifmill.session import ship_package, stage
+from motifmill.llm.tables import prepare
+from motifmill.session import stage
 
 #: A host with fewer pages is taken together with the others of that kind; share of a group's pages that a class needs.
 FEW, SUPPORT = 3, 0.05
@@ -226,7 +227,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null pages are empty and have an empty text; pages with a null or odd url belong to the hosts with few pages.
     """
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     many = stage(pages.groupBy("host").count().filter((F.col("count") >= FEW) & (F.col("host") != "")).select(

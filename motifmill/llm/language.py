@@ -12,10 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from motifmill.llm.tables import prepare, smallest_hashes
 from motifmill.llm.text import ranges_of, texts_of
-from motifmill.session import ship_package
 
 #: Trigrams are hashed to so many numbers.
 DIMENSIONS = 1 << 12
@@ -124,20 +124,18 @@ def learn(docs: DataFrame, held_out: Column | None = None, per_language: int = 5
     """Centroids from ``docs`` (doc_id, text, lang), without the ``held_out``.
 
     At most ``per_language`` documents of each language are used, those with the smallest hashes of their ids, and at most
-    ``most`` altogether (the languages with the smallest hashes share them evenly), so the driver gets at
+    ``most`` altogether (shared evenly by the languages), so the driver gets at
     most ``most`` vectors of trigram counts.  Null languages and texts are left out.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null")
     if held_out is not None:
         known = known.filter(~held_out)
     n = known.select("lang").distinct().count()
     each = max(1, min(per_language, most // max(1, n)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
-    picked = picked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(most)
-    found = known.join(F.broadcast(picked), "doc_id").mapInArrow(_sparse, "lang string, where binary, value binary").toPandas()
+    picked = smallest_hashes(known.select("doc_id", "lang"), "lang", each).distinct().limit(most)
+    found = known.join(F.broadcast(picked), ["doc_id", "lang"]).mapInArrow(_sparse, "lang string, where binary, value binary").toPandas()
     found = found.sort_values(["lang", "where", "value"], kind="stable")
     counts = np.zeros((len(found), DIMENSIONS), np.float32)
     for row, (at, value) in enumerate(zip(found["where"], found["value"])):
@@ -151,7 +149,7 @@ def predict(docs: DataFrame, model: Centroids, reject: bool = True) -> DataFrame
     ``score`` is the cosine with the nearest centroid.  Null texts and texts without a letter are ``und`` with a
     score of 0; so is every text if nothing was learned; with ``reject``, texts too far from their centroid too.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.graph import components
-from motifmill.llm.tables import keyed, parts, with_key
+from motifmill.llm.tables import keyed, parts, prepare, with_key
 from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, word_hashes
-from motifmill.session import ship_package, stage
+from motifmill.session import stage
 
 #: A column is busy from so many rows on, or from a power of two more if over BUSY would be.
 BUSY_FROM, BUSY = 64, 1 << 20
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reachable by links.  Null and blank texts have an empty set and link with nothing.  Rows that repeat
     doc_id and text give one row; rows that repeat only doc_id stay apart (``key``).
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return _Join(keyed(docs), width, percent).run()
 
 

@@ -95,7 +95,7 @@ class WordTable:
     more than ``limit`` words, so its memory is bounded.
     """
 
-    def __init__(self, encode, kind=np.uint32, limit: int = 1 << 21):
+    def __init__(self, encode, kind=np.uint32, limit: int = 1 << 20):
         self.encode, self.kind, self.limit = encode, kind, limit
         self._clear()
 

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from motifmill.llm.text import ranges_of, texts_of
-from motifmill.session import ship_package
+from motifmill.llm.tables import prepare, smallest_hashes
+from motifmill.llm.text import STEP, ranges_of, texts_of
 
 WIDTH, FILTERS, EMBEDDING = 8, 16, 6
 #: Bytes of half a chunk; chunks overlap by a half.  Zero bytes before and after each text.
@@ -95,15 +95,15 @@ class Network:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One probability per text; a text is worked through in slices of bounded size."""
         out = []
-        for i, j in ranges_of(offsets, 1 << 20):
+        for i, j in ranges_of(offsets):
             low, high = int(offsets[i]), int(offsets[j])
-            if high - low > 1 << 21:
+            if high - low > 2 * STEP:
                 # A very long text: chunks of all slices together.
                 tops = []
-                for a in range(low, high, 1 << 20):
-                    piece = data[a: min(high, a + (1 << 20) + WIDTH)]
+                for a in range(low, high, STEP):
+                    piece = data[a: min(high, a + STEP + WIDTH)]
                     laid, _, _ = _layout(piece, np.array([0, len(piece)]))
-                    tops.append(self.halves(laid)[0][: -(-min(1 << 20, high - a) // HALF)])
+                    tops.append(self.halves(laid)[0][: -(-min(STEP, high - a) // HALF)])
                 top = np.concatenate(tops)
                 first, halves = np.zeros(1, np.int64), np.array([len(top)])
             else:
@@ -213,15 +213,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     They are those with the smallest hashes of their ids, without the ``held_out``; of texts with more than
     ``most`` bytes stretches from all over the text are used.  So at most 2 * per_label * most bytes reach the driver.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
         "doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
     if held_out is not None:
         known = known.filter(~held_out)
-    picked = None
-    for c in (0, 1):
-        some = known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        picked = some if picked is None else picked.union(some)
+    picked = smallest_hashes(known, "label", per_label)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(picked), "doc_id")  # at most 2 * per_label rows
     found = texts.mapInArrow(lambda b: _excerpts(b, most), "text binary, label int").toPandas()
@@ -235,7 +232,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     Null texts are empty; an empty text has the probability that the network gives to no input at all.  A column of that name is
     replaced.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("quality_score")
     model = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -250,7 +247,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 def keep_good(docs: DataFrame, network: Network, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has a probability of ``least`` or more, with all their columns."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):

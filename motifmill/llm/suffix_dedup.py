@@ -31,9 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from motifmill.llm.tables import keyed, parts, with_key
+from motifmill.llm.tables import keyed, parts, prepare, with_key
 from motifmill.llm.text import STEP, Rolling, mix, ranges_of, texts_of
-from motifmill.session import ship_package, stage
+from motifmill.session import stage
 
 #: Bits of a window's packed key that hold its place in a slice; the rest orders triggers.
 _PLACE = np.uint64((1 << 28) - 1)
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
     both doc_id and text give one row, rows that repeat only doc_id count as documents in the order
     of their texts' hashes, and a null doc_id comes before all others.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = keyed(docs)
     runs = (repeated_windows(rows.select("key", "text"), length, trigger).groupBy("key")
             .agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
 
 def without_repeats(docs: DataFrame, length: int = 100, trigger: int = 32) -> DataFrame:
     """``docs`` with all rows and columns; ``text`` without what repeats an earlier string, ``n_chars`` (if there) counted anew."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows, key = with_key(docs)
     runs = (repeated_windows(rows.select(F.col(key).alias("key"), "text"), length, trigger).groupBy("key")
             .agg(F.collect_list(F.struct("start", "stop")).alias("runs"))

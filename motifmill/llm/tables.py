@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from motifmill.session import stage
+from motifmill.session import ship_package, stage
+
+
+#: Bytes of an Arrow batch that goes to a Python task, unless the session has its own setting: a task's memory
+#: is then bounded by a few of them, whatever the length of the texts (a longer text comes alone).
+BATCH_BYTES = 8 << 20
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What Python tasks need: the package on the workers, and batches of bounded size."""
+    ship_package(spark)
+    if spark.conf.get(_SETTING, None) == _DEFAULT:
+        spark.conf.set(_SETTING, BATCH_BYTES)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +57,7 @@ def range_bounds(docs: DataFrame, n: int) -> list[int]:
     """At most n - 1 doc_ids that cut the documents into parts of about the same number."""
     if n < 2:
         return []
-    found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.1 / n)
+    found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], max(0.1 / n, 1e-4))
     return sorted({int(x) for x in found})
 
 
@@ -64,3 +76,16 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     order = docs.select("doc_id", F.col(name).alias("was")).orderBy("doc_id", "was").rdd.zipWithIndex()
     order = stage(order.map(lambda x: (x[0][1], x[1])).toDF("was long, place long"), "keys")
     return docs.join(order, docs[name] == order["was"]).withColumn(name, F.col("place")).drop("was", "place"), name
+
+
+def smallest_hashes(ids: DataFrame, by: str, each: int) -> DataFrame:
+    """(doc_id, ``by``) of the ``each`` rows with the smallest hashes of doc_id, per value of ``by``.
+
+    Rows whose hash is too large for that by far are left out before rows of one value meet, so a value with
+    any number of rows brings a few times ``each`` together.
+    """
+    counts = ids.groupBy(by).agg(F.count("*").alias("of_value"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    few = ids.join(counts, by).withColumn("place", place).filter(F.col("place") * F.col("of_value") <= 4 * each + 40)
+    order = Window.partitionBy(by).orderBy("place", "doc_id")
+    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("doc_id", by)

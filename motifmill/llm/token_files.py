@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motifmill.llm.bpe_automaton import tokenize
 from motifmill.llm.pretokens import WordTable
-from motifmill.llm.tables import parts, range_bounds, texts
+from motifmill.llm.tables import parts, prepare, range_bounds, texts
 from motifmill.llm.text import texts_of
-from motifmill.session import ensure_checkpoint_dir, ship_package
+from motifmill.session import ensure_checkpoint_dir
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, vocabular
     by their ids.  The file has to be at the same path on all executors.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     width, n = int(dtype[-1]), parts(spark)
     docs = texts(docs)
@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, vocabular
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, position, start, n_tokens, ids_crc32) of every document of a corpus on disk."""
-    ship_package(spark)
+    prepare(spark)
     manifest = spark.read.parquet(f"{folder}/manifest")
     kinds = [r["dtype"] for r in manifest.select("dtype").distinct().collect()]
     dtype = kinds[0] if kinds else "<u2"

@@ -176,8 +176,8 @@ class Automaton:
             out[i] = np.array(self.encode_word(words[i]), np.uint32)
         short = np.flatnonzero(lengths <= LOCKSTEP)
         short = short[np.argsort(-lengths[short], kind="stable")]
-        for k in range(0, len(short), 1 << 16):
-            some = short[k: k + (1 << 16)]
+        for k in range(0, len(short), 1 << 14):
+            some = short[k: k + (1 << 14)]
             for i, ids in zip(some.tolist(), self._lockstep([words[i] for i in some.tolist()], lengths[some])):
                 out[i] = ids
         for i, w in enumerate(words):

@@ -6,6 +6,8 @@ callers go through a batch in steps of ``STEP`` bytes, whatever the length of it
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,8 +24,20 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _give_back() -> None:
+    """Return to the system what earlier batches of this worker have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+_C = ctypes.CDLL(None)
+
+
 def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; nulls are empty."""
+    _give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

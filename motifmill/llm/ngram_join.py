@@ -218,26 +218,27 @@ def _block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     out = []
-    width = max(map(len, frame["parity"])) // 8
-    def folded(p, to):
-        x = np.frombuffer(p, np.uint64)
-        while len(x) > to:
-            x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    def folded(x, to):
+        while x.shape[-1] > to:
+            x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2:]
         return x
-    # Only widths within a factor of two can meet, as sizes differ by less.
+    # Sizes alone say which rows can meet; of two widths the larger is folded to the smaller, on either side.
     by_width = {}
-    for w in sorted({len(p) // 8 for p in right["parity"]}):
-        some = right[[len(p) // 8 in (w, 2 * w) for p in right["parity"]]]
+    wide = np.array([len(p) // 8 for p in right["parity"]])
+    for w in np.unique(wide).tolist():
+        some = right[wide == w]
         by_width[w] = (some["rep"].to_numpy(), some["n"].to_numpy(), some["component"].to_numpy(),
-                       np.array([folded(p, w) for p in some["parity"]]))
+                       {w: np.array([np.frombuffer(p, np.uint64) for p in some["parity"]])})
     for rep, n, component, parity in zip(left["rep"], left["n"], left["component"], left["parity"]):
-        own = len(parity) // 8
-        for w in {x for x in (own, own // 2) if x in by_width}:
-            reps, sizes, comps, bits = by_width[w]
+        parity = np.frombuffer(parity, np.uint64)
+        for w, (reps, sizes, comps, bits) in by_width.items():
             ok = (comps != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
             if not ok.any():
                 continue
-            low = np.bitwise_count(bits[ok] ^ folded(parity, w)).sum(axis=1)
+            to = min(w, len(parity))
+            if to not in bits:
+                bits[to] = folded(bits[w], to)
+            low = np.bitwise_count(bits[to][ok] ^ folded(parity, to)).sum(axis=1)
             good = low <= sizes[ok] + n - 2 * needed_overlap(sizes[ok], n, percent)
             other = reps[ok][good]
             out.append(np.stack([np.minimum(rep, other), np.maximum(rep, other)], axis=1))

@@ -64,6 +64,21 @@ def test_parity_never_exceeds_difference():
         assert N._differ(N._parity(x), N._parity(x)) == 0
 
 
+@pytest.mark.parametrize("percent, sizes", [(80, (32, 33)), (80, (33, 32)), (80, (30, 36)), (40, (32, 70)), (40, (70, 32))])
+def test_block_pairs_across_widths(percent, sizes):
+    """A row of a list's lower part and only rows with wider, or narrower, parities in the higher one."""
+    import numpy as np
+    import pandas as pd
+    every = np.unique(np.random.default_rng(3).integers(0, 1 << 62, 80).astype(np.uint64))
+    rows = [(0, every[: sizes[0]], 0), *((k, np.roll(every, -(k // 2))[: sizes[1]], 1) for k in (1, 2, 3))]
+    frame = pd.DataFrame([(rep, len(g), rep, N._parity(g), side) for rep, g, side in rows],
+                         columns=["rep", "n", "component", "parity", "side"])
+    linked = {(0, rep) for rep, g, side in rows if side
+              and 100 * len(set(g) & set(rows[0][1])) >= percent * len(set(g) | set(rows[0][1]))}
+    found = N._block_pairs(frame, percent)
+    assert linked and linked <= set(zip(found["a"].tolist(), found["b"].tolist()))
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + k, 401 + k) for k in range(60)] + [(5, 5)]

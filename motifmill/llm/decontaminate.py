@@ -1,21 +1,13 @@
 """Search for benchmark items in documents, by edit distance.
 
-The CGK embedding reads a text with a pointer: each step puts out the byte below the pointer and moves it on by one or
-not at all, as a random table of (step, byte) says.  Texts at a small edit distance are thereby mapped to sequences at
-a small Hamming distance: after an edit the pointers soon fall into step again.  Samples of an embedding, a few
-of its steps, are therefore equal for near texts with a good probability, and for others hardly ever.
-
-* Texts are reduced to lower-case letters and digits with one space between words.
-* Windows begin at every word of a document, and at every word of an item from which enough of it is left; they
-  are as long as the rest of the item.  So an item that is hidden in a document gives many windows, in each of
-  ``WALKS`` embeddings with samples of their own, and is missed only if all of them fail.
-* Samples are taken in levels from the embedding's beginning.  A window is followed to the next level only
-  if some item has the samples of the level before, so most are given up after few steps.
-* What is left is aligned with the item exactly, and counts if at most ``max_share`` of the item has to be edited.
-
-If an edit hits each byte with probability e, the samples of one level-3 window are untouched with a probability of at
-least (1 - e) ** 48, about 0.38 at e = 0.02; an item of 30 words has about 20 windows in each of two embeddings, so
-it is found with a probability above 0.99 (``recall_of``).
+An item of L bytes may have k = floor(max_share * L) edits.  It is cut into k // 2 + 1 groups, so one group at least has at most
+one edit, and one of that group's halves has none.  Each half is therefore looked up at every byte of a document, and
+what is found is followed into the other half with at most one edit.  No item within the limit is missed.
+
+* Texts are reduced to lower-case letters and digits with one space between words.  Letters of scripts without spaces need none: halves are looked up at every byte.
+* Halves that are found are aligned with the whole item exactly, and count if at most k of its bytes have to be edited.
+* Items with fewer than ``SHORT`` bytes are too short to be told from chance if edited: they are looked for as they are, as
+  whole words.
 """
 
 from __future__ import annotations
@@ -30,21 +22,16 @@ from pyspark.sql import DataFrame, functions as F
 from motifmill.llm.tables import prepare
 from motifmill.llm.text import ranges_of, texts_of
 
-WALKS = 2
-#: Steps of each level, and samples taken from them.
-LEVELS = ((0, 16, 6), (16, 32, 5), (32, 48, 5))
 #: Bytes of benchmark text that are sent to the executors at once; more is searched in turns.
 SLICE = 8 << 20
-FILTER = 1 << 22
+#: Items with fewer bytes are looked for without edits.
+SHORT = 16
+#: Bytes of a half that are looked up, and those of the other half that are compared.
+KEY, NEAR = 8, 16
+FILTER_BITS = 22
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MASK = (1 << 64) - 1
-
-
-def recall_of(edit_rate: float, windows: int, walks: int = WALKS) -> float:
-    """Lower estimate of the probability that an item with so many windows is found."""
-    return 1 - (1 - (1 - edit_rate) ** LEVELS[-1][1]) ** max(1, windows // 4 * walks)
 
 
 def plain(column) -> tuple[np.ndarray, np.ndarray]:
@@ -62,89 +49,127 @@ def plain(column) -> tuple[np.ndarray, np.ndarray]:
     return out[taken], count[offsets]
 
 
-class Walk:
-    """One embedding: its random table and its samples."""
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(1000 + seed)
-        self.moves = rng.integers(0, 2, (LEVELS[-1][1], 256)).astype(np.int32)
-        self.samples = [np.sort(rng.choice(np.arange(a, b), n, replace=False)) for a, b, n in LEVELS]
 
-    def level(self, data, at, keys, level):
-        """Go on from pointers ``at`` with samples ``keys`` through one level."""
-        low, high, _ = LEVELS[level]
-        wanted = set(self.samples[level].tolist())
-        at, keys = at.copy(), keys.copy()
-        for step in range(low, max(wanted) + 1):
-            byte = data[at]
-            if step in wanted:
-                keys = (keys ^ byte) * _MIX
-            at += self.moves[step][byte]
-        for step in range(max(wanted) + 1, high):
-            at += self.moves[step][data[at]]
-        return at, keys
+def _slot(keys):
+    return ((keys * _MIX) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _slot(keys):
-    return (keys >> np.uint64(64 - 22)).astype(np.int64)
+def _within_one(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the first ``size`` bytes of each row of ``x`` are a beginning of that row of ``y``, one longer, with one edit at most."""
+    past = np.arange(x.shape[1]) >= size[:, None]
+
+    def last(same):
+        wrong = ~same
+        return np.where(wrong.any(axis=1), x.shape[1] - 1 - wrong[:, ::-1].argmax(axis=1), -1)
+
+    same = (x == y[:, :-1]) | past
+    first = np.where(same.all(axis=1), x.shape[1], same.argmin(axis=1))
+    lost = np.ones_like(same)  # the document lacks a byte
+    lost[:, 1:] = (x[:, 1:] == y[:, :-2]) | past[:, 1:]
+    more = (x == y[:, 1:]) | past
+    return (last(same) <= first) | (last(lost) <= first) | (last(more) < first)
 
 
 class Items:
-    """Windows of the items of one slice of a benchmark, by the samples of their embeddings."""
+    """Halves of the items of one slice of a benchmark, by their first bytes."""
 
-    def __init__(self, ids: list, texts: pa.Array):
+    def __init__(self, ids: list, texts: pa.Array, max_share: float = 0.1):
         data, offsets = plain(texts)
         self.ids = ids
         self.texts = [data[a:b].tobytes().rstrip() for a, b in zip(offsets[:-1], offsets[1:])]
-        self.walks = [Walk(k) for k in range(WALKS)]
-        steps = [b for _, b, _ in LEVELS]
+        self.most = [math.floor(max_share * len(t)) if len(t) >= SHORT else 0 for t in self.texts]
+        # By the bytes of the key: (key, item, start, bytes on which way, other half).
+        seeds: dict[tuple[int, bool], list] = {}
+        for item, text in enumerate(self.texts):
+            if not text:
+                continue
+            if len(text) < SHORT:
+                seeds.setdefault((min(KEY, len(text)), True), []).append((text[:KEY], item, 0, 0, 0, b""))
+                continue
+            groups = max(1, min(self.most[item] // 2 + 1, len(text) // 2))
+            cuts = [len(text) * g // (2 * groups) for g in range(2 * groups + 1)]
+            for h in range(2 * groups):
+                a, b = cuts[h], cuts[h + 1]
+                if h % 2:
+                    other, step, edge = text[cuts[h - 1]: a][::-1][:NEAR], -1, -1
+                else:
+                    other, step, edge = text[b: cuts[h + 2]][:NEAR], 1, b - a
+                n = min(KEY, b - a)
+                seeds.setdefault((n, False), []).append((text[a: a + n], item, a, edge, step, other))
         self.tables = []
-        for walk in self.walks:
-            levels = [([], [], []) for _ in LEVELS]
-            filters = [np.zeros(FILTER, bool) for _ in LEVELS]
-            for item, text in enumerate(self.texts):
-                reach = sum(len(text) >= s for s in steps)
-                if not reach:
-                    continue
-                own = np.frombuffer(text + bytes(steps[-1]), np.uint8)
-                starts = np.flatnonzero(np.append(True, own[: len(text) - 1] == 32)).astype(np.int32)
-                starts = starts[starts + steps[reach - 1] <= len(text)]
-                at, keys = starts, np.zeros(len(starts), np.uint64)
-                for level in range(reach):
-                    at, keys = walk.level(own, at, keys, level)
-                    filters[level][_slot(keys)] = True
-                for column, values in zip(levels[reach - 1], (keys, np.full(len(starts), item), starts)):
-                    column.append(values)
-            table = []
-            for found in levels:
-                keys, item, start = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
-                order = np.argsort(keys, kind="stable")
-                table.append((keys[order], item[order].astype(np.int64), start[order].astype(np.int64)))
-            self.tables.append((table, filters))
+        for (n, whole), own in sorted(seeds.items()):
+            keys = np.array([int.from_bytes(x[0], "little") for x in own], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            own = [own[k] for k in order]
+            hit = np.zeros(1 << FILTER_BITS, bool)
+            hit[_slot(keys)] = True
+            near = np.frombuffer(b"".join(x[5].ljust(NEAR, b"\0") for x in own), np.uint8).reshape(-1, NEAR)
+            item, start, edge, step, size = (np.array(v, np.int64) for v in zip(*((*x[1:5], len(x[5])) for x in own)))
+            self.tables.append((n, whole, hit, keys, item, start, edge, step, size, near))
 
     def candidates(self, data: np.ndarray, bounds: np.ndarray):
-        """(place in ``data``, item, place in the item) of windows with equal samples."""
-        padded = np.append(data, np.zeros(LEVELS[-1][1] + 1, np.uint8))
-        begin = np.zeros(len(data) + 1, bool)
-        begin[1:] = data == 32
-        begin[bounds] = True
-        begins = np.flatnonzero(begin[:-1]).astype(np.int32)
-        for walk, (table, filters) in zip(self.walks, self.tables):
-            for k in range(0, len(begins), 1 << 15):
-                first = begins[k: k + (1 << 15)]
-                at, keys = first, np.zeros(len(first), np.uint64)
-                for level in range(len(LEVELS)):
-                    at, keys = walk.level(padded, at, keys, level)
-                    hit = filters[level][_slot(keys)]
-                    first, at, keys = first[hit], at[hit], keys[hit]
-                    if not len(first):
-                        break
-                    own, item, start = table[level]
-                    low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
-                    n = high - low
-                    if n.any():
-                        take = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-                        yield np.repeat(first, n).astype(np.int64), item[take], start[take]
+        """(place in ``data``, item, place in the item) of halves that are in ``data`` with at most one edit in the other half."""
+        room = NEAR + 1
+        pad = room + max([int(t[6].max()) for t in self.tables], default=0) + KEY
+        padded = np.concatenate([np.zeros(pad, np.uint8), data, np.zeros(pad, np.uint8)])
+        for low in range(0, len(data), 1 << 17):
+            size = min(1 << 17, len(data) - low)
+            bytes_ = padded[pad + low: pad + low + size + KEY]
+            words = np.zeros(size, np.uint64)
+            for k in range(KEY):
+                words |= bytes_[k: k + size].astype(np.uint64) << np.uint64(8 * k)
+            for n, whole, filter_, keys, item, start, edge, step, other, near in self.tables:
+                found = words & _mask(n)
+                at = np.flatnonzero(filter_[_slot(found)])
+                left, right = np.searchsorted(keys, found[at], "left"), np.searchsorted(keys, found[at], "right")
+                at, left, count = at[right > left], left[right > left], (right - left)[right > left]
+                ends = np.cumsum(count)
+                # A key that many items have is worked through in rounds of bounded size.
+                k = 0
+                while k < len(at):
+                    j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 17), "right")))
+                    m = count[k:j]
+                    which = np.arange(m.sum()) + np.repeat(left[k:j] - (np.cumsum(m) - m), m)
+                    place = np.repeat(at[k:j], m) + low
+                    k = j
+                    if not whole:
+                        for part in range(0, len(which), 1 << 14):
+                            w, p = which[part: part + (1 << 14)], place[part: part + (1 << 14)]
+                            y = padded[(p + pad + edge[w])[:, None] + step[w][:, None] * np.arange(room)]
+                            ok = _within_one(near[w], other[w], y)
+                            if ok.any():
+                                yield p[ok], item[w[ok]], start[w[ok]]
+                    elif len(which):
+                        yield self._whole(data, bounds, place, item[which])
+
+    def _whole(self, data, bounds, place, item):
+        """Of places and short items those where the item stands as whole words."""
+        keep = np.zeros(len(place), bool)
+        for k, (p, t) in enumerate(zip(place.tolist(), item.tolist())):
+            text = self.texts[t]
+            row = np.searchsorted(bounds, p, "right") - 1
+            a, b, end = int(bounds[row]), int(bounds[row + 1]), p + len(text)
+            if end > b or data[p:end].tobytes() != text:
+                continue
+            # Letters of scripts without spaces stand next to each other whatever the word.
+            keep[k] = ((p == a or data[p - 1] == 32 or _spaceless(data, p, text[:1]))
+                       and (end == b or data[end] == 32 or _spaceless(data, end, text[-1:])))
+        return place[keep], item[keep], np.zeros(int(keep.sum()), np.int64)
+
+
+def _spaceless(data, at, byte):
+    """Whether a word may end between two characters at ``at``: both have three bytes or more, or the item's own has."""
+    near = data[max(0, at - 3): at + 3].tobytes()
+    own = byte[0]
+    if own < 128:
+        return False
+    before = near[: min(3, at)].decode("utf-8", "ignore")[-1:]
+    after = near[min(3, at):].decode("utf-8", "ignore")[:1]
+    return any(c >= "\u0e00" for c in before) and any(c >= "\u0e00" for c in after)
 
 
 def distance_within(item: bytes, region: bytes, most: int) -> int:
@@ -175,7 +200,7 @@ def distance_within(item: bytes, region: bytes, most: int) -> int:
     return int(min(row.min(), most + 1))
 
 
-def _found(batch, items: Items, max_share: float):
+def _found(batch, items: Items):
     """(row, item, distance, word) of the items that are in a batch's texts."""
     data, offsets = plain(batch.column("text"))
     for i, j in ranges_of(offsets, 1 << 20):
@@ -184,10 +209,12 @@ def _found(batch, items: Items, max_share: float):
         tried = set()
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for place, item, start in items.candidates(own, bounds):
+            if not len(place):
+                continue
             row = np.searchsorted(bounds, place, "right") - 1
             for r, p, t, s in zip(row.tolist(), place.tolist(), item.tolist(), start.tolist()):
                 text = items.texts[t]
-                most = math.floor(max_share * len(text))
+                most = items.most[t]
                 spot = (r, t, (p - s) // max(1, most))
                 if spot in tried or best.get((r, t), (1,))[0] == 0:
                     continue
@@ -201,10 +228,10 @@ def _found(batch, items: Items, max_share: float):
             yield i + r, t, d, words
 
 
-def _search(batches, items, max_share):
+def _search(batches, items):
     held = items.value
     for batch in batches:
-        found = list(_found(batch, held, max_share))
+        found = list(_found(batch, held))
         rows = pa.array([x[0] for x in found], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(rows), pa.array([held.ids[x[1]] for x in found], pa.int64()),
@@ -213,7 +240,7 @@ def _search(batches, items, max_share):
             names=["doc_id", "item_id", "distance", "word", "item_chars"])
 
 
-def _slices(benchmark: DataFrame):
+def _slices(benchmark: DataFrame, max_share: float):
     """The benchmark's items, broadcast in slices of bounded size."""
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
@@ -223,7 +250,7 @@ def _slices(benchmark: DataFrame):
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         table = part.orderBy("item_id", "text").toArrow()
-        yield sc.broadcast(Items(table["item_id"].to_pylist(), table["text"].combine_chunks()))
+        yield sc.broadcast(Items(table["item_id"].to_pylist(), table["text"].combine_chunks(), max_share))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.1) -> DataFrame:
@@ -232,14 +259,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.1) ->
     An item is in a document if some part of the document's text is at an edit distance of at most ``max_share`` of the
     item's length; both are taken as lower-case words.  ``distance`` is the smallest found and ``word`` the
     number of words before it.  One row per row of ``docs`` and item, repeated rows included.  Null and empty texts and items
-    match nothing; items with fewer than 16 characters of words are too short to be told from chance and are not searched.
+    match nothing; items with fewer than ``SHORT`` bytes of words are in a document only as they are, as whole words.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance long, word long, item_chars long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _slices(benchmark):
-        out = out.union(docs.mapInArrow(lambda b, x=items: _search(b, x, max_share), schema))
+    for items in _slices(benchmark, max_share):
+        out = out.union(docs.mapInArrow(lambda b, x=items: _search(b, x), schema))
     return out
 
 
@@ -250,9 +277,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float =
     def clean(batches, items):
         for batch in batches:
             texts = batch.select(["text"])
-            dirty = {x[0] for x in _found(texts, items.value, max_share)}
+            dirty = {x[0] for x in _found(texts, items.value)}
             yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
 
-    for items in _slices(benchmark):
+    for items in _slices(benchmark, max_share):
         docs = docs.mapInArrow(lambda b, x=items: clean(b, x), docs.schema)
     return docs

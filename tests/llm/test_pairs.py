@@ -193,6 +193,36 @@ def test_find_items(spark, docs_of):
     assert D.drop_contaminated(docs_of(docs), bench.limit(0)).count() == len(docs)
 
 
+def searched(items, docs):
+    """(row, item) of the items that are found, by the batch search alone."""
+    import pyarrow as pa
+    held = D.Items(list(range(len(items))), pa.array(items, pa.string()), 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.string())], names=["text"])
+    return {(r, t): d for r, t, d, _ in D._found(batch, held)}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.08, 0.1])
+def test_edited_short_items_are_all_found(share):
+    rng = random.Random(12)
+    one_byte = str.maketrans("éñ", "en")
+    items = [words(rng, 60).translate(one_byte)[: rng.randint(50, 120)].strip() for _ in range(60)]
+    docs = []
+    for x in items:  # anywhere
+        docs.append(words(rng, 30) + " " + edited(rng, x, int(share * len(x))) + " " + words(rng, 30))
+    for x in items:  # evenly spread
+        raw, n = list(x), int(share * len(x))
+        for k in range(n):
+            raw[(2 * k + 1) * len(raw) // (2 * n)] = "q"
+        docs.append(words(rng, 9) + " " + "".join(raw) + " " + words(rng, 9))
+    found = searched(items, docs)
+    assert {(r, r % 60) for r in range(len(docs))} <= set(found)
+
+
+def test_items_of_few_characters_as_whole_words():
+    docs = ["we say short, often", "shorter", "a Short", "ashort cut", "one two", "done two"]
+    assert set(searched(["short", "one two"], docs)) == {(0, 0), (2, 0), (4, 1)}
+
+
 def test_distance_within():
     rng = random.Random(3)
     for _ in range(60):

@@ -4,7 +4,8 @@ An item of L bytes may have k = floor(max_share * L) edits.  It is cut into k //
 one edit, and one of that group's halves has none.  Each half is therefore looked up at every byte of a document, and
 what is found is followed into the other half with at most one edit.  No item within the limit is missed.
 
-* Texts are reduced to lower-case letters and digits with one space between words.  Letters of scripts without spaces need none: halves are looked up at every byte.
+* Texts are reduced to lower-case letters and digits with one space between words; Unicode white space, punctuation and
+  symbols separate words as well.  Letters of scripts without spaces need none: halves are looked up at every byte.
 * Halves that are found are aligned with the whole item exactly, and count if at most k of its bytes have to be edited.
 * Items with fewer than ``SHORT`` bytes are too short to be told from chance if edited: they are looked for as they are, as
   whole words.
@@ -13,6 +14,7 @@ what is found is followed into the other half with at most one edit.  No item wi
 from __future__ import annotations
 
 import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,30 @@ FILTER_BITS = 22
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+# Characters of two to four bytes that separate words.
+_PARTS = np.array([unicodedata.category(chr(c))[0] in "ZPS" or 0x80 <= c < 0xA0 or c == 0x200B for c in range(0x20000)])
+_PARTS[:0x80] = False
+
+
+def _separators(data: np.ndarray) -> np.ndarray:
+    """The bytes of characters beyond ASCII that separate words."""
+    out = []
+    for low, high, n in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + n <= len(data)]
+        code = (data[at] & (0x7F >> n)).astype(np.int64)
+        for k in range(1, n):
+            code = code << 6 | data[at + k] & 0x3F
+        at = at[(code < len(_PARTS)) & _PARTS[np.minimum(code, len(_PARTS) - 1)]]
+        out += [at + k for k in range(n)]
+    return np.concatenate(out)
 
 
 def plain(column) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case words with a space after each, and the offsets of the rows."""
     data, offsets = texts_of(pc.utf8_lower(column.cast(pa.large_string())))
     keep = _WORD[data]
+    keep[_separators(data)] = False
     ends = np.zeros(len(data) + 1, bool)  # places that close a word: the first other byte, or the end of a row
     ends[1:-1] = keep[:-1] & ~keep[1:]
     # A word at the end of a row has no byte after it, so the row's last word stays without a space.

@@ -218,9 +218,16 @@ def test_edited_short_items_are_all_found(share):
     assert {(r, r % 60) for r in range(len(docs))} <= set(found)
 
 
+def test_items_in_text_without_spaces():
+    item = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    docs = ["他说道" + item + "然后走了", "全文：" + item + "。完", "天地玄黄宇宙洪荒日月盈昃", "前面的话　" + item[:9] + "闻" + item[10:] + "，"]
+    found = searched([item], docs)
+    assert set(found) == {(0, 0), (1, 0), (3, 0)} and found[0, 0] == found[1, 0] == 0
+
+
 def test_items_of_few_characters_as_whole_words():
-    docs = ["we say short, often", "shorter", "a Short", "ashort cut", "one two", "done two"]
-    assert set(searched(["short", "one two"], docs)) == {(0, 0), (2, 0), (4, 1)}
+    docs = ["we say short, often", "shorter", "a Short", "ashort cut", "one two", "done two", "一「短い」二"]
+    assert set(searched(["short", "one two", "短い"], docs)) == {(0, 0), (2, 0), (4, 1), (6, 2)}
 
 
 def test_distance_within():

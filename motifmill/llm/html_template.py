@@ -193,8 +193,7 @@ def deduce(pages: DataFrame) -> DataFrame:
     best = Window.partitionBy("host")
     open_ = (F.col("chars") > 0) & ~F.col("constant") & (2 * F.col("linked") < F.col("chars"))
     judged = slots.withColumn("any_main", F.max(F.col("main") & (F.col("chars") > 0)).over(best)).withColumn(
-        "most", F.max(F.when(open_, F.col("chars"))).over(best)).withColumn(
-        "content", F.when(F.col("any_main"), F.col("main")).otherwise(open_ & (10 * F.col("chars") >= F.col("most"))))
+        "content", F.when(F.col("any_main"), F.col("main")).otherwise(open_))
     content = judged.filter("content").groupBy("host").agg(F.collect_set("slot").alias("content"))
     return template.groupBy("host").agg(F.collect_set("path").alias("template")).join(content, "host", "left").select(
         F.col("host").alias("grp"), "template", "content")

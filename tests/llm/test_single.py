@@ -281,3 +281,16 @@ def test_template_without_names(spark):
     assert found == want
     rules = H.deduce(spark.createDataFrame([("g", i, h) for i, _, h in rows], "grp string, page long, html string")).first()
     assert "/html/body/div.w0/div.k0" in rules.template and rules.content == ["/html/body/div.w0/div.k0"]
+
+
+def texts_without_names(spark, bodies):
+    pages = [(i, "http://z.example/" + str(i), f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in found}
+
+
+def test_short_slots_are_kept(spark):
+    rng = random.Random(6)
+    bodies = [f"<h1>head {words(rng, 3)}</h1><div class=k1><p>{words(rng, 200)}</p></div><div class=k2>same</div>" for _ in range(6)]
+    found = texts_without_names(spark, bodies)
+    assert all(t.startswith("head ") and "same" not in t for t in found.values())

@@ -47,6 +47,9 @@ NOT_TEXT_NAMES = set("""ad ads advert adverts advertisement advertising adsense
 HEADERS = {"header", "masthead", "topbar", "hero"}
 MAIN = {"article", "main"}
 MAIN_NAMES = {"article", "main", "post", "entry", "story"}
+#: Elements that no name drops; names that say nothing for sure within a main part.
+KEPT = {"html", "body", "main", "article"}
+UNSURE = {"notice", "notices", "alert"}
 
 
 class Page:
@@ -55,19 +58,42 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int, bool, bool]] = []
         self.opened: dict[str, int] = {}
+        self.weak: set[str] = set()
+        self._inside: list[tuple[frozenset, bool]] = []
         self._run(source)
+        self._judge()
+
+    def _judge(self):
+        """Elements whose compound name says main part are it if they hold most of the page's open text."""
+        size, total = {}, 0
+        for (_, text, linked, dropped, _), (named, _) in zip(self.blocks, self._inside):
+            if not dropped and 2 * linked < len(text):
+                total += len(text)
+                for k in named:
+                    size[k] = size.get(k, 0) + len(text)
+        held = {k for k, n in size.items() if 2 * n > total}
+        self.blocks = [(path, text, linked, dropped, main or not dropped and bool(named & held))
+                       for (path, text, linked, dropped, main), (named, _) in zip(self.blocks, self._inside)]
+        # Where nothing else is, an article within a part that is dropped by its name is the main part.
+        if not any(main and not dropped for _, _, _, dropped, main in self.blocks):
+            self.blocks = [(path, text, linked, dropped and not buried, main or buried)
+                           for (path, text, linked, dropped, main), (_, buried) in zip(self.blocks, self._inside)]
 
     def _run(self, source):
-        # A frame: (tag, path, no text, in the main part, a link)
-        stack = [("", "", False, False)]
-        links, parts, linked, at = 0, [], 0, 0
+        # A frame: (tag, path, no text, in the main part, elements with a compound main name, dropped by tag, article in a dropped part,
+        # a compound name that may say no text)
+        stack = [("", "", False, False, frozenset(), False, False, False)]
+        links, parts, linked, at, opened = 0, [], 0, 0, 0
 
         def flush():
             nonlocal parts, linked
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, path, dropped, main = stack[-1]
+                _, path, dropped, main, named, _, buried, weak = stack[-1]
                 self.blocks.append((path, text, min(linked, len(text)), dropped, main))
+                self._inside.append((named, buried))
+                if weak:
+                    self.weak.add(path)
             parts, linked = [], 0
 
         def words(a, b):
@@ -119,18 +145,32 @@ class Page:
                         del stack[k:]
                         links = 0
                         break
-            names = []
+            names, own = [], set()
             for key, value in _NAME.findall(found[3] or found[6] or ""):
-                names += [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower()) if w]
-            _, path, dropped, main = stack[-1]
-            own = set(names)
-            dropped = dropped or tag in NOT_TEXT or bool(own & NOT_TEXT_NAMES) or (
-                not main and (tag in HEADERS or bool(own & HEADERS)))
+                value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower()
+                names += [w for w in re.split(r"[^a-z0-9]+", value) if w]
+                own.update(value.split())
+            _, path, dropped, main, named, by_tag, buried, weak = stack[-1]
+            pieces = set(names) - own
+            if tag in KEPT:
+                by_name = False
+            else:
+                by_name = bool(own & (NOT_TEXT_NAMES - UNSURE if main else NOT_TEXT_NAMES)) or not main and bool(own & HEADERS)
+                weak = weak or bool(pieces & (NOT_TEXT_NAMES | HEADERS) or main and own & UNSURE)
+            by_tag = by_tag or tag in NOT_TEXT or not main and tag in HEADERS
+            if tag == "main" and not by_tag:
+                dropped = weak = False
+            buried = buried and not by_name or tag == "article" and dropped and not by_tag and not set(names) & NOT_TEXT_NAMES
+            buried = buried and not by_tag
+            dropped = dropped or by_tag or by_name
             main = main or not dropped and (tag in MAIN or bool(own & MAIN_NAMES))
+            if not main and pieces & MAIN_NAMES:
+                opened += 1
+                named = named | {opened}
             label = ".".join([tag, *(re.sub(r"\d+", "0", w) for w in names[:4])])
             path = f"{path}/{label}"
             self.opened[path] = self.opened.get(path, 0) + 1
-            stack.append((tag, path, dropped, main))
+            stack.append((tag, path, dropped, main, named, by_tag, buried, weak))
         flush()
 
 
@@ -142,7 +182,7 @@ def host_of(url):
 def _tokens(batches):
     """Per page and path: how often, and what text it holds itself."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(10)]
         for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
             page = Page(source or "")
             held: dict[str, list] = {}
@@ -151,12 +191,13 @@ def _tokens(batches):
                 x[0], x[1], x[2] = x[0] + len(text), x[1] + linked, hash_of(x[2], text)
             for path, n in page.opened.items():
                 x = held.get(path, (0, 0, 0, False, False))
-                for column, value in zip(out, (host, key, path, n, *x)):
+                for column, value in zip(out, (host, key, path, n, *x, path in page.weak)):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()),
              pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.int64()), pa.array(out[7], pa.bool_()),
-             pa.array(out[8], pa.bool_())], names=["host", "page", "path", "n", "chars", "linked", "text", "dropped", "main"])
+             pa.array(out[8], pa.bool_()), pa.array(out[9], pa.bool_())],
+            names=["host", "page", "path", "n", "chars", "linked", "text", "dropped", "main", "weak"])
 
 
 def hash_of(seed: int, text: str) -> int:
@@ -164,16 +205,19 @@ def hash_of(seed: int, text: str) -> int:
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """(grp, template, content): each group's template paths, and those of them whose slots hold main text.
+    """(grp, template, content, cut): each group's template paths, those whose slots hold main text, and paths ruled out by name and slot.
 
     ``pages`` has page, grp and html.  A template has as many paths as the host has kinds of elements.
     """
     rows = pages.select(F.col("grp").alias("host"), "page", "html").mapInArrow(
-        _tokens, "host string, page long, path string, n long, chars long, linked long, text long, dropped boolean, main boolean")
+        _tokens, "host string, page long, path string, n long, chars long, linked long, text long, dropped boolean, main boolean, weak boolean")
     vectors = stage(rows.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("text") == F.max("text")).alias("constant"),
-        F.bool_or("dropped").alias("dropped"), F.bool_or("main").alias("main")), "vectors")
+        F.bool_or("dropped").alias("dropped"), F.bool_or("main").alias("main"), F.bool_or("weak").alias("weak")).withColumn(
+        # What a piece of a compound name may rule out: dropped if it is always the same, or mostly links.
+        "cut", F.col("weak") & (F.col("chars") > 0) & (F.col("constant") & (F.col("pages") > 1) | (2 * F.col("linked") >= F.col("chars")))
+        ), "vectors")
     size = vectors.groupBy("host").agg(F.max("pages").alias("all"))
     # Classes of equal vectors; valid ones are once on each of enough pages.
     classes = vectors.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("tokens")).join(size, "host").filter(
@@ -188,25 +232,27 @@ def deduce(pages: DataFrame) -> DataFrame:
         above["host"] == template["host"])).select(above["host"], above["path"], "slot")
     deepest = slot.groupBy("host", "path").agg(F.max_by("slot", F.length("slot")).alias("slot"))
     slots = vectors.join(deepest, ["host", "path"]).groupBy("host", "slot").agg(
-        F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("chars"))).alias("chars"), F.sum("linked").alias("linked"),
+        F.sum(F.when(F.col("dropped") | F.col("cut"), 0).otherwise(F.col("chars"))).alias("chars"), F.sum(F.when(F.col("cut"), 0).otherwise(F.col("linked"))).alias("linked"),
         F.bool_and(F.col("constant") & (F.col("pages") > 1)).alias("constant"), F.bool_or("main").alias("main"))
     best = Window.partitionBy("host")
     open_ = (F.col("chars") > 0) & ~F.col("constant") & (2 * F.col("linked") < F.col("chars"))
     judged = slots.withColumn("any_main", F.max(F.col("main") & (F.col("chars") > 0)).over(best)).withColumn(
         "content", F.when(F.col("any_main"), F.col("main")).otherwise(open_))
     content = judged.filter("content").groupBy("host").agg(F.collect_set("slot").alias("content"))
-    return template.groupBy("host").agg(F.collect_set("path").alias("template")).join(content, "host", "left").select(
-        F.col("host").alias("grp"), "template", "content")
+    cut = vectors.filter("cut").groupBy("host").agg(F.collect_set("path").alias("cut"))
+    paths = template.groupBy("host").agg(F.collect_set("path").alias("template"))
+    return vectors.select("host").distinct().join(paths, "host", "left").join(content, "host", "left").join(cut, "host", "left").select(
+        F.col("host").alias("grp"), "template", "content", "cut")
 
 
-def main_text(page: Page, template: set[str], content: set[str]) -> str:
+def main_text(page: Page, template: set[str], content: set[str], cut: set[str] = frozenset()) -> str:
     """Blocks in slots with main text or in a part of the page that is named so; if there are none, all that is not mostly links."""
     def in_slot(path):
         while path and path not in template:
             path = path.rpartition("/")[0]
         return path in content
 
-    blocks = [b for b in page.blocks if not b[3]]
+    blocks = [b for b in page.blocks if not b[3] and b[0] not in cut]
     kept = [b for b in blocks if b[4] or in_slot(b[0])]
     return " ".join(b[1] for b in kept or [b for b in blocks if 2 * b[2] < len(b[1])])
 
@@ -214,8 +260,8 @@ def main_text(page: Page, template: set[str], content: set[str]) -> str:
 def _extract(batches):
     for batch in batches:
         texts = []
-        for source, template, content in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "content"))):
-            texts.append(main_text(Page(source or ""), set(template or ()), set(content or ())))
+        for source, *sets in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "content", "cut"))):
+            texts.append(main_text(Page(source or ""), *(set(x or ()) for x in sets)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"])
@@ -233,5 +279,5 @@ def extract(pages: DataFrame) -> DataFrame:
         "host", F.col("host").alias("grp")), "hosts")
     pages = pages.join(many, "host", "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
     rules = stage(deduce(pages.select("grp", F.coalesce("page_id", F.lit(-1)).alias("page"), "html")), "rules")
-    return pages.join(rules, "grp", "left").select("page_id", "url", "html", "template", "content").mapInArrow(
+    return pages.join(rules, "grp", "left").select("page_id", "url", "html", "template", "content", "cut").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")

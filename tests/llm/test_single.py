@@ -294,3 +294,17 @@ def test_short_slots_are_kept(spark):
     bodies = [f"<h1>head {words(rng, 3)}</h1><div class=k1><p>{words(rng, 200)}</p></div><div class=k2>same</div>" for _ in range(6)]
     found = texts_without_names(spark, bodies)
     assert all(t.startswith("head ") and "same" not in t for t in found.values())
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<body class='has-sidebar'><article><p>Long text</p></article></body>", "Long text"),
+    ("<body><div id='content-with-sidebar'><article><p>Long text</p></article></div></body>", "Long text"),
+    ("<body><main class='comments-open'><p>Long text</p></main></body>", "Long text"),
+    ("<body><article class='category-search tag-social'><p>Long text</p></article></body>", "Long text"),
+    ("<body><div class=sidebar><main><p>Long text</p></main></div></body>", "Long text"),
+    ("<body><div class=widget><article><p>Long text</p></article></div></body>", "Long text"),
+    ("<body><article><p>Long</p><section class='related-work'><p>work</p></section><p class='notice'>noted</p></article></body>",
+     "Long work noted"),
+    ("<body><article><p>Long text</p><div class=ad>Buy</div><div class=comments><p>Nice</p></div></article></body>", "Long text")])
+def test_names_do_not_drop_main_parts(source, want):
+    assert H.main_text(H.Page(source), set(), set()) == want

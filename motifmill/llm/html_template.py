@@ -205,7 +205,8 @@ def hash_of(seed: int, text: str) -> int:
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """(grp, template, content, cut): each group's template paths, those whose slots hold main text, and paths ruled out by name and slot.
+    """(grp, template, content, cut, open): each group's template paths, those whose slots hold main text, paths ruled out by name and
+    slot, and those whose slots are neither constant nor mostly links.
 
     ``pages`` has page, grp and html.  A template has as many paths as the host has kinds of elements.
     """
@@ -238,21 +239,27 @@ def deduce(pages: DataFrame) -> DataFrame:
     open_ = (F.col("chars") > 0) & ~F.col("constant") & (2 * F.col("linked") < F.col("chars"))
     judged = slots.withColumn("any_main", F.max(F.col("main") & (F.col("chars") > 0)).over(best)).withColumn(
         "content", F.when(F.col("any_main"), F.col("main")).otherwise(open_))
-    content = judged.filter("content").groupBy("host").agg(F.collect_set("slot").alias("content"))
+    content = judged.groupBy("host").agg(F.collect_set(F.when(F.col("content"), F.col("slot"))).alias("content"),
+                                         F.collect_set(F.when(open_, F.col("slot"))).alias("open"))
     cut = vectors.filter("cut").groupBy("host").agg(F.collect_set("path").alias("cut"))
     paths = template.groupBy("host").agg(F.collect_set("path").alias("template"))
     return vectors.select("host").distinct().join(paths, "host", "left").join(content, "host", "left").join(cut, "host", "left").select(
-        F.col("host").alias("grp"), "template", "content", "cut")
+        F.col("host").alias("grp"), "template", "content", "cut", "open")
 
 
-def main_text(page: Page, template: set[str], content: set[str], cut: set[str] = frozenset()) -> str:
-    """Blocks in slots with main text or in a part of the page that is named so; if there are none, all that is not mostly links."""
+def main_text(page: Page, template: set[str], content: set[str], cut: set[str] = frozenset(), open_: set[str] = frozenset()) -> str:
+    """Blocks in slots with main text or in a part of the page that is named so; if there are none, all that is not mostly links.
+
+    On a page without a part that is named so, all open slots have main text, whatever the host's other pages name.
+    """
     def in_slot(path):
         while path and path not in template:
             path = path.rpartition("/")[0]
         return path in content
 
     blocks = [b for b in page.blocks if not b[3] and b[0] not in cut]
+    if not any(b[4] for b in blocks):
+        content = content | open_
     kept = [b for b in blocks if b[4] or in_slot(b[0])]
     return " ".join(b[1] for b in kept or [b for b in blocks if 2 * b[2] < len(b[1])])
 
@@ -260,7 +267,7 @@ def main_text(page: Page, template: set[str], content: set[str], cut: set[str] =
 def _extract(batches):
     for batch in batches:
         texts = []
-        for source, *sets in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "content", "cut"))):
+        for source, *sets in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "content", "cut", "open"))):
             texts.append(main_text(Page(source or ""), *(set(x or ()) for x in sets)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
@@ -279,5 +286,5 @@ def extract(pages: DataFrame) -> DataFrame:
         "host", F.col("host").alias("grp")), "hosts")
     pages = pages.join(many, "host", "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
     rules = stage(deduce(pages.select("grp", F.coalesce("page_id", F.lit(-1)).alias("page"), "html")), "rules")
-    return pages.join(rules, "grp", "left").select("page_id", "url", "html", "template", "content", "cut").mapInArrow(
+    return pages.join(rules, "grp", "left").select("page_id", "url", "html", "template", "content", "cut", "open").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")

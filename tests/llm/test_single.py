@@ -308,3 +308,19 @@ def test_short_slots_are_kept(spark):
     ("<body><article><p>Long text</p><div class=ad>Buy</div><div class=comments><p>Nice</p></div></article></body>", "Long text")])
 def test_names_do_not_drop_main_parts(source, want):
     assert H.main_text(H.Page(source), set(), set()) == want
+
+
+def test_compound_names_need_most_of_the_text():
+    title = "<h1 class='post-title'>Title</h1><div class='entry-meta'>By me</div>"
+    page = H.Page(f"<body>{title}<div class='body-copy'><p>{'long text ' * 20}</p></div></body>")
+    assert not any(b[4] for b in page.blocks) and "long text" in H.main_text(page, set(), set())
+    page = H.Page(f"<body><div class=x>aside</div><div class='post-body'><p>{'long text ' * 20}</p></div></body>")
+    assert [b[4] for b in page.blocks] == [False, True]
+
+
+def test_one_page_does_not_name_the_host(spark):
+    rng = random.Random(2)
+    bodies = [f"<h1 class='post-title'>head {words(rng, 3)}</h1><div class='body-copy'><p>copy {words(rng, 60)}</p></div>" for _ in range(6)]
+    bodies[0] = bodies[0].split("<div")[0]
+    found = texts_without_names(spark, bodies)
+    assert all("head" in t and ("copy" in t or i == 0) for i, t in found.items())

@@ -98,14 +98,17 @@ class Network:
         for i, j in ranges_of(offsets):
             low, high = int(offsets[i]), int(offsets[j])
             if high - low > 2 * STEP:
-                # A very long text: chunks of all slices together.
+                # A very long text: chunks of all slices together, each slice with the half chunk before it for what reaches back.
+                halves = np.array([-(-(WIDTH + high - low + PAD) // HALF)])
+                laid = np.zeros(int(halves[0]) * HALF + WIDTH, np.uint8)
+                laid[WIDTH: WIDTH + high - low] = data[low:high]
                 tops = []
-                for a in range(low, high, STEP):
-                    piece = data[a: min(high, a + STEP + WIDTH)]
-                    laid, _, _ = _layout(piece, np.array([0, len(piece)]))
-                    tops.append(self.halves(laid)[0][: -(-min(STEP, high - a) // HALF)])
+                for a in range(0, int(halves[0]), STEP // HALF):
+                    lead = min(a, -(-(WIDTH + LAG + RUN) // HALF))
+                    piece = laid[(a - lead) * HALF: (a + STEP // HALF) * HALF + WIDTH]
+                    tops.append(self.halves(piece)[0][lead:])
                 top = np.concatenate(tops)
-                first, halves = np.zeros(1, np.int64), np.array([len(top)])
+                first = np.zeros(1, np.int64)
             else:
                 laid, first, halves = _layout(data[low:high], offsets[i: j + 1] - low)
                 top = self.halves(laid)[0]

@@ -190,6 +190,24 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
 
 # Language
 
+def test_scores_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(8)
+    data = (words(rng, 400) + "ab" * 300 + words(rng, 100)).encode()
+    data, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    network = Q.Network(3)
+    whole = network.scores(data, offsets)
+    top = Q.Network.halves
+    laid, first, halves = Q._layout(data, offsets)
+    want = network.features(top(network, laid)[0], first, halves)
+    seen = []
+    monkeypatch.setattr(Q, "STEP", 512)
+    monkeypatch.setattr(Q.Network, "features", lambda self, *x: seen.append(FEATURES(self, *x)) or seen[-1])
+    assert np.array_equal(network.scores(data, offsets), whole) and np.array_equal(seen[0], want)
+
+
+FEATURES = Q.Network.features
+
+
 def test_language(spark, docs_of):
     rng = random.Random(6)
     kinds = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ein", "ung", "er"], "cc": ["éau", "ion", "les", "que"]}

@@ -65,4 +65,28 @@ select w.doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, fir
 from words w left join found f on f.doc_id = w.doc_id
 """
 
-QUERIES = {"op1_ngram_join": OP1, "op4_suffix_dedup": OP4, "op5_license_scan": OP5}
+OP13 = """
+with parts as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as i
+  from embeddings where label is not null and embedding is not null),
+odd as (select distinct vec_id from parts where x is null or isnan(x) or isinf(x)),
+cells as (
+  select vec_id, label, cast(floor(256 * cast(x as double)) as bigint) as c, i
+  from parts where vec_id not in (select vec_id from odd)),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id as vec_id, any_value(a.label = b.label) as same, cast(sum(a.c * b.c) as bigint) as score
+  from cells a join cells b on a.i = b.i and a.vec_id <> b.vec_id
+  where a.vec_id % 100 = 0 group by a.vec_id, b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from scores where same) where k <= 5),
+negatives as (
+  select p.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as k
+  from positives p join scores s on s.anchor_id = p.anchor_id
+  where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, cast(k as integer) as rank, negative_id, positive_score, negative_score from negatives where k <= 5
+"""
+
+QUERIES = {"op1_ngram_join": OP1, "op4_suffix_dedup": OP4, "op5_license_scan": OP5, "op13_hard_negatives": OP13}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motifmill.llm import (
-    bpe_automaton, decontaminate, fingerprints, html_template, language, license_scan, ngram_join, oracle, quality, suffix_dedup, token_files,
+    bpe_automaton, decontaminate, fingerprints, hard_negatives, html_template, language, license_scan, mixing, ngram_join, oracle, quality,
+    suffix_dedup, token_alignment, token_files,
 )
 from motifmill.llm.tables import documents, texts
 
@@ -81,6 +82,27 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers over whole texts, in groups between common ends, and how often their ids are linked."""
+    import public_tokenizers
+
+    aligned = token_alignment.align(documents(spark, folder), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.linked_counts(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document."""
+    return mixing.mix(documents(spark, folder), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels within 80 to 100 % of an anchor's positives' scores."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join,
@@ -92,7 +114,10 @@ def queries() -> dict:
         op7_quality,
         op8_token_files,
         op9_html,
-        op10_language)}
+        op10_language,
+        op11_alignment,
+        op12_mixing,
+        op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

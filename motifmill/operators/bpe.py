@@ -1,9 +1,11 @@
 """Multi-note byte-pair merges (BPE1-9, JON6, WIN16, AGG20-24).
 
-Notes stay rows.  A track is cut into phrases at rests longer than the neighbour gap; no merge
-ever reaches over such a rest, so phrases are independent for the whole run and are the unit of
-distribution.  Each round is one narrow pass that counts reduced pairs, one small aggregate to
-find the best shape, and one narrow pass that merges it.
+A track is cut into phrases at rests longer than the neighbour gap; no merge ever reaches over such a rest, so
+phrases are independent for the whole run and are the unit of distribution.  While shapes are learned or
+applied, a phrase is one row that carries its notes and the reduced pairs they make.  A round surveys only the
+phrases that have a pair of the new shape, and keeps the counts of all pairs by adding and subtracting
+what changed there.  Phrases of more than ``CHUNK`` notes are rows of blocks, which exchange what
+happens at their edges (``phrase_kernel``).
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from motifmill.functions import scalars as S
-from motifmill.operators import merge_kernel as M
+from motifmill.operators import merge_kernel as M, phrase_kernel as H
 from motifmill.params import LIMITS, MAX_SHAPES, BpeParams, CorpusParams, Limits
-from motifmill.session import cut_lineage, ship_package
+from motifmill.session import ship_package, stage
 
 # The two shapes every vocabulary starts with.
 DEFAULT_SHAPES = [((0, 0, 1, 0),), ((0, 0, 1, 1),)]
@@ -235,23 +237,153 @@ def merge_shape(laid_out: DataFrame, shapes: list[tuple], new_shape: tuple, gap:
         lambda it: M.merge_pass(it, new_id, targets, bounds, gap, include_last, limits), SCHEMA)
 
 
+# ---- phrases as rows --------------------------------------------------------------------
+
+#: Notes of a phrase up to which it is one row, and of a block of a longer one.
+CHUNK = 1 << 13
+_ROW = ", ".join(["piece_id bigint", "track_number int", "phrase int", "chunk int", *(f"{f} array<int>" for f in H.NOTE)])
+_CHANGES = "changes array<struct<l:int,r:int,lr:int,rr:int,d:int,dp:int,n:bigint>>"
+_STATE = f"{_ROW}, pairs array<bigint>, {_CHANGES}"
+
+
+def pack(multi_notes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One shuffle by phrase: phrases (of more than ``chunk`` notes: their blocks) as rows with lists of notes.
+
+    Notes are numbered from 1 within their phrase, as ``to_multi_notes`` does.
+    """
+    note = F.struct(*(F.col(f).cast("int").alias(f) for f in H.NOTE))
+    rows = multi_notes.groupBy(*M.PHRASE, S.idiv(F.col("k") - 1, F.lit(chunk)).cast("int").alias("chunk")).agg(
+        F.sort_array(F.collect_list(note)).alias("notes"))
+    return rows.select(*H.NAME, *(F.col(f"notes.{f}").alias(f) for f in H.NOTE))
+
+
+def unpack(phrases: DataFrame) -> DataFrame:
+    """The notes of phrases as rows."""
+    return phrases.select(*M.PHRASE, F.inline(F.arrays_zip(*H.NOTE))).select(*COLUMNS)
+
+
+def _divided(multi_notes: DataFrame, rules: H.Rules, chunk: int):
+    """Phrases that are one row each (with their pairs and the counts of these), and a part for the longer ones."""
+    phrases = pack(multi_notes, chunk).persist(StorageLevel.MEMORY_AND_DISK)
+    of_long = (F.col("chunk") > 0) | (F.size("k") >= chunk)
+    blocks = stage(phrases.filter(of_long), "blocks")
+    part = None
+    if not blocks.isEmpty():
+        part = Blocks(blocks) if rules.limits.neighbours is not None else Stream(lay_out(unpack(blocks)))
+    return phrases, phrases.filter(~of_long), part
+
+
+def _summed_changes(state: DataFrame) -> DataFrame:
+    return state.filter("phrase is null").select(F.inline("changes")).groupBy(*H.PAIR).agg(F.sum("n").alias("n"))
+
+
+class Blocks:
+    """Long phrases as rows of blocks, which different tasks merge.
+
+    A note looks ahead at most ``Limits.neighbours`` rows, so blocks are surveyed with that many notes of the blocks
+    around them.  Which notes a block loses to the one before it is settled by transitions: what each block would do for
+    every entry state is worked out at once, and one small scan per phrase puts the blocks' tables together.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def edged(self, halo: int) -> DataFrame:
+        """Blocks with the last notes of the block before and the first ones of the block after."""
+        n = F.size("k")
+        before = self.rows.select(*M.PHRASE, (F.col("chunk") + 1).alias("chunk"), *(
+            F.slice(f, F.greatest(n - halo + 1, F.lit(1)), F.lit(halo)).alias(f"before_{f}") for f in H.NOTE))
+        after = self.rows.select(*M.PHRASE, (F.col("chunk") - 1).alias("chunk"), *(
+            F.slice(f, F.lit(1), F.lit(halo)).alias(f"after_{f}") for f in H.NOTE))
+        none = F.array().cast("array<int>")
+        joined = self.rows.join(before, H.NAME, "left").join(after, H.NAME, "left")
+        return joined.select(*H.NAME, *H.NOTE, *(F.coalesce(f"{side}_{f}", none).alias(f"{side}_{f}")
+                                                 for side in ("before", "after") for f in H.NOTE))
+
+    def counts(self, rules: H.Rules) -> DataFrame:
+        schema = "l int, r int, lr int, rr int, d int, dp int, n bigint"
+        found = self.edged(rules.limits.neighbours).mapInArrow(lambda it: H.count_blocks(it, rules), schema)
+        return found.groupBy(*H.PAIR).agg(F.sum("n").alias("n"))
+
+    def merge(self, shapes: list[tuple], new_id: int, targets: np.ndarray, rules: H.Rules, include_last: bool) -> "Blocks":
+        edged = stage(self.edged(rules.limits.neighbours), "edged")
+        moves = edged.mapInArrow(
+            lambda it: H.block_transitions(it, targets, rules, include_last),
+            "piece_id bigint, track_number int, phrase int, chunk int, open array<int>, sets array<array<int>>, "
+            "left array<int>, right array<int>, beyond array<int>")
+        entries = moves.groupBy(*M.PHRASE).applyInPandas(
+            H.entry_states, "piece_id bigint, track_number int, phrase int, chunk int, gone array<int>")
+        merged = edged.join(entries, H.NAME, "left").mapInArrow(
+            lambda it: H.merge_blocks(it, new_id, targets, rules, include_last), _ROW)
+        return Blocks(_closed_up(stage(merged, "blocks"), rules.limits.neighbours))
+
+    def notes(self) -> DataFrame:
+        return unpack(self.rows)
+
+    def of(self, condition: Column) -> "Blocks":
+        return Blocks(self.rows.filter(condition))
+
+
+def _closed_up(blocks: DataFrame, halo: int) -> DataFrame:
+    """``blocks`` put together two by two until each but a phrase's last has as many notes as a note may look ahead."""
+    while True:
+        sizes = blocks.select(*M.PHRASE, "chunk", F.size("k").alias("n"))
+        last = sizes.groupBy(*M.PHRASE).agg(F.max("chunk").alias("last"))
+        if sizes.filter(F.col("n") < halo).join(last, M.PHRASE).filter("chunk < last").isEmpty():
+            return blocks
+        two = blocks.groupBy(*M.PHRASE, S.idiv("chunk", F.lit(2)).cast("int").alias("chunk")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("chunk").alias("at"), *H.NOTE))).alias("both"))
+        blocks = stage(two.select(*H.NAME, *(F.flatten(F.col(f"both.{f}")).alias(f) for f in H.NOTE)), "blocks")
+
+
+class Stream:
+    """Long phrases as ordered rows, each phrase on one task in constant memory: for merges without a limit of neighbours."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def counts(self, rules: H.Rules) -> DataFrame:
+        schema = "l int, r int, lr int, rr int, d int, dp int, n bigint"
+        partial = self.rows.mapInPandas(
+            lambda it: M.count_pairs(it, rules.bounds, rules.adjacency, rules.gap, rules.limits), schema)
+        return partial.groupBy(*H.PAIR).agg(F.sum("n").alias("n"))
+
+    def merge(self, shapes: list[tuple], new_id: int, targets: np.ndarray, rules: H.Rules, include_last: bool) -> "Stream":
+        merged = self.rows.mapInPandas(
+            lambda it: M.merge_pass(it, new_id, targets, rules.bounds, rules.gap, include_last, rules.limits), SCHEMA)
+        return Stream(lay_out(stage(merged, "stream")))
+
+    def notes(self) -> DataFrame:
+        return self.rows.select(*COLUMNS)
+
+    def of(self, condition: Column) -> "Stream":
+        return Stream(self.rows.filter(condition))
+
+
 def apply_shapes(multi_notes: DataFrame, learned: list[tuple], gap: int,
-                 include_last: bool = True, limits: Limits = LIMITS) -> DataFrame:
+                 include_last: bool = True, limits: Limits = LIMITS, chunk: int = CHUNK) -> DataFrame:
     """BPE5, BPE6: all shapes in order, in one pass over each phrase.
 
-    Also the way to apply the vocabulary of one collection to another.
+    Also the way to apply the vocabulary of one collection to another.  A task keeps, for its batch of phrases,
+    which of them have which pair, so a shape costs what it merges and not a look at every note.
     """
     ship_package(multi_notes.sparkSession)
     shapes = [*DEFAULT_SHAPES, *learned]
     if len(shapes) > MAX_SHAPES:
         raise ValueError(f"a vocabulary has at most {MAX_SHAPES} shapes")
-    bounds = M.ShapeBounds.of(shapes)
+    rules = H.Rules(M.ShapeBounds.of(shapes), "ours", gap, limits)
     plan, known = [], dict(zip(DEFAULT_SHAPES, range(2)))
     for i in range(2, len(shapes)):
         plan.append((i, splits_of(shapes[i], known)))
         known[shapes[i]] = i
-    return lay_out(multi_notes).mapInPandas(
-        lambda it: M.merge_all(it, plan, bounds, gap, include_last, limits), SCHEMA)
+    plan = [(i, targets) for i, targets in plan if len(targets)]
+    _, phrases, long = _divided(multi_notes, rules, chunk)
+    merged = unpack(phrases.mapInArrow(lambda it: H.merge_all(it, plan, rules, include_last), _ROW))
+    if long is None:
+        return merged
+    for new_id, targets in plan:
+        long = long.merge(shapes, new_id, targets, rules, include_last)
+    return merged.union(long.notes())
 
 
 @dataclass
@@ -259,6 +391,7 @@ class Learned:
     shapes: list[tuple]
     multi_notes: DataFrame
     log: list[tuple] = field(default_factory=list)
+    start: DataFrame | None = None
 
     def shapes_frame(self, spark: SparkSession) -> DataFrame:
         return shapes_frame(spark, [*DEFAULT_SHAPES, *self.shapes])
@@ -269,57 +402,103 @@ class Learned:
             self.log, "iteration int, avg_neighbours double, n_shapes bigint, shape string, "
                       "score bigint, n_multi_notes bigint, cut_notes bigint, oversized_pairs bigint, seconds double")
 
+    def run_log(self) -> DataFrame:
+        """BPE9: multi-notes and their mean number in a group before the first and after the last round."""
+        sizes = [_sizes(df).withColumnsRenamed({"n": f"{when}_multi_notes", "avg": f"{when}_avg_mulpi"})
+                 for when, df in (("start", self.start), ("end", self.multi_notes))]
+        return sizes[0].join(F.broadcast(sizes[1]))  # one row each
+
+
+def _sizes(multi_notes: DataFrame) -> DataFrame:
+    return _mulpi_groups(multi_notes, False).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.avg("n").alias("avg"))
 
-def learn(multi_notes: DataFrame, tpq: int, b: BpeParams) -> Learned:
-    """BPE4: merge the best shape again and again.  Runs one small job per round.
 
-    Only the best shape and four numbers come to the driver.  Lineage is cut into the shared
-    checkpoint folder every few rounds.
+def learn(multi_notes: DataFrame, tpq: int, b: BpeParams, chunk: int = CHUNK) -> Learned:
+    """BPE4: merge the best shape again and again.  One small job per round.
+
+    Counts are kept from round to round; a round surveys the phrases that have a pair of its shape.  With a
+    sampling rate below 1 every round draws other pieces, so their phrases are surveyed each time.  Only the best
+    shape and a few numbers come to the driver.  Every few rounds tables are written into the shared folder, which cuts lineage.
     """
     spark = multi_notes.sparkSession
+    ship_package(spark)
     shapes = list(DEFAULT_SHAPES)
-    state = lay_out(multi_notes).persist(StorageLevel.MEMORY_AND_DISK)
-    log, held = [], [state]
+    rules = H.Rules(M.ShapeBounds.of(shapes), b.adjacency, tpq, b.limits)
+    packed, phrases, long = _divided(multi_notes, rules, chunk)
+    survey = lambda rows, rules: rows.mapInArrow(lambda it: H.first_survey(it, rules), _STATE)
+    named = lambda keys: _name_pairs(keys, shapes_frame(spark, shapes).select("shape_id", "shape"), b.limits)
+    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    state = keep(survey(phrases, rules))
+    counts = named(_summed_changes(state))
+    log, held = [], [packed, state]
     for iteration in range(b.iterations):
         began = perf_counter()
-        sample = keep_sampled_pieces(state, b.sampling_rate, b.seed, iteration)
-        keys = score_shapes(sample, shapes, b.adjacency, tpq, b.limits)
-        lookup = shapes_frame(spark, shapes).select("shape_id", "shape")
-        shape = F.col("code").isNull()
-        total = lambda code: F.max(F.when(F.col("code") == code, F.col("n")))
-        ranked = _name_pairs(keys, lookup, b.limits).agg(
-            F.max(F.when(shape, F.col("n"))).alias("score"), F.count_if(shape).alias("n_shapes"),
-            total(-1).alias("n_neighbours"), total(-2).alias("n_rows"),
-            total(-3).alias("n_cut"), total(-4).alias("n_oversized"),
-            F.min(F.when(shape, F.struct(-F.col("n"), _byte_order(), "shape"))).alias("best"),
-        ).select("score", "n_shapes", "n_neighbours", "n_rows", "n_cut", "n_oversized",
-                 S.format_shape("best.shape").alias("text")).first()
+        if b.sampling_rate < 1:
+            drawn = lambda df: keep_sampled_pieces(df, b.sampling_rate, b.seed, iteration)
+            counts = named(_summed_changes(survey(drawn(state.filter("phrase is not null")).drop("pairs", "changes"), rules)))
+        counts = keep(counts)
+        total = counts
+        if long is not None:
+            of = long if b.sampling_rate >= 1 else type(long)(drawn(long.rows))
+            total = total.union(named(of.counts(rules)))
+            total = total.groupBy("shape", "code").agg(F.sum("n").alias("n"))
+        ranked = _ranked(total)
+        held.append(counts)
         if ranked["score"] is None or ranked["score"] <= b.min_score:
             break
         new_shape = shape_tuple(ranked["text"])
-        merged = merge_shape(state, shapes, new_shape, tpq, limits=b.limits)
+        targets = splits_of(new_shape, {s: i for i, s in enumerate(shapes)})
+        new_id = len(shapes)
         shapes.append(new_shape)
+        rules = H.Rules(M.ShapeBounds.of(shapes), b.adjacency, tpq, b.limits)
+        wanted = F.array(*(F.lit(h) for h in H.pair_hash(targets).tolist()))
+        state = state.filter("phrase is not null").withColumn("touched", F.coalesce(F.arrays_overlap("pairs", wanted), F.lit(False))).mapInArrow(
+            lambda it, new_id=new_id, targets=targets, rules=rules: H.merge_round(it, new_id, targets, rules, True), _STATE)
+        if long is not None:
+            long = long.merge(shapes, new_id, targets, rules, True)
         if (iteration + 1) % b.checkpoint_every == 0:
-            merged = cut_lineage(merged)
-        state = merged.persist(StorageLevel.MEMORY_AND_DISK)
+            state, counts = stage(state, "state"), stage(counts, "counts")
+        state = keep(state)
+        if b.sampling_rate >= 1:
+            counts = (counts.union(named(_summed_changes(state))).groupBy("shape", "code").agg(F.sum("n").alias("n"))
+                      .filter("n <> 0 or code is not null"))
         held.append(state)
         log.append((iteration, ranked["n_neighbours"] / max(ranked["n_rows"], 1), ranked["n_shapes"],
                     ranked["text"], ranked["score"], ranked["n_rows"], ranked["n_cut"], ranked["n_oversized"],
                     perf_counter() - began))
-        # The next round's job fills the new state from the one before; older ones can go.
-        for old in held[:-2]:
+        # The next round's job fills the new tables from those before; older ones can go.
+        for old in held[:-3]:
             old.unpersist()
-        held = held[-2:]
-    return Learned(shapes[2:], state, log)
+        held = held[-3:]
+    notes = unpack(state.filter("phrase is not null"))
+    if long is not None:
+        notes = notes.union(long.notes())
+    return Learned(shapes[2:], notes, log, multi_notes)
+
+
+def _ranked(counts: DataFrame):
+    """The best shape and the totals of one round."""
+    shape = F.col("code").isNull()
+    total = lambda code: F.coalesce(F.max(F.when(F.col("code") == code, F.col("n"))), F.lit(0))
+    return counts.agg(
+        F.max(F.when(shape, F.col("n"))).alias("score"), F.count_if(shape).alias("n_shapes"),
+        total(-1).alias("n_neighbours"), total(-2).alias("n_rows"),
+        total(-3).alias("n_cut"), total(-4).alias("n_oversized"),
+        F.min(F.when(shape, F.struct(-F.col("n"), _byte_order(), "shape"))).alias("best"),
+    ).select("score", "n_shapes", "n_neighbours", "n_rows", "n_cut", "n_oversized",
+             S.format_shape("best.shape").alias("text")).first()
 
 
 # ---- totals and text --------------------------------------------------------------------
 
 def avg_mulpi_size(multi_notes: DataFrame, ignore_velocity: bool = False) -> DataFrame:
     """AGG20: mean size of the groups of notes that share onset and stretch."""
+    return _mulpi_groups(multi_notes, ignore_velocity).agg(F.avg("n").alias("avg_mulpi_size"))
+
+
+def _mulpi_groups(multi_notes: DataFrame, ignore_velocity: bool) -> DataFrame:
     key = ["piece_id", "track_number", "onset", "stretch", *([] if ignore_velocity else ["velocity"])]
-    groups = multi_notes.groupBy(*key).agg(F.count("*").alias("n"))
-    return groups.agg(F.avg("n").alias("avg_mulpi_size"))
+    return multi_notes.groupBy(*key).agg(F.count("*").alias("n"))
 
 
 def totals(multi_notes: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ class Workspace:
     def learned(self, adjacency: str = "ours") -> B.Learned:
         def run():
             found = B.learn(self.multi_notes, CORPUS.tpq, BpeParams(iterations=4, adjacency=adjacency))
-            return B.Learned(found.shapes, stage(found.multi_notes, "learned"), found.log)
+            return B.Learned(found.shapes, stage(found.multi_notes, "learned"), found.log, self.multi_notes)
         return self._once(("learned", adjacency), run)
 
     @cached_property

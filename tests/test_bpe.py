@@ -2,11 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from motifmill.operators import bpe as B, merge_kernel as M, tokens as K
+from motifmill.operators import bpe as B, merge_kernel as M, phrase_kernel as H, tokens as K
 from motifmill.params import CORPUS, BpeParams, Limits
 from math import gcd
 
@@ -115,6 +116,93 @@ def test_learning_matches_brute_force(spark, seed, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("adjacency,rate", [("ours", 1.0), ("mulpi", 1.0), ("ours", 0.6)])
+@pytest.mark.parametrize("chunk", [B.CHUNK, 300])
+def test_kept_counts_equal_full_recounting(spark, adjacency, rate, chunk):
+    """Every round's log next to a count of all pairs of the notes as they are then, whole phrases and blocks alike."""
+    notes = as_frame(spark, random_tracks(8, n=9, size=500))
+    b = BpeParams(iterations=4, adjacency=adjacency, sampling_rate=rate, seed=4, checkpoint_every=3)
+    got = B.learn(notes, GAP, b, chunk)
+    assert len(got.shapes) == 4
+    state, shapes = B.lay_out(notes), list(B.DEFAULT_SHAPES)
+    for i, (shape, line) in enumerate(zip(got.shapes, got.log)):
+        keys = B.score_shapes(B.keep_sampled_pieces(state, rate, 4, i), shapes, adjacency, GAP).collect()
+        totals = {r.l: r.n for r in keys if r.l < 0}
+        named = B.named_counts(spark.createDataFrame([r for r in keys if r.l >= 0]), B.shapes_frame(spark, shapes).select("shape_id", "shape"))
+        best = B.best_shape(named).first()
+        assert (line[3], line[4]) == tuple(best) and line[2] == named.count()
+        assert (line[1], line[5:8]) == (totals[-1] / totals[-2], (totals[-2], totals[-3], totals[-4]))
+        state = B.merge_shape(state, shapes, shape, GAP)
+        shapes.append(shape)
+    assert plain(got.multi_notes) == plain(state)
+    start, end = got.run_log().first()[:2], got.run_log().first()[2:]
+    assert start == (notes.count(), B.avg_mulpi_size(notes).first()[0]) and end == (state.count(), B.avg_mulpi_size(state).first()[0])
+
+
+def ostinato(n, chord=1):
+    """One endless phrase: the same chord again and again, with some notes of other velocities and gaps within."""
+    rng = random.Random(n)
+    return [{"on": 3 * t, "pi": 60 + 4 * c, "st": 3, "sh": 0, "ve": 40 if rng.random() < 0.97 else 80} for t in range(n) for c in range(chord)]
+
+
+@pytest.mark.parametrize("track", [ostinato(4000), ostinato(900, 4), random_tracks(4, 1, 5000)[0]], ids=["chain", "chords", "random"])
+@pytest.mark.parametrize("shape", ["0,0,1;1,0,1;", "0,0,1;0,4,1;", "0,0,1;1,4,1;"])
+def test_blocks_of_one_phrase_equal_one_task(spark, track, shape):
+    notes, shape = as_frame(spark, [track]), B.shape_tuple(shape)
+    again = B.canonical([*shape, *((o + 2, p, d, c) for o, p, d, c in shape)])
+    serial = B.lay_out(notes)
+    for k, new in enumerate((shape, again)):
+        serial = B.merge_shape(serial, [*B.DEFAULT_SHAPES, shape][: 2 + k], new, GAP)
+    for chunk in (130, 257):
+        assert B.pack(notes, chunk).count() > 3
+        assert plain(B.apply_shapes(notes, [shape, again], GAP, chunk=chunk)) == plain(serial)
+
+
+@pytest.mark.parametrize("limit", [3, None])
+def test_blocks_with_other_limits(spark, limit):
+    notes, limits = as_frame(spark, [ostinato(500, 3)]), Limits(neighbours=limit)
+    shape = B.shape_tuple("0,0,1;1,0,1;")
+    serial = B.merge_shape(B.lay_out(notes), B.DEFAULT_SHAPES, shape, GAP, limits=limits)
+    assert plain(B.apply_shapes(notes, [shape], GAP, limits=limits, chunk=140)) == plain(serial)
+    b = BpeParams(iterations=3, limits=limits)
+    assert plain(B.learn(notes, GAP, b, 140).multi_notes) == plain(B.learn(notes, GAP, b).multi_notes)
+
+
+def test_more_open_notes_than_states(spark, monkeypatch):
+    """Blocks whose groups have many open notes send their pairs along."""
+    track = ostinato(400, 4)
+    rules = H.Rules(M.ShapeBounds.of(B.DEFAULT_SHAPES + [B.shape_tuple("0,0,1;1,4,1;")]), "ours", GAP, Limits())
+    targets = B.splits_of(B.shape_tuple("0,0,1;1,4,1;"), {s: i for i, s in enumerate(B.DEFAULT_SHAPES)})
+    edged = B.Blocks(B.pack(as_frame(spark, [track]), 140)).edged(126).toArrow().combine_chunks().to_batches()
+    found = {}
+    for states in (8, 0):
+        monkeypatch.setattr(H, "STATES", states)
+        moves = pd.concat(b.to_pandas() for b in H.block_transitions(iter(edged), targets, rules, True))
+        assert all((len(s) > 0) == (states > 0 or len(o) == 0) for s, o in zip(moves["sets"], moves["open"]))
+        found[states] = H.entry_states(moves)[["chunk", "gone"]].to_dict("list")
+    assert found[8] == found[0] and len(found[8]["chunk"]) > 3
+
+
+def test_many_shapes_cost_what_they_touch(spark):
+    """Shapes without a pair in the notes are never looked for note by note."""
+    notes = as_frame(spark, random_tracks(2))
+    learned = B.learn(notes, GAP, BpeParams(iterations=4)).shapes
+    rare = [B.shape_tuple(f"0,0,1;{k},9,1;") for k in "123456789abcdefghij"]
+    looked_at = []
+    rules = H.Rules(M.ShapeBounds.of([*B.DEFAULT_SHAPES, *learned, *rare]), "ours", GAP, Limits())
+    known = {s: i for i, s in enumerate([*B.DEFAULT_SHAPES, *learned])}
+    plan = [(i, B.splits_of(s, {t: j for t, j in known.items() if j < i})) for s, i in known.items() if i > 1]
+    plan += [(len(known) + k, B.splits_of(s, known)) for k, s in enumerate(rare)]
+    batches = B.pack(notes).toArrow().combine_chunks().to_batches()
+    survey = H.survey
+    try:
+        H.survey = lambda notes, *args: looked_at.append(notes.shape[1]) or survey(notes, *args)
+        list(H.merge_all(iter(batches), plan, rules, True))
+    finally:
+        H.survey = survey
+    assert all(len(t) for _, t in plan) and len(looked_at) <= 2 * len(learned) + len(batches)
+
+
 def test_strict_apply_misses_the_last_neighbour(spark):
     tracks = [[{"on": 0, "pi": 60, "st": 6, "sh": 0, "ve": 40}, {"on": 6, "pi": 60, "st": 6, "sh": 0, "ve": 40}]]
     shape = B.shape_tuple("0,0,1;1,0,1;")

@@ -436,14 +436,14 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams, chunk: int = CHUNK) ->
         if b.sampling_rate < 1:
             drawn = lambda df: keep_sampled_pieces(df, b.sampling_rate, b.seed, iteration)
             counts = named(_summed_changes(survey(drawn(state.filter("phrase is not null")).drop("pairs", "changes"), rules)))
-        counts = keep(counts)
+        else:
+            counts = stage(counts, "counts")  # so that its plan doesn't hold those of all rounds before
         total = counts
         if long is not None:
             of = long if b.sampling_rate >= 1 else type(long)(drawn(long.rows))
             total = total.union(named(of.counts(rules)))
             total = total.groupBy("shape", "code").agg(F.sum("n").alias("n"))
         ranked = _ranked(total)
-        held.append(counts)
         if ranked["score"] is None or ranked["score"] <= b.min_score:
             break
         new_shape = shape_tuple(ranked["text"])
@@ -456,8 +456,8 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams, chunk: int = CHUNK) ->
             lambda it, new_id=new_id, targets=targets, rules=rules: H.merge_round(it, new_id, targets, rules, True), _STATE)
         if long is not None:
             long = long.merge(shapes, new_id, targets, rules, True)
-        if (iteration + 1) % b.checkpoint_every == 0:
-            state, counts = stage(state, "state"), stage(counts, "counts")
+        if (iteration + 1) % b.checkpoint_every == 0 and iteration + 1 < b.iterations:
+            state = stage(state, "state")
         state = keep(state)
         if b.sampling_rate >= 1:
             counts = (counts.union(named(_summed_changes(state))).groupBy("shape", "code").agg(F.sum("n").alias("n"))
@@ -467,9 +467,9 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams, chunk: int = CHUNK) ->
                     ranked["text"], ranked["score"], ranked["n_rows"], ranked["n_cut"], ranked["n_oversized"],
                     perf_counter() - began))
         # The next round's job fills the new tables from those before; older ones can go.
-        for old in held[:-3]:
+        for old in held[:-2]:
             old.unpersist()
-        held = held[-3:]
+        held = held[-2:]
     notes = unpack(state.filter("phrase is not null"))
     if long is not None:
         notes = notes.union(long.notes())

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 STEP = 1 << 18
+#: Bytes that one polynomial hashes.
+BLOCK = 128
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,11 +85,27 @@ class Rolling:
         np.cumsum(codes, out=self.sums[1:])
         self.back = _power(_INVERSE, n + 1)
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _short(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = self.sums[ends] - self.sums[starts]
         out *= self.back[starts]
         return mix(out)
 
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes of each stretch.
+
+        Polynomials modulo 2**64 take some texts of 1,024 bytes and more for one another whatever the base, so a long
+        stretch is hashed in blocks, too short for that, one after the other.
+        """
+        out = self._short(starts, np.minimum(ends, starts + BLOCK))
+        more = np.flatnonzero(ends - starts > BLOCK)
+        at, stop = starts[more] + BLOCK, ends[more]
+        while len(more):
+            upto = np.minimum(at + BLOCK, stop)
+            out[more] = mix(out[more] * np.uint64(_BASE) + self._short(at, upto))
+            left = upto < stop
+            more, at, stop = more[left], upto[left], stop[left]
+        return out
+
     def grams(self, width: int) -> np.ndarray:
         """The hash of every ``width`` bytes, one after the other."""
         out = self.sums[width:] - self.sums[:-width]

@@ -88,6 +88,34 @@ def test_automaton_next_to_merging(seed):
         assert automaton.decode(ids).tobytes() == w.encode()
 
 
+def thue_morse(n):
+    """Two words of n letters that any polynomial modulo 2**64 takes for one, from 1,024 letters on."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_take_for_one(spark, docs_of, tmp_path, n):
+    from motifmill.llm import ngram_join as N, suffix_dedup as S
+    from motifmill.llm.text import Rolling
+
+    one, two = thue_morse(n)
+    rows = [(1, one), (2, two), (3, f"{one} a b c d e f"), (4, f"{two} a b c d e f"), (5, f"x {one}")]
+    data = np.frombuffer((one + two + one).encode(), np.uint8)
+    hashes = Rolling(data).of(np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert hashes[0] == hashes[2] != hashes[1]
+    lib = library()
+    ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert {r.doc_id: list(r.ids) for r in B.encode_decode(docs_of(rows, 1), vocabulary()).collect()} == ids
+    T.write_tokens(docs_of(rows, 1), str(tmp_path / "tokens"), vocabulary(), 2, 50257)
+    assert {r.doc_id: r.ids_crc32 for r in T.read_tokens(spark, str(tmp_path / "tokens")).collect()} == {
+        i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in ids.items()}
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs_of(rows, 1), 1, 80).collect()} == {i: i for i, _ in rows}
+    from .test_pairs import repeats
+    found = S.remove_repeats(docs_of(rows, 1), as_text=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in found} == repeats(rows, 100)
+
+
 def test_word_table_forgets(monkeypatch):
     table = pretokens.WordTable(lambda ws: [np.frombuffer(w, np.uint8).astype(np.uint32) for w in ws], limit=3)
     for text in (b"one two three four five", b"six one", b"two two"):
@@ -224,9 +252,9 @@ def test_language(spark, docs_of):
     odd = [(1, None), (2, ""), (3, "123 !?"), (4, "Ж" * 40), (5, "k"), (None, "kalomi")] + EDGES
     loose = L.predict(docs_of(odd), model, reject=False).collect()
     assert len(loose) == len(odd)
-    assert {r.lang_pred for r in loose if r.doc_id in (1, 2, 3)} == {"und", *(set() if True else ())} | {
-        r.lang_pred for r in loose if r.doc_id == 3 and r.lang_pred != "und"}
-    assert all(r.lang_pred in kinds for r in loose if r.doc_id == 4 and r.score < 1) or True
+    of = lambda i, text: {r.lang_pred for r, (j, t) in zip(sorted(loose, key=lambda r: str(r.doc_id)), sorted(odd, key=lambda x: str(x[0]))) if j == i and t == text}
+    assert of(1, None) == of(2, "") == of(3, "123 !?") == {"und"}
+    assert {r.lang_pred for r in loose} <= {"und", *kinds}
     strict = {r.doc_id: r for r in L.predict(docs_of([(4, "Ж" * 40), (6, rows[0][1])]), model).collect()}
     assert strict[4].lang_pred == "und" and strict[6].lang_pred == "aa"
     assert L.predict(docs.limit(0), model).count() == 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from motifmill.functions import scalars as S
-from motifmill.functions.scan import token_block
+from motifmill.functions.scan import running
 from motifmill.params import ExampleParams
+from motifmill.session import stage
 
 EXAMPLE = ["piece_id", "vp_idx", "pitch_shift"]
 ATTRS = ["evt", "pit", "dur", "vel", "trn", "mps"]
@@ -155,6 +156,77 @@ def pad_batch(arrays: DataFrame, max_len: int, side: str = "right") -> DataFrame
     return arrays.select(*EXAMPLE, "length", *[padded(a) for a in ATTRS])
 
 
+# ---- export -----------------------------------------------------------------------------
+
+SHARD = ["bucket", "shard"]
+
+
+def _digest(*columns) -> Column:
+    """A number for each example; sums of them, over any order, tell shards apart."""
+    return F.xxhash64(*columns).bitwiseAND(0xFFFFFFFF)
+
+
+def place_in_shards(arrays: DataFrame, e: ExampleParams, shard_bytes: int, bucket_width: int) -> DataFrame:
+    """``arrays`` padded to the upper end of their length bucket, with ``bucket``, ``shard`` and a place in it.
+
+    Within a bucket, examples are in the order of their hashes (so shards are shuffled, and the same each time), and a
+    shard is as many of them as fit into ``shard_bytes``.  Places are running counts over blocks of hashes.
+    """
+    length = F.ceil(F.greatest("length", F.lit(1)) / bucket_width) * bucket_width
+    keyed = arrays.withColumns({"bucket": length.cast("int"), "_h": F.xxhash64(F.lit(e.seed), *EXAMPLE)})
+    numbered = running(keyed.select(*EXAMPLE, "bucket", "_h"), ["bucket"], ["_h", *EXAMPLE], F.shiftright("_h", 48), sums={"_n": F.lit(1)})
+    fit = F.greatest(S.idiv(F.lit(shard_bytes), F.col("bucket") * (4 * len(ATTRS))), F.lit(1))
+    placed = numbered.select(*EXAMPLE, S.idiv(F.col("_n") - 1, fit).cast("int").alias("shard"),
+                             ((F.col("_n") - 1) % fit).cast("int").alias("place"))
+    padded = [F.concat(a, F.array_repeat(F.lit(0), F.col("bucket") - F.size(a))).alias(a) for a in ATTRS]
+    return keyed.join(placed, EXAMPLE).select(*SHARD, "place", *EXAMPLE, "length", *padded)
+
+
+def export_examples(arrays: DataFrame, folder: str, e: ExampleParams, shard_bytes: int = 64 << 20, bucket_width: int = 64,
+                    wave: int = 1024, waves: int | None = None) -> DataFrame:
+    """EXM9: training examples as shards of bounded bytes; returns the manifest, a row per shard that is written.
+
+    ``folder/shards`` has a file per ``(bucket, shard)``, each a table of arrays of the bucket's length; ``folder/manifest``
+    the shards' examples, bytes and digests.  Shards are written ``wave`` by ``wave``, and a wave is in the manifest
+    once it is whole: an export that was broken off goes on where it was when it is called again, and a
+    shard that is written twice is the same both times.  ``waves`` ends an export early.
+    """
+    spark = arrays.sparkSession
+    placed = stage(place_in_shards(arrays, e, shard_bytes, bucket_width), "placed")
+    schema = "bucket int, shard int, n_examples bigint, n_bytes bigint, digest bigint"
+    manifest = lambda: spark.read.schema(schema).parquet(f"{folder}/manifest")
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{folder}/manifest")
+    planned = stage(placed.groupBy(*SHARD).agg(
+        F.count("*").alias("n_examples"), (F.count("*") * F.col("bucket") * (4 * len(ATTRS))).alias("n_bytes"),
+        F.sum(_digest("place", *EXAMPLE, "length", *ATTRS)).alias("digest")), "planned")
+    while waves is None or waves > 0:
+        todo = stage(planned.join(manifest(), [*SHARD, "digest"], "left_anti").orderBy(*SHARD).limit(wave), "wave")
+        if todo.isEmpty():
+            break
+        rows = placed.join(F.broadcast(todo.select(*SHARD)), SHARD, "left_semi")  # at most ``wave`` rows
+        (rows.repartition(*SHARD).sortWithinPartitions(*SHARD, "place").write.partitionBy(*SHARD)
+         .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/shards"))
+        todo.select(*(c.split()[0] for c in schema.split(", "))).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+        waves = None if waves is None else waves - 1
+    return manifest()
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The examples of an export, padded; shards that the manifest doesn't have are left out."""
+    arrays = ", ".join(f"{a} array<int>" for a in ATTRS)
+    rows = spark.read.schema(f"place int, piece_id bigint, vp_idx int, pitch_shift int, length int, {arrays}, bucket int, shard int"
+                             ).parquet(f"{folder}/shards")
+    whole = spark.read.schema("bucket int, shard int").parquet(f"{folder}/manifest")
+    return rows.join(whole, SHARD, "left_semi")
+
+
+def damaged_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """``(bucket, shard)`` of the manifest whose examples aren't what was written."""
+    found = read_shards(spark, folder).groupBy(*SHARD).agg(F.sum(_digest("place", *EXAMPLE, "length", *ATTRS)).alias("found"))
+    wanted = spark.read.schema("bucket int, shard int, digest bigint").parquet(f"{folder}/manifest")
+    return wanted.join(found, SHARD, "left").filter("found is null or found <> digest").select(*SHARD)
+
+
 def shift_targets(examples: DataFrame, drop_mps: bool = True) -> DataFrame:
     """ARR6: every row but the last, with the next row as its target."""
     w = Window.partitionBy(*EXAMPLE).orderBy("pos")

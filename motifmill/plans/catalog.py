@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from motifmill.functions import scalars as S
+from motifmill.functions.scan import ranked
 from motifmill.operators import (
     bpe as B, cleaning as C, decode as D, examples as E, features as X, splits as P, stats as T,
     timing as W, tokens as K, verify as Y, vocab as V,
@@ -23,6 +24,7 @@ SHORT = CORPUS.with_(max_duration=24)
 FEW_TRACKS = CORPUS.with_(max_track_number=5)
 CUT_NOTES = CORPUS.with_(use_cont_note=False)
 EXAMPLES = ExampleParams(max_len=64, step_ratio=1.0, pitch_range=1)
+ROUNDS = 4
 
 
 def columns_of(spec: str) -> list[tuple[str, str]]:
@@ -127,11 +129,18 @@ class Workspace:
     def pairs(self) -> DataFrame:
         return stage(B.neighbour_pairs(self.multi_notes, self.single_shapes, CORPUS.tpq), "pairs")
 
-    def learned(self, adjacency: str = "ours") -> B.Learned:
+    @cached_property
+    def motif_notes(self) -> DataFrame:
+        """Multi-notes of pieces with recurring motifs."""
+        build = J.build_corpus(projections.motif_tables(self.spark, self.folder), CORPUS)
+        return stage(J.multi_notes_of(build.tokens, CORPUS.tpq), "motif_notes")
+
+    def learned(self, adjacency: str = "ours", motifs: bool = False) -> B.Learned:
         def run():
-            found = B.learn(self.multi_notes, CORPUS.tpq, BpeParams(iterations=4, adjacency=adjacency))
-            return B.Learned(found.shapes, stage(found.multi_notes, "learned"), found.log, self.multi_notes)
-        return self._once(("learned", adjacency), run)
+            notes = self.motif_notes if motifs else self.multi_notes
+            found = B.learn(notes, CORPUS.tpq, BpeParams(iterations=ROUNDS, adjacency=adjacency))
+            return B.Learned(found.shapes, stage(found.multi_notes, "learned"), found.log, notes)
+        return self._once(("learned", adjacency, motifs), run)
 
     @cached_property
     def applied(self) -> DataFrame:
@@ -270,8 +279,9 @@ query("snk07_written_stats", "piece_id multinote all", _stats_round_trip,
 
 def _shapes_round_trip(w: Workspace) -> DataFrame:
     """The shapes of all pairs of single notes, most frequent first, as a vocabulary on disk."""
-    found = _kernel_counts(w, "ours").orderBy(F.desc("n"), "text").limit(500)
-    named = found.withColumn("shape_id", (F.row_number().over(Window.orderBy(F.desc("n"), "text")) + 1).cast("int"))
+    found = stage(_kernel_counts(w, "ours"), "found")
+    order = found.select(F.struct((-F.col("n")).alias("n"), "text").alias("place"))
+    named = ranked(order, "place", "i").select((F.col("i") + 2).cast("int").alias("shape_id"), F.col("place.text").alias("text"))
     path = w.scratch("shapes")
     Z.write_shapes(named, path)
     return Z.read_shapes(w.spark, path).filter("shape_id > 1")
@@ -693,8 +703,12 @@ SHAPES = """select case when is_cont = 1 then '0,0,1~;' else '0,0,1;' end as sha
             from tokens where type = 'N' group by 1"""
 query("agg07_shape_distribution", "shape:s n share:d", lambda w: T.shape_distribution(w.tokens),
       f"select shape, n, n / sum(n) over () as share from ({SHAPES})")
+MERGED_SHAPES = "select shape, count(*) as n from m{r}_notes where k is not null group by shape".format(r=ROUNDS)
 query("agg07_top04_merged_shapes", "shape:s n share:d",
-      lambda w: T.top_shapes(T.shape_distribution(w.merged), 20))
+      lambda w: T.top_shapes(T.shape_distribution(w.merged), 20),
+      f"""select shape, n, share from (
+            select {O.shape_sql('shape')} as shape, n, n / sum(n) over () as share, len(shape) as members from ({MERGED_SHAPES}) s)
+          where members > 1 order by n desc, shape desc limit 20""", O.merge_ctes("", CORPUS, ROUNDS))
 DESCRIBE = """select name, count(value) as count, avg(value) as mean, stddev_samp(value) as std, min(value) as min,
     quantile_cont(value, 0.25) as "25%", quantile_cont(value, 0.5) as "50%", quantile_cont(value, 0.75) as "75%",
     max(value) as max from ({rows}) group by name"""
@@ -705,8 +719,13 @@ query("agg08_job07_snk07_corpus_stats", DESCRIBE_SPEC, lambda w: T.corpus_stats(
 query("agg27_mps_stats", "n_runs avg_length:d", lambda w: V.mps_stats(w.example_build.token_rows),
       """select count(*) as n_runs, avg(n) as avg_length from (
            select count(*) as n from rows group by piece_id, mps having count(*) >= 2)""")
-query("agg28_shape_sizes", "shape_size n", lambda w: T.shape_size_histogram(w.merged))
-query("agg28_described_shape_sizes", DESCRIBE_SPEC, lambda w: T.describe_shape_sizes(w.merged))
+query("agg28_shape_sizes", "shape_size n", lambda w: T.shape_size_histogram(w.merged),
+      f"select len(shape) as shape_size, sum(n) as n from ({MERGED_SHAPES}) group by 1", O.merge_ctes("", CORPUS, ROUNDS))
+# Both single notes have no text of a shape and are one.
+query("agg28_described_shape_sizes", DESCRIBE_SPEC, lambda w: T.describe_shape_sizes(w.merged),
+      DESCRIBE.format(rows=f"""select 'shape_size' as name, value from (
+        select distinct case when len(shape) > 1 then shape end as s, len(shape) as value from ({MERGED_SHAPES}))"""),
+      O.merge_ctes("", CORPUS, ROUNDS))
 query("win18_top_p_pitches", "attr:s item n p:d", lambda w: T.truncate_top_p(
     w.decoded.notes.groupBy(F.lit("pitch").alias("attr"), F.col("pitch").alias("item"))
     .agg(F.count("*").alias("n")), 0.5),
@@ -844,7 +863,7 @@ query("bpe02_score_shapes_mulpi", "text:s n", lambda w: _kernel_counts(w, "mulpi
 query("agg24_best_shape", "text:s n", lambda w: B.best_shape(_kernel_counts(w, "ours")),
       f"select text, n from ({OURS}) order by n desc, text limit 1")
 query("src08_snk03_shapes_round_trip", "shape_id text:s", _shapes_round_trip,
-      f"select row_number() over (order by n desc, text) + 1 as shape_id, text from ({OURS}) order by n desc, text limit 500")
+      f"select row_number() over (order by n desc, text) + 1 as shape_id, text from ({OURS})")
 
 
 def _merged_once(w: Workspace) -> DataFrame:
@@ -857,20 +876,44 @@ query("jon06_neighbours_within_two", "piece_id track_number phrase a_k b_k",
       lambda w: B.neighbour_pairs(w.multi_notes, w.single_shapes, CORPUS.tpq, limit=2).select(
           "piece_id", "track_number", "phrase", F.col("a.k").alias("a_k"), F.col("b.k").alias("b_k")),
       "select piece_id, track_number, phrase, a_k, b_k from pairs where b_k <= a_k + 2")
-query("bpe04_win16_learned_multi_notes", MN_SPEC, lambda w: w.learned().multi_notes)
-query("bpe04_learned_mulpi", MN_SPEC, lambda w: w.learned("mulpi").multi_notes)
-query("bpe09_iteration_log", "iteration avg_neighbours:d n_shapes shape:s score n_multi_notes cut_notes oversized_pairs",
-      lambda w: w.learned().iteration_log(w.spark))
-query("bpe05_bpe03_applied_multi_notes", MN_SPEC, lambda w: w.applied)
+OURS_MERGES = O.merge_ctes("", CORPUS, ROUNDS)
+MULPI_MERGES = O.merge_ctes("mu_", CORPUS, ROUNDS, condition="a_onset = b_onset and ls = rs")
+MOTIF_MERGES = O.motif_ctes() | O.merge_ctes("mo_", CORPUS, ROUNDS, "mo_mn")
+FOREIGN_MERGES = O.corpus_ctes("sh_", SHORT) | O.bpe_ctes("sh_", SHORT) | O.merge_ctes("sh_", SHORT, ROUNDS, "sh_mn", best="")
+LAST = f"m{ROUNDS}_notes"
+
+
+def _log_sql(x: str, condition: str = "true") -> str:
+    return " union all ".join(
+        f"""select {r} as iteration, (select count(*) from {x}m{r}_pairs) / (select count(*) from {x}m{r}_notes) as avg_neighbours,
+                   (select count(*) from {x}m{r}_counts) as n_shapes, {O.shape_sql('shape')} as shape, n as score,
+                   (select count(*) from {x}m{r}_notes) as n_multi_notes, 0 as cut_notes,
+                   (select count(*) from {x}m{r}_named where not fits and ({condition})) as oversized_pairs from {x}m{r}_best"""
+        for r in range(ROUNDS))
+
+
+query("bpe04_win16_learned_multi_notes", MN_SPEC, lambda w: w.learned().multi_notes, f"select * from {LAST}", OURS_MERGES)
+query("bpe04_learned_mulpi", MN_SPEC, lambda w: w.learned("mulpi").multi_notes, f"select * from mu_{LAST}", MULPI_MERGES)
+query("bpe04_learned_motifs", MN_SPEC, lambda w: w.learned(motifs=True).multi_notes, f"select * from mo_{LAST}", MOTIF_MERGES)
+LOG_SPEC = "iteration avg_neighbours:d n_shapes shape:s score n_multi_notes cut_notes oversized_pairs"
+query("bpe09_iteration_log", LOG_SPEC, lambda w: w.learned().iteration_log(w.spark), _log_sql(""), OURS_MERGES)
+query("bpe09_iteration_log_motifs", LOG_SPEC, lambda w: w.learned(motifs=True).iteration_log(w.spark), _log_sql("mo_"), MOTIF_MERGES)
+MULPI_SIZE = """(select avg(n) from (select count(*) as n from {t} group by piece_id, track_number, onset, stretch, velocity))"""
+query("bpe09_run_log", "start_multi_notes start_avg_mulpi:d end_multi_notes end_avg_mulpi:d", lambda w: w.learned(motifs=True).run_log(),
+      f"""select (select count(*) from mo_mn) as start_multi_notes, {MULPI_SIZE.format(t='mo_mn')} as start_avg_mulpi,
+                 (select count(*) from mo_{LAST}) as end_multi_notes, {MULPI_SIZE.format(t='mo_' + LAST)} as end_avg_mulpi""", MOTIF_MERGES)
+query("bpe05_bpe03_applied_multi_notes", MN_SPEC, lambda w: w.applied, f"select * from {LAST}", OURS_MERGES)
 
 
 def _foreign(w: Workspace) -> DataFrame:
-    """The shapes of one corpus applied to another one."""
-    other = J.multi_notes_of(w.tokens_of(COARSE), COARSE.tpq)
-    return B.apply_shapes(other, w.learned().shapes, COARSE.tpq)
+    """The shapes of one corpus applied to another one, which has other notes and wouldn't learn them."""
+    other = J.multi_notes_of(w.tokens_of(SHORT), SHORT.tpq)
+    return B.apply_shapes(other, w.learned().shapes, SHORT.tpq)
+
+
+query("bpe06_apply_foreign", MN_SPEC, _foreign, f"select * from sh_{LAST}", OURS_MERGES | FOREIGN_MERGES)
 
 
-query("bpe06_apply_foreign", MN_SPEC, _foreign)
 def _merged_round_trip(w: Workspace) -> DataFrame:
     folder = w.scratch("merged")
     Z.write_corpus(K.join_text(w.merged), folder)
@@ -901,11 +944,35 @@ query("bpe08_merged_notes_as_before", "piece_id track_number at pitch velocity e
          select distinct piece_id, track_number, "end", pitch, velocity, 'end' from decoded""")
 query("bpe08_verify_merged", "piece_id reason:s", lambda w: Y.compare_corpora(w.decoded, w.merged_decoded),
       "select piece_id, text as reason from tokens where false")
+def _damaged(d: D.Decoded) -> D.Decoded:
+    """A corpus with something lost or changed in some pieces, and a note twice in others, which is no difference."""
+    piece = F.col("piece_id")
+    notes = d.notes.filter((piece % 7 != 2) | (F.col("pitch") != F.col("start") % 60 + 30))
+    return replace(d, notes=notes.union(notes.filter((piece % 5 == 0) & (F.col("start") % 3 == 0))),
+                   tempos=d.tempos.withColumn("bpm", F.col("bpm") + F.when((piece % 11 == 3) & (F.col("onset") > 0), 8).otherwise(0)),
+                   tracks=d.tracks.filter((piece % 13 != 4) | (F.col("track_number") > 0)),
+                   time_sigs=d.time_sigs.filter((piece % 9 != 6) | (F.col("onset") == 0)))
+
+
+query("bpe08_verify_damaged", "piece_id reason:s", lambda w: Y.compare_corpora(w.decoded, _damaged(w.merged_decoded)),
+      """select distinct piece_id, 'notes' as reason from decoded where piece_id % 7 = 2 and pitch = "start" % 60 + 30
+         union all select distinct t.piece_id, 'tempos' from tempos t join m0 z on t.piece_id = z.piece_id where t.piece_id % 11 = 3 and onset > m0
+         union all select distinct piece_id, 'tracks' from tracks where piece_id % 13 = 4 and track_number = 0
+         union all select distinct piece_id, 'time signatures' from (
+           select b.*, lag(row(numer, denom)) over (partition by piece_id order by onset) as prev from bars b)
+         where piece_id % 9 = 6 and prev is not null and prev <> row(numer, denom)""")
 query("jon04_expanded_multi_notes", "piece_id track_number onset pitch duration is_cont velocity",
       lambda w: D.expand_multi_notes(w.applied, w.learned().shapes_frame(w.spark)),
       "select * from timed where type = 'N'")
 query("jon12_within_shape_links", "piece_id track_number k i j link:s from_tick to_tick",
-      lambda w: D.within_shape_links(w.applied, w.learned().shapes_frame(w.spark), CORPUS.tpq))
+      lambda w: D.within_shape_links(w.learned(motifs=True).multi_notes, w.learned(motifs=True).shapes_frame(w.spark), CORPUS.tpq),
+      f"""select piece_id, track_number, k, i, j, case when b_onset < a_end then 'overlap' else 'following' end as link,
+                 case when b_onset < a_end then a_onset else a_end end as from_tick, b_onset as to_tick
+          from (select piece_id, track_number, k, i, j, onset + shape[i + 1][1] * stretch as a_onset,
+                       onset + (shape[i + 1][1] + shape[i + 1][3]) * stretch as a_end, onset + shape[j + 1][1] * stretch as b_onset
+                from (select *, unnest(range(i + 1, len(shape))) as j from (
+                        select *, unnest(range(0, len(shape))) as i from mo_{LAST} where len(shape) > 1)))
+          where b_onset - a_end <= {4 * CORPUS.tpq}""", MOTIF_MERGES)
 
 # ---- vocabularies and rows --------------------------------------------------------------
 
@@ -917,6 +984,17 @@ query("jon07_token_rows", "piece_id seq evt pit dur vel trn mps", lambda w: w.ex
 query("jon08_flt17_decoded_rows", "piece_id seq text:s",
       lambda w: V.decode_rows(w.example_build.token_rows, w.example_build.vocab),
       "select piece_id, seq, text from tokens")
+def _padded_rows(w: Workspace) -> DataFrame:
+    """Token rows with rows of zeros after each piece's last, as batches have them."""
+    rows = w.example_build.token_rows
+    last = rows.groupBy("piece_id").agg(F.max("seq").alias("last"))
+    zeros = [F.lit(0).alias(a) for a in E.ATTRS]
+    return rows.unionByName(last.select("piece_id", F.explode(F.sequence(F.col("last") + 1, F.col("last") + 1 + F.col("piece_id") % 5)).alias("seq"), *zeros))
+
+
+query("flt17_dropped_padding", "piece_id seq evt pit dur vel trn mps", lambda w: V.drop_padding(_padded_rows(w)), "select * from rows")
+query("jon08_flt17_padded_rows", "piece_id seq text:s", lambda w: V.decode_rows(_padded_rows(w), w.example_build.vocab),
+      "select piece_id, seq, text from tokens")
 query("flt14_bad_rows", "piece_id seq mps",
       lambda w: V.check_token_rows(w.example_build.token_rows, w.example_build.vocab, 1024, 300),
       "select piece_id, seq, mps from rows where mps > 300")
@@ -961,7 +1039,7 @@ query("exm05_permuted_tracks", ALL_ATTRS,
       f"""select s.piece_id, s.vp_idx, s.shift as pitch_shift, pos, evt, pit, dur, vel, coalesce(place, 0) as trn, mps4 as mps
           from shifted s left join (
             select *, row_number() over (partition by {OF_EXAMPLE} order by {O.shared_hash('0', OF_EXAMPLE, 't')}, t) as place
-            from (select distinct {OF_EXAMPLE}, unnest(range(1, {CORPUS.max_track_number + 1})) as t from shifted)) p
+            from (select *, unnest(range(1, {CORPUS.max_track_number + 1})) as t from (select distinct {OF_EXAMPLE} from shifted))) p
           on s.piece_id = p.piece_id and s.vp_idx = p.vp_idx and s.shift = p.shift and s.trn = p.t""")
 query("exm06_permuted_mps", ALL_ATTRS, lambda w: E.permute_mps(w.examples, EXAMPLES),
       f"""select piece_id, vp_idx, shift as pitch_shift, evt, pit, dur, vel, trn, mps4 as mps,
@@ -985,6 +1063,19 @@ query("exm09_arr05_padded", "piece_id vp_idx pitch_shift length " + " ".join(f"{
       "select piece_id, vp_idx, shift as pitch_shift, count(*) as length, " + ", ".join(
           f"repeat('0,', 64 - count(*)) || string_agg(cast({c} as varchar), ',' order by pos) as {a}" for a, c in ATTR_SQL.items())
       + " from shifted group by 1, 2, 3")
+def _exported(w: Workspace) -> DataFrame:
+    """All examples written in shards of 100 kB, the first waves by an export that is broken off, and read back."""
+    folder, arrays = w.scratch("export"), E.to_arrays(w.examples)
+    E.export_examples(arrays, folder, EXAMPLES, shard_bytes=100_000, bucket_width=16, wave=3, waves=1)
+    E.export_examples(arrays, folder, EXAMPLES, shard_bytes=100_000, bucket_width=16)
+    rows = E.read_shards(w.spark, folder)
+    text = lambda a: F.concat_ws(",", F.slice(a, F.lit(1), F.col("length")).cast("array<string>"))
+    return rows.select("piece_id", "vp_idx", "pitch_shift", "length", "bucket", *(text(a).alias(a) for a in E.ATTRS))
+
+
+query("exm09_exported_shards", "piece_id vp_idx pitch_shift length bucket " + " ".join(f"{a}:s" for a in E.ATTRS), _exported,
+      "select piece_id, vp_idx, shift as pitch_shift, count(*) as length, (count(*) + 15) // 16 * 16 as bucket, " + ", ".join(
+          f"string_agg(cast({c} as varchar), ',' order by pos) as {a}" for a, c in ATTR_SQL.items()) + " from shifted group by 1, 2, 3")
 query("arr06_shifted_targets", "piece_id vp_idx pitch_shift pos evt " + " ".join(f"target_{a}" for a in E.ATTRS),
       lambda w: E.shift_targets(w.examples, drop_mps=False),
       "select * from (select piece_id, vp_idx, shift as pitch_shift, pos, evt, " + ", ".join(
@@ -992,6 +1083,9 @@ query("arr06_shifted_targets", "piece_id vp_idx pitch_shift pos evt " + " ".join
       + " from shifted window w as (partition by piece_id, vp_idx, shift order by pos)) where target_evt is not null")
 query("exm10_primers_measures", "piece_id seq text:s", lambda w: J.primer_tokens(w.tokens, 4, "measure", CORPUS),
       "select piece_id, seq, text from timed where measure_no <= 4 and type <> 'EOS'")
+query("exm10_primers_ticks", "piece_id seq text:s", lambda w: J.primer_tokens(w.tokens, 100, "tick", CORPUS),
+      """select piece_id, seq, text from timed t where type <> 'EOS' and seq < coalesce(
+           (select min(seq) from timed u where u.piece_id = t.piece_id and u.onset > 100), 1000000000)""")
 query("exm10_primers_merged", "piece_id seq text:s",
       lambda w: J.primer_tokens(w.tokens, 4, "measure", CORPUS, w.learned().shapes))
 query("exm10_primers_tokens", "piece_id seq text:s", lambda w: J.primer_tokens(w.tokens, 64, "token", CORPUS),

@@ -7,7 +7,7 @@ front of a final select.  Written with per-piece windows and joins, without any
 from __future__ import annotations
 
 from motifmill.params import CORPUS, EVALUATION, CorpusParams
-from motifmill.sources.projections import ODD_SQL, PROJECTION_SQL
+from motifmill.sources.projections import MOTIF_SQL, ODD_SQL, PROJECTION_SQL
 
 NULL = "cast(null as bigint)"
 DIGITS = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -314,6 +314,93 @@ def merged_once(x: str) -> str:
                           and e.phrase = m.phrase and e.b_k = m.k)"""
 
 
+class Once(str):
+    """A common table expression that several others read, to be worked out once."""
+
+
+def merge_ctes(x: str, p: CorpusParams, rounds: int, start: str = "mn", condition: str = "true",
+               best: str | None = None) -> dict[str, str]:
+    """``rounds`` merges of the notes of ``start``: ``{x}m{r}_notes`` holds them before round r.
+
+    A shape is the list of its members, each a list of onset, pitch as a byte, duration and continuation, in
+    order.  Every round finds all neighbours anew, counts the shapes that those within ``condition`` make, takes the
+    best (or that of the same round of the merges named ``best``) and walks each phrase from left to right.
+    """
+    key = "piece_id, track_number, phrase"
+    same = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
+    out = {f"{x}m0_notes": Once(f"""
+        select {key}, k, shape_id, [[0, 0, 1, cast(shape_id as bigint)]] as shape, 1 as span, onset, pitch, stretch, velocity from {start}""")}
+    for r in range(rounds):
+        m = f"{x}m{r}_"
+        chosen = f"{m}best" if best is None else f"{best}m{r}_best"
+        free = "not list_contains(used, a_k) and not list_contains(used, b_k)"
+        out |= {
+            f"{m}rows": Once(f"select *, row_number() over (partition by {key} order by k) as rn from {m}notes"),
+            f"{m}near": f"""
+                select a.piece_id, a.track_number, a.phrase, a.k as a_k, b.k as b_k, a.onset as a_onset, b.onset as b_onset,
+                       a.onset + a.span * a.stretch as a_end, a.stretch as ls, b.stretch as rs, a.shape as lshape, b.shape as rshape,
+                       (b.pitch - a.pitch + 512) % 256 as dp, a.velocity = b.velocity as same,
+                       min(case when b.onset >= a.onset + a.span * a.stretch then b.onset end) over (
+                         partition by a.piece_id, a.track_number, a.phrase, a.k) as follow
+                from {m}rows a join {m}rows b on {same('a', 'b')} and b.rn > a.rn and b.rn <= a.rn + 126
+                     and b.onset <= a.onset + a.span * a.stretch + {p.tpq}""",
+            f"{m}pairs": Once(f"""
+                select *, ls // g as l1, rs // g as r1, (b_onset - a_onset) // g as d1
+                from (select *, gcd(gcd(b_onset - a_onset, ls), rs) as g from {m}near where b_onset < a_end or b_onset = follow)"""),
+            f"{m}kinds": Once(f"""
+                select *, row_number() over () as kind
+                from (select distinct lshape, rshape, l1, r1, d1, dp from {m}pairs where same)"""),
+            f"{m}joined": Once(f"""
+                select any_value(lshape) as lshape, any_value(rshape) as rshape, any_value(l1) as l1, any_value(r1) as r1,
+                       any_value(d1) as d1, any_value(dp) as dp, list([o, q, d, c] order by o, q, d, c) as shape,
+                       max(o) <= 127 and max(d) <= 255 as fits, max(o + d) as span
+                from (select kind, lshape, rshape, l1, r1, d1, dp, n[1] * l1 as o, n[2] as q, n[3] * l1 as d, n[4] as c
+                      from (select *, unnest(lshape) as n from {m}kinds)
+                      union all
+                      select kind, lshape, rshape, l1, r1, d1, dp, n[1] * r1 + d1, (n[2] + dp) % 256, n[3] * r1, n[4]
+                      from (select *, unnest(rshape) as n from {m}kinds)) group by kind"""),
+            f"{m}named": Once(f"""
+                select t.*, j.shape, j.fits, j.span from {m}pairs t join {m}joined j on t.lshape = j.lshape and t.rshape = j.rshape
+                     and t.l1 = j.l1 and t.r1 = j.r1 and t.d1 = j.d1 and t.dp = j.dp where t.same"""),
+            f"{m}counts": f"select shape, count(*) as n, any_value(span) as span from {m}named where fits and ({condition}) group by shape",
+            f"{m}best": Once(f"select shape, n, span from {m}counts where n > 1 order by n desc, shape limit 1"),
+            f"{m}chosen": Once(f"""
+                select {key}, a_k, b_k, g, row_number() over (partition by {key} order by a_k, b_k) as i
+                from {m}named where shape = (select shape from {chosen})"""),
+            f"{m}walk": f"""
+                select distinct {key}, 0::bigint as i, []::bigint[] as used, []::bigint[] as taken from {m}chosen
+                union all
+                select w.piece_id, w.track_number, w.phrase, c.i,
+                       case when {free} then list_concat(used, [a_k, b_k]) else used end,
+                       case when {free} then list_append(taken, c.i) else taken end
+                from {m}walk w join {m}chosen c on {same('w', 'c')} and c.i = w.i + 1""",
+            f"{m}done": Once(f"""
+                select c.* from {m}chosen c join (select {key}, arg_max(taken, i) as taken from {m}walk group by all) w
+                on {same('w', 'c')} and list_contains(taken, c.i)"""),
+            f"{x}m{r + 1}_notes": Once(f"""
+                select n.piece_id, n.track_number, n.phrase, n.k, case when d.g is null then n.shape_id else {r + 2} end as shape_id,
+                       case when d.g is null then n.shape else (select shape from {chosen}) end as shape,
+                       case when d.g is null then n.span else (select span from {chosen}) end as span,
+                       n.onset, n.pitch, coalesce(d.g, n.stretch) as stretch, n.velocity
+                from {m}notes n left join {m}done d on {same('n', 'd')} and n.k = d.a_k
+                where not exists (select 1 from {m}done e where {same('e', 'n')} and e.b_k = n.k)"""),
+        }
+    return out
+
+
+def shape_sql(shape: str) -> str:
+    """A list of members as text."""
+    member = (f"{b36('m[1]')} || ',' || {b36('case when m[2] > 127 then m[2] - 256 else m[2] end')} || ',' || {b36('m[3]')}"
+              f" || case when m[4] = 1 then '~;' else ';' end")
+    return f"(select string_agg({member}, '' order by i) from (select unnest({shape}) as m, unnest(range(1, len({shape}) + 1)) as i))"
+
+
+def motif_ctes() -> dict[str, str]:
+    """``MOTIF_SQL`` up to multi-notes."""
+    own = lambda sql: sql.replace("raw_notes", "mo_raw_notes")
+    return dict(MOTIF_SQL) | {n: own(sql) for n, sql in corpus_ctes("mo_", CORPUS).items()} | bpe_ctes("mo_", CORPUS)
+
+
 def shared_hash(*parts: str) -> str:
     return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12) as bigint)"
 
@@ -490,7 +577,7 @@ def compose(final: str, spec: str, *more: dict[str, str]) -> str:
     casts = {"i": "coalesce(cast({c} as bigint), -1)", "s": "coalesce(cast({c} as varchar), '')",
              "d": "coalesce(round(cast({c} as double), 6), -1)"}
     columns = ", ".join(f'{casts[kind].format(c=_quote(c))} as {_quote(c)}' for c, kind in columns_of(spec))
-    body = ",\n".join(f"{n} as ({sql})" for n, sql in _needed(ctes, final).items())
+    body = ",\n".join(f"{n} as {'materialized ' if isinstance(sql, Once) else ''}({sql})" for n, sql in _needed(ctes, final).items())
     return f"with recursive {body}\nselect {columns} from ({final}) result"
 
 

@@ -93,6 +93,22 @@ ODD_SQL = {
 }
 
 
+#: Quarter notes of two pitches in turn, with gaps, so that the same motifs come again and again.
+MOTIF_SQL = {
+    "mo_raw_notes": """
+        select piece_id, track_idx, start_tick - start_tick % 480 as start_tick, start_tick - start_tick % 480 + 480 as end_tick,
+               case when start_tick % 960 < 480 then 60 else 64 end as pitch, 64 as velocity
+        from raw_notes""",
+}
+
+
+def motif_tables(spark: SparkSession, folder: str) -> RawTables:
+    """``raw_tables`` with recurring motifs."""
+    raw = raw_tables(spark, folder)
+    notes = spark.sql(MOTIF_SQL["mo_raw_notes"].replace("from raw_notes", "from {source}"), source=raw.notes)
+    return RawTables(raw.pieces, raw.tracks, notes.to(raw.notes.schema), raw.time_sigs, raw.tempos)
+
+
 def odd_tables(spark: SparkSession, folder: str) -> RawTables:
     """``raw_tables`` with pieces that break one rule each."""
     raw = raw_tables(spark, folder)

@@ -39,6 +39,13 @@ def test_query(spark, folder, con, name):
         assert mine == normal(columns, cursor.fetchall())
 
 
+def test_motifs_grow(spark, folder):
+    """The merges of recurring motifs reach shapes of three members and more, and foreign ones differ from own ones."""
+    w = catalog.Workspace.of(spark, folder)
+    assert max(len(s) for s in w.learned(motifs=True).shapes) >= 3
+    assert w.learned(motifs=True).shapes != w.learned().shapes
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -31,9 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from motifmill.llm.tables import keyed, parts, prepare, with_key
+from motifmill.llm.tables import asked_for, keyed, parts, prepare, with_key
 from motifmill.llm.text import STEP, Rolling, mix, ranges_of, texts_of
-from motifmill.session import stage
+from motifmill.session import job, stage
 
 #: Bits of a window's packed key that hold its place in a slice; the rest orders triggers.
 _PLACE = np.uint64((1 << 28) - 1)
@@ -258,9 +258,10 @@ def repeated_windows(docs: DataFrame, length: int = 100, trigger: int = 32) -> D
                              "part int, keys binary, spans binary")
     settled = stage(parsed.groupBy("part").applyInPandas(
         _settle, "key long, start long, stop long, grp long, ways int"), "parse")
-    look = (settled.filter("grp >= 0").groupBy("key")
-            .agg(F.collect_list(F.struct("start", "stop", "grp", "ways")).alias("wanted")))
-    phrases = docs.join(look, "key").mapInArrow(
+    look = settled.filter("grp >= 0")
+    some, _ = asked_for(docs, "key", look)
+    look = look.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "grp", "ways")).alias("wanted"))
+    phrases = some.join(look, "key").mapInArrow(
         lambda b: _phrases(b, length), "grp long, way int, key long, start long, phrase binary, ways int")
     sorted_ = phrases.repartition(parts(spark), "grp", "way").mapInArrow(
         lambda b: _sort_suffixes(b, length), "key long, start long, stop long")
@@ -321,28 +322,43 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
     """
     prepare(docs.sparkSession)
     rows = keyed(docs)
-    runs = (repeated_windows(rows.select("key", "text"), length, trigger).groupBy("key")
-            .agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
-    return rows.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(
+    runs = _runs(rows.select("key", "text"), length, trigger)
+    some, rest = asked_for(rows, "key", runs)
+    text = F.coalesce("text", F.lit(""))
+    rest = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+                       F.lit(0).cast("long").alias("n_spans"), (text if as_text else F.sha2(text, 256)).alias("kept"))
+    return some.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(
         lambda b: _remove(b, length, as_text),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept string").union(rest)
+
+
+def _runs(rows: DataFrame, length: int, trigger: int) -> DataFrame:
+    """(key, runs) of the texts that have repeats, written; what led to it is dropped."""
+    with job(rows.sparkSession):
+        found = repeated_windows(rows, length, trigger).groupBy("key").agg(
+            F.collect_list(F.struct("start", "stop")).alias("runs"))
+        return stage(found, "runs", outlives_job=True)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, trigger: int = 32) -> DataFrame:
     """``docs`` with all rows and columns; ``text`` without what repeats an earlier string, ``n_chars`` (if there) counted anew."""
     prepare(docs.sparkSession)
     rows, key = with_key(docs)
-    runs = (repeated_windows(rows.select(F.col(key).alias("key"), "text"), length, trigger).groupBy("key")
-            .agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-            .select(F.col("key").alias(key), F.col("runs").alias(f"{key}runs")))
     names, schema = docs.columns, docs.schema
+    found_in = "runs"
+    while found_in in (c.lower() for c in rows.columns):
+        found_in += "_"
+    runs = _runs(rows.select(F.col(key).alias("key"), "text"), length, trigger).withColumnsRenamed({"key": key, "runs": found_in})
+    some, rest = asked_for(rows, key, runs)
+    if "n_chars" in names:
+        rest = rest.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
 
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             valid = batch.column("text").is_valid().to_pylist()
             out = []
-            for i, found in enumerate(batch.column(f"{key}runs").to_pylist()):
+            for i, found in enumerate(batch.column(found_in).to_pylist()):
                 text = data[offsets[i]: offsets[i + 1]].tobytes()
                 cut = list(_whole_characters(text, _merge(found, length)))
                 edges = [0, *(x for span in cut for x in span), len(text)]
@@ -353,4 +369,5 @@ def without_repeats(docs: DataFrame, length: int = 100, trigger: int = 32) -> Da
                 columns["n_chars"] = pa.array([None if x is None else len(x) for x in out]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return rows.join(runs, key, "left").select(*(F.col(f"`{c}`") for c in names), f"{key}runs").mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in names]
+    return some.join(runs, key, "left").select(*columns, found_in).mapInArrow(run, schema).union(rest.select(*columns))

@@ -89,3 +89,18 @@ def smallest_hashes(ids: DataFrame, by: str, each: int) -> DataFrame:
     few = ids.join(counts, by).withColumn("place", place).filter(F.col("place") * F.col("of_value") <= 4 * each + 40)
     order = Window.partitionBy(by).orderBy("place", "doc_id")
     return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("doc_id", by)
+
+
+#: Slots of the table by which rows are told apart that a small set of keys asks for: at most 2**20 numbers.
+SLOTS = 1 << 20
+
+
+def asked_for(docs: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: all rows whose ``key`` is among ``keys`` (and a few more), and rows whose key isn't.
+
+    The slots of the keys' hashes are broadcast, so that texts that nothing is joined to needn't be shuffled.
+    """
+    slot = lambda of: F.pmod(F.xxhash64(of), F.lit(SLOTS))
+    slots = keys.select(slot(keys[key]).alias("slot")).distinct()
+    same = slot(docs[key]) == slots["slot"]
+    return docs.join(F.broadcast(slots), same, "left_semi"), docs.join(F.broadcast(slots), same, "left_anti")

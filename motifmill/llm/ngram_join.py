@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from motifmill.llm.graph import components
 from motifmill.llm.tables import keyed, parts, prepare, with_key
 from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, word_hashes
-from motifmill.session import stage
+from motifmill.session import job, stage
 
 #: A column is busy from so many rows on, or from a power of two more if over BUSY would be.
 BUSY_FROM, BUSY = 64, 1 << 20
@@ -321,7 +321,7 @@ class _Join:
         first = rows.filter("n > 0").groupBy("digest").agg(F.min("key").alias("rep"))
         named = stage(rows.join(first, "digest", "left")
                       .select("key", "n", F.coalesce("rep", "key").alias("rep")), "named")
-        reps = rows.join(named.filter("key = rep").select("key"), "key").select(F.col("key").alias("rep"), "n", "parity")
+        reps = stage(rows.join(named.filter("key = rep").select("key"), "key").select(F.col("key").alias("rep"), "n", "parity"), "reps")
         lists = stage(self.postings().join(named.select("key", "rep"), "key").select("gram", "rep", "n").distinct(),
                       "lists")
         # First stage: rows drawn from each list with the others of the list.
@@ -391,6 +391,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Of rows with one doc_id and equal texts one stays; rows with empty texts all stay.
     """
     rows, key = with_key(docs)
-    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width, percent)
-    first = stage(found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)), "first")
+    with job(docs.sparkSession):
+        found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width, percent)
+        first = stage(found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)), "first", outlives_job=True)
     return rows.join(first, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -34,7 +34,7 @@ PIECE = 256
 #: Pairs that are looked up in place (16 bytes each).
 BUSY = 1 << 18
 #: Bytes of text that are aligned at once; a longer text without spaces comes alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPACE = "▁"
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from motifmill.functions import scalars as S
+from motifmill.operators import voice_kernel as H
 from motifmill.operators.tokens import running_time, token_measures
+from motifmill.operators.voice_kernel import VOICE
+from motifmill.session import ship_package, stage
 
-VOICE = ["piece_id", "track_number", "pitch", "velocity"]
 NOTE_COLUMNS = ["piece_id", "track_number", "start", "end", "pitch", "velocity"]
 
 
@@ -57,87 +59,30 @@ def token_members(timed: DataFrame) -> DataFrame:
     return _members(notes, shape.cast(S.SHAPE_TYPE), ["piece_id", "seq", "track_number", "velocity"])
 
 
-def _last_in_first_out(chunks: Column) -> Column:
-    """Pair the chunks of one ambiguous stretch of one voice, in token order.
+#: Ticks of a block of a voice.
+VOICE_BLOCK = 1 << 13
 
-    ``chunks`` is an array of ``(seq, member, onset, end, is_cont)``; the result an array of
-    ``(start, end)``.  A continuing chunk waits at its end; a chunk that starts there continues
-    the one that began to wait last.
-    """
-    wait_type = "array<struct<id:int,at:int,start:int>>"
-    done_type = "array<struct<start:int,end:int>>"
-    empty = lambda t: F.expr(f"cast(array() as {t})")
-    latest = lambda wait, at: F.try_element_at(F.filter(wait, lambda e: e["at"] == at), F.lit(-1))
-    without = lambda wait, e: F.filter(wait, lambda other: e["id"].isNull() | (other["id"] != e["id"]))
-    note = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
-
-    def take(state, c):
-        hit = latest(state["wait"], c["onset"])
-        start = F.coalesce(hit["start"], c["onset"])
-        rest = without(state["wait"], hit)
-        cont = c["is_cont"] == 1
-        waiting = F.array(F.struct(state["n"].alias("id"), c["end"].alias("at"), start.alias("start")))
-        return F.struct(
-            F.when(cont, F.concat(rest, waiting)).otherwise(rest).alias("wait"),
-            F.when(cont, state["done"]).otherwise(F.concat(state["done"], note(start, c["end"]))).alias("done"),
-            (state["n"] + 1).alias("n"))
-
-    opening = F.struct(empty(wait_type).alias("wait"), empty(done_type).alias("done"), F.lit(0).alias("n"))
-    paired = F.aggregate(F.array_sort(chunks), opening, take)
-
-    def rejoin(state, _):
-        # A chunk may come later in the text than the one that continues it.
-        n = F.size(state["done"])
-        held = F.transform(state["done"], lambda d: F.exists(state["wait"], lambda e: e["at"] == d["start"]))
-        i = F.array_position(held, F.lit(True)).cast("int")
-        d = F.try_element_at(state["done"], F.nullif(i, F.lit(0)))
-        hit = latest(state["wait"], d["start"])
-        moved = F.concat(F.slice(state["done"], F.lit(1), i - 1), F.slice(state["done"], i + 1, n),
-                         note(hit["start"], d["end"]))
-        return F.when(i == 0, state).otherwise(F.struct(
-            without(state["wait"], hit).alias("wait"), moved.alias("done"), state["n"].alias("n")))
-
-    settled = F.aggregate(F.sequence(F.lit(0), F.size(paired["wait"])), paired, rejoin)
-    return F.concat(settled["done"], F.transform(settled["wait"], lambda e: F.struct(
-        e["start"].alias("start"), e["at"].alias("end"))))
-
-
-def stitch_continuations(members: DataFrame) -> DataFrame:
-    """JON5: rejoin the chunks of long notes.
-
-    Within a voice (piece, track, pitch, velocity) rows are cut into islands that no waiting
-    chunk reaches over.  An island that is a plain chain - nearly all are - is its first start
-    and last end; only in ambiguous islands are chunks paired one by one.  A voice holds at
-    most one row per tick and duration, so its size is bounded by the time limit.
+
+def stitch_continuations(members: DataFrame, block_ticks: int = VOICE_BLOCK) -> DataFrame:
+    """JON5: rejoin the chunks of long notes.
+
+    Within a voice (piece, track, pitch, velocity) a chunk that continues waits at its end, and a chunk that begins there
+    takes the one that began to wait last.  Voices are dealt out in blocks of ticks; a block gives its whole notes, and
+    summaries of the runs of chunks that reach into other blocks, which are put together per voice.
     """
-    rows = members.withColumn("end", F.col("onset") + F.col("duration"))
-    voice = Window.partitionBy(*VOICE).orderBy("onset", "seq", "member")
-    reach = F.max(F.when(F.col("is_cont") == 1, F.col("end"))).over(
-        voice.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag(F.struct("end", "is_cont", "seq", "member")).over(voice)
-    fresh = reach.isNull() | (F.col("onset") > reach)
-    linked = (before["end"] == F.col("onset")) & (before["is_cont"] == 1)
-    late = F.struct("seq", "member") < F.struct(before["seq"].alias("seq"), before["member"].alias("member"))
-    marked = rows.select(
-        *VOICE, "onset", "end", "is_cont", "seq", "member", fresh.alias("fresh"),
-        (~fresh & ~linked).alias("broken"), (~fresh & late).alias("late"))
-    alone = F.col("fresh") & F.coalesce(F.lead("fresh").over(voice), F.lit(True))
-    placed = marked.withColumns({
-        "island": F.sum(F.col("fresh").cast("int")).over(voice.rowsBetween(Window.unboundedPreceding, 0)),
-        "alone": alone})
-    chunk = F.struct(F.col("seq").cast("int").alias("seq"), F.col("member").cast("int").alias("member"),
-                     "onset", "end", "is_cont")
-    islands = placed.groupBy(*VOICE, "island").agg(
-        F.min("onset").alias("start"), F.max("end").alias("end"),
-        F.max("broken").alias("broken"), F.max("late").alias("late"),
-        F.max_by("is_cont", F.struct("onset", "seq", "member")).alias("open_end"),
-        F.collect_list(F.when(~F.col("alone"), chunk)).alias("chunks"))
-    tangled = F.col("broken") | (F.col("late") & (F.col("open_end") == 1))
-    whole = F.array(F.struct("start", "end"))
-    return islands.select(*VOICE, F.explode(
-        F.when(tangled, _last_in_first_out(F.col("chunks"))).otherwise(whole)).alias("note")
-    ).select("piece_id", "track_number", F.col("note.start").alias("start"),
-             F.col("note.end").alias("end"), "pitch", "velocity")
+    ship_package(members.sparkSession)
+    end = F.col("onset") + F.col("duration")
+    blk = lambda tick: F.floor(tick / F.lit(block_ticks)).cast("int")
+    waits = F.when(F.col("is_cont") == 1, blk(F.col("end")))
+    chunks = members.withColumn("end", end).withColumn("blk", F.explode(F.array_distinct(F.array_compact(F.array(blk(F.col("onset")), waits)))))
+    columns = [F.col(c).cast("bigint" if c == "piece_id" else "int").alias(c) for c in [*VOICE, "blk", *H.CHUNK]]
+    dealt = chunks.select(*columns).repartition(*VOICE, "blk").sortWithinPartitions(*VOICE, "blk")
+    schema = ("piece_id bigint, track_number int, pitch int, velocity int, whole boolean, start int, end int, state int, early boolean, "
+              "late boolean, from_seq int, from_member int, to_seq int, to_member int")
+    runs = stage(dealt.mapInArrow(lambda it: H.stitch_batches(it, block_ticks), schema), "runs")
+    joined = runs.filter("not whole").groupBy(*VOICE).applyInPandas(
+        H.join_fragments, "piece_id bigint, track_number int, start int, end int, pitch int, velocity int")
+    return runs.filter("whole").select(*NOTE_COLUMNS).union(joined.select(*NOTE_COLUMNS))
 
 
 def decode_tokens(tokens: DataFrame, tpq: int) -> Decoded:

@@ -218,7 +218,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
-        "doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+        "doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    known = known.filter("label = other").drop("other")  # nothing is learned from labels that contradict each other
     if held_out is not None:
         known = known.filter(~held_out)
     picked = smallest_hashes(known, "label", per_label)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from motifmill.functions.scan import ranked
 from motifmill.session import ship_package, stage
 
 
@@ -46,9 +47,9 @@ def keyed(docs: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
     docs = docs.dropDuplicates(["doc_id", "text"]).withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
     docs = docs.withColumn("none", F.col("text").isNull())
-    order = docs.select("doc_id", "h", "none").orderBy("doc_id", "h", "none")
-    numbered = order.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF("key long, d long, h string, none boolean")
-    numbered = stage(numbered, "keys").withColumnRenamed("h", "g").withColumnRenamed("none", "m")
+    # Texts are hashed again for the join, and not written.
+    numbered = stage(ranked(docs.select(F.struct("doc_id", "h", "none").alias("place")), "place", "key"), "keys")
+    numbered = numbered.select("key", F.col("place.doc_id").alias("d"), F.col("place.h").alias("g"), F.col("place.none").alias("m"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("none") == F.col("m"))
     return docs.join(numbered, same).select("key", "doc_id", "text")
 
@@ -73,9 +74,14 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     if not odd:
         return docs.withColumn(name, F.col("doc_id").cast("long")), name
     docs = stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    order = docs.select("doc_id", F.col(name).alias("was")).orderBy("doc_id", "was").rdd.zipWithIndex()
-    order = stage(order.map(lambda x: (x[0][1], x[1])).toDF("was long, place long"), "keys")
-    return docs.join(order, docs[name] == order["was"]).withColumn(name, F.col("place")).drop("was", "place"), name
+    order = docs.select(F.struct(F.col("doc_id").alias("d"), F.col(name).alias("was")).alias("at"))
+    order = ranked(order, "at", "place").select(F.col("at.was").alias("was"), "place")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return docs.join(order, docs[name] == order["was"]).select(*columns, order["place"].alias(name)), name
+
+
+#: Values whose counts are sent to every task.
+MANY_VALUES = 1 << 16
 
 
 def smallest_hashes(ids: DataFrame, by: str, each: int) -> DataFrame:
@@ -84,7 +90,9 @@ def smallest_hashes(ids: DataFrame, by: str, each: int) -> DataFrame:
     Rows whose hash is too large for that by far are left out before rows of one value meet, so a value with
     any number of rows brings a few times ``each`` together.
     """
-    counts = ids.groupBy(by).agg(F.count("*").alias("of_value"))
+    counts = stage(ids.groupBy(by).agg(F.count("*").alias("of_value")), "counts")
+    if counts.count() <= MANY_VALUES:  # so that rows of one value needn't meet before most are left out
+        counts = F.broadcast(counts)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     few = ids.join(counts, by).withColumn("place", place).filter(F.col("place") * F.col("of_value") <= 4 * each + 40)
     order = Window.partitionBy(by).orderBy("place", "doc_id")

@@ -59,7 +59,8 @@ def running(df: DataFrame, key: list[str], order: list[str], block: Column,
         **{f"_l_{n}": F.last(e, True).over(upto) for n, e in lasts.items()},
         **{f"_l_{n}": F.last(e, True).over(before) for n, e in previous.items()},
     })
-    position = F.struct(*[F.col(c) for c in order])
+    # One number as the order keeps the summary a hash aggregate: its pass over the rows sorts nothing.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     latest = {**lasts, **previous}
     summary = base.groupBy(*group).agg(
         *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],

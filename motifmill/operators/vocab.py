@@ -81,13 +81,15 @@ def mps_numbers(tokens: DataFrame) -> DataFrame:
     local = stepped.withColumn("_local", F.sum("_step").over(
         inside.rowsBetween(Window.unboundedPreceding, 0)))
 
+    # Kinds as numbers, so that the summary is a hash aggregate.
+    code = F.when(kind.isin("N", "U"), 2).when(kind == "R", 1).when(kind == "BOS", -1).otherwise(0)
     summary = stepped.groupBy("piece_id", "_block").agg(
-        F.sum("_step").alias("total"), F.min_by("type", "seq").alias("opens"),
-        F.max_by("type", "seq").alias("closes"))
+        F.sum("_step").alias("total"), F.min_by(code, "seq").alias("opens"),
+        F.max_by(code, "seq").alias("closes"))
     blocks = Window.partitionBy("piece_id").orderBy("_block")
     closed = F.lag("closes").over(blocks)
-    owed = (F.when(F.col("opens").isin("N", "U") & closed.isin(*notes), -1).otherwise(0)
-            + F.coalesce((closed == "BOS").cast("int"), F.lit(0)))
+    owed = (F.when((F.col("opens") == 2) & (closed > 0), -1).otherwise(0)
+            + F.coalesce((closed == -1).cast("int"), F.lit(0)))
     carried = summary.withColumn("_owed", owed).withColumn("_carry", F.coalesce(
         F.sum(F.col("total") + F.col("_owed")).over(blocks.rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)) + F.col("_owed")).select("piece_id", "_block", "_carry")

@@ -920,12 +920,14 @@ def _merged_round_trip(w: Workspace) -> DataFrame:
     return Z.read_corpus(w.spark, folder)
 
 
-query("bpe07_snk04_merged_corpus", "piece_id text:s", _merged_round_trip)
-query("exm01_merged_vocab", "attr:s id text:s", lambda w: w.merged_build.vocab)
-query("jon07_merged_rows", "piece_id seq evt pit dur vel trn mps", lambda w: w.merged_build.token_rows)
+MERGED = OURS_MERGES | O.merged_ctes("mg_", ROUNDS)
+query("bpe07_snk04_merged_corpus", "piece_id text:s", _merged_round_trip, LINES.format(t="mg_tokens"), MERGED)
+query("exm01_merged_vocab", "attr:s id text:s", lambda w: w.merged_build.vocab, "select * from mg_vocab", MERGED)
+query("jon07_merged_rows", "piece_id seq evt pit dur vel trn mps", lambda w: w.merged_build.token_rows, "select * from mg_rows", MERGED)
 query("jon08_merged_rows_and_back", "piece_id seq text:s",
-      lambda w: V.decode_rows(w.merged_build.token_rows, w.merged_build.vocab))
-query("exm04_merged_examples", "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps", lambda w: w.merged_build.examples)
+      lambda w: V.decode_rows(w.merged_build.token_rows, w.merged_build.vocab), "select piece_id, seq, text from mg_tokens", MERGED)
+query("exm04_merged_examples", "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps", lambda w: w.merged_build.examples,
+      "select piece_id, vp_idx, shift as pitch_shift, pos, evt, pit, dur, vel, trn, mps4 as mps from mg_shifted", MERGED)
 query("job03_merged_features", "piece_id " + " ".join(f"{c}:d" for c in X.SCALARS),
       lambda w: J.piece_features(w.merged, CORPUS.tpq)[0])
 

@@ -413,7 +413,42 @@ def erf(x: str) -> str:
     return f"(sign({x}) * least(1.0, 2 / sqrt(pi()) * exp(-({size}) * ({size})) * {terms}))"
 
 
-def vocab_ctes(x: str, p: CorpusParams) -> dict[str, str]:
+def merged_ctes(x: str, rounds: int) -> dict[str, str]:
+    """The token sequences after ``merge_ctes("")``, their vocabulary, rows and examples.
+
+    Time structure and tracks are those of the notes that were merged; among notes of one onset, tracks and ranks decide.
+    """
+    nothing = f"{NULL} as track_number, {NULL} as k, {NULL} as numer, {NULL} as denom"
+    shape = f"case when shape_id > 1 then 'U' || {shape_sql('shape')} when shape_id = 1 then 'N~' else 'N' end"
+    best = " union all ".join(f"select {r + 2} as ord, 'U' || {shape_sql('shape')} as text from m{r}_best" for r in range(rounds))
+    return {
+        f"{x}spots": f"""
+            select piece_id, onset from m{rounds}_notes union select piece_id, onset from timed where type = 'T'""",
+        f"{x}body": f"""
+            select piece_id, onset, 3 as prio, 'M' as type, {NULL} as track_number, {NULL} as k, numer, denom,
+                   'M' || {b36('numer')} || '/' || {b36('denom')} as text from bars
+            union all
+            select s.piece_id, s.onset, 4, 'P', {nothing}, 'P' || {b36('(s.onset - b.onset)')}
+            from {x}spots s asof join bars b on s.piece_id = b.piece_id and s.onset >= b.onset
+            union all
+            select piece_id, onset, 5, 'T', {nothing}, text from timed where type = 'T'
+            union all
+            select piece_id, onset, 6, case when shape_id > 1 then 'U' else 'N' end, track_number, k, {NULL}, {NULL},
+                   {shape} || ':' || {b36('pitch')} || ':' || {b36('stretch')} || ':' || {b36('velocity')} || ':' || {b36('track_number')}
+            from m{rounds}_notes""",
+        f"{x}tokens": Once(f"""
+            select b.piece_id, n_tracks + 1 + row_number() over (partition by b.piece_id order by onset, prio, track_number, k) as seq,
+                   type, numer, denom, text
+            from {x}body b join heads h on b.piece_id = h.piece_id
+            union all
+            select piece_id, seq, type, null, null, text from tokens where type in ('BOS', 'R', 'SEP')
+            union all
+            select h.piece_id, n_tracks + 2 + n, 'EOS', null, null, 'EOS'
+            from heads h join (select piece_id, count(*) as n from {x}body group by piece_id) b on h.piece_id = b.piece_id"""),
+    } | vocab_ctes(x, CORPUS, best) | example_ctes(x, 64, 64, 1)
+
+
+def vocab_ctes(x: str, p: CorpusParams, learned: str = "") -> dict[str, str]:
     numbers = lambda a, b, prefix="", step=1: (
         f"select v as ord, '{prefix}' || {b36('v')} as text from (select unnest(range({a}, {b}, {step})) as v)")
     pad = "select 0 as ord, 'PAD' as text"
@@ -422,7 +457,7 @@ def vocab_ctes(x: str, p: CorpusParams) -> dict[str, str]:
     tempo = numbers(p.tempo_min, p.tempo_max + p.tempo_step, "T", p.tempo_step)
     parts = {
         "events": ["select * from (values (0,'PAD'),(1,'BOS'),(2,'EOS'),(3,'SEP')) v(ord, text)",
-                   "select * from (values (0,'N'),(1,'N~')) v(ord, text)",
+                   "select * from (values (0,'N'),(1,'N~')) v(ord, text)", *([learned] if learned else []),
                    numbers(0, 129, "R"), numbers(0, 12 * p.tpq, "P"), used, tempo],
         "pitchs": [pad, numbers(0, 128)],
         "durations": [pad, numbers(1, p.max_duration + 1)],
@@ -435,22 +470,20 @@ def vocab_ctes(x: str, p: CorpusParams) -> dict[str, str]:
     union = " union all ".join(
         f"select '{attr}' as attr, {i} as part, ord, text from ({sql})"
         for attr, sqls in parts.items() for i, sql in enumerate(sqls))
-    look = lambda attr, value: f"(select id from {x}vocab v where v.attr = '{attr}' and v.text = {value})"
-    note = lambda i: f"case when type = 'N' then split_part(t.text, ':', {i}) end"
-    trn = f"case when type = 'N' then split_part(t.text, ':', 5) when type = 'R' then split_part(t.text, ':', 2) end"
+    note = lambda i: f"case when type in ('N', 'U') then split_part(t.text, ':', {i}) end"
+    trn = "case when type in ('N', 'U') then split_part(t.text, ':', 5) when type = 'R' then split_part(t.text, ':', 2) end"
     joins = "".join(
         f" left join {x}vocab {s} on {s}.attr = '{a}' and {s}.text = {v}"
         for s, a, v in (("ve", "events", "split_part(t.text, ':', 1)"), ("vp", "pitchs", note(2)),
                         ("vd", "durations", note(3)), ("vv", "velocities", note(4)),
                         ("vt", "track_numbers", trn)))
-    del look
     return {
         f"{x}vocab": f"""
             select attr, row_number() over (partition by attr order by part, ord) - 1 as id, text
             from ({union})""",
         f"{x}steps": f"""
             select *, case when type = 'R' then 0
-                           when type = 'N' and before in ('N', 'R') then 0 else 1 end
+                           when type in ('N', 'U') and before in ('N', 'U', 'R') then 0 else 1 end
                       + case when before = 'BOS' then 1 else 0 end as step
             from (select *, lag(type) over (partition by piece_id order by seq) as before from {x}tokens)""",
         f"{x}rows": f"""

@@ -928,8 +928,8 @@ query("jon08_merged_rows_and_back", "piece_id seq text:s",
       lambda w: V.decode_rows(w.merged_build.token_rows, w.merged_build.vocab), "select piece_id, seq, text from mg_tokens", MERGED)
 query("exm04_merged_examples", "piece_id vp_idx pitch_shift pos evt pit dur vel trn mps", lambda w: w.merged_build.examples,
       "select piece_id, vp_idx, shift as pitch_shift, pos, evt, pit, dur, vel, trn, mps4 as mps from mg_shifted", MERGED)
-query("job03_merged_features", "piece_id " + " ".join(f"{c}:d" for c in X.SCALARS),
-      lambda w: J.piece_features(w.merged, CORPUS.tpq)[0])
+# Merging changes no feature.
+query("job03_merged_features", FEATURE_SPEC, lambda w: J.piece_features(w.merged, CORPUS.tpq)[0], FEATURES.format(x=""))
 
 
 def _edges(notes: DataFrame) -> DataFrame:
@@ -1089,7 +1089,8 @@ query("exm10_primers_ticks", "piece_id seq text:s", lambda w: J.primer_tokens(w.
       """select piece_id, seq, text from timed t where type <> 'EOS' and seq < coalesce(
            (select min(seq) from timed u where u.piece_id = t.piece_id and u.onset > 100), 1000000000)""")
 query("exm10_primers_merged", "piece_id seq text:s",
-      lambda w: J.primer_tokens(w.tokens, 4, "measure", CORPUS, w.learned().shapes))
+      lambda w: J.primer_tokens(w.tokens, 4, "measure", CORPUS, w.learned().shapes),
+      "select piece_id, seq, text from pm_tokens where type <> 'EOS'", OURS_MERGES | O.primer_ctes(4, ROUNDS))
 query("exm10_primers_tokens", "piece_id seq text:s", lambda w: J.primer_tokens(w.tokens, 64, "token", CORPUS),
       "select piece_id, seq, text from tokens where seq < 64")
 

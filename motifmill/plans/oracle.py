@@ -395,6 +395,14 @@ def shape_sql(shape: str) -> str:
     return f"(select string_agg({member}, '' order by i) from (select unnest({shape}) as m, unnest(range(1, len({shape}) + 1)) as i))"
 
 
+def primer_ctes(measures: int, rounds: int) -> dict[str, str]:
+    """The first measures of each piece, merged with the shapes of ``merge_ctes("")``."""
+    return {
+        "pr_timed": f"select * from timed where measure_no <= {measures} and type <> 'EOS'",
+        "pr_bars": f"select * from bars where measure_idx < {measures}",
+    } | bpe_ctes("pr_", CORPUS) | merge_ctes("pr_", CORPUS, rounds, "pr_mn", best="") | merged_ctes("pm_", rounds, "pr_")
+
+
 def motif_ctes() -> dict[str, str]:
     """``MOTIF_SQL`` up to multi-notes."""
     own = lambda sql: sql.replace("raw_notes", "mo_raw_notes")
@@ -413,29 +421,30 @@ def erf(x: str) -> str:
     return f"(sign({x}) * least(1.0, 2 / sqrt(pi()) * exp(-({size}) * ({size})) * {terms}))"
 
 
-def merged_ctes(x: str, rounds: int) -> dict[str, str]:
-    """The token sequences after ``merge_ctes("")``, their vocabulary, rows and examples.
+def merged_ctes(x: str, rounds: int, of: str = "") -> dict[str, str]:
+    """The token sequences after ``merge_ctes(of)``, their vocabulary, rows and examples.
 
-    Time structure and tracks are those of the notes that were merged; among notes of one onset, tracks and ranks decide.
+    Time structure is that of ``{of}timed`` and ``{of}bars``; among notes of one onset, tracks and ranks decide.
     """
+    notes, timed, bars = f"{of}m{rounds}_notes", f"{of}timed", f"{of}bars"
     nothing = f"{NULL} as track_number, {NULL} as k, {NULL} as numer, {NULL} as denom"
     shape = f"case when shape_id > 1 then 'U' || {shape_sql('shape')} when shape_id = 1 then 'N~' else 'N' end"
     best = " union all ".join(f"select {r + 2} as ord, 'U' || {shape_sql('shape')} as text from m{r}_best" for r in range(rounds))
     return {
         f"{x}spots": f"""
-            select piece_id, onset from m{rounds}_notes union select piece_id, onset from timed where type = 'T'""",
+            select piece_id, onset from {notes} union select piece_id, onset from {timed} where type = 'T'""",
         f"{x}body": f"""
             select piece_id, onset, 3 as prio, 'M' as type, {NULL} as track_number, {NULL} as k, numer, denom,
-                   'M' || {b36('numer')} || '/' || {b36('denom')} as text from bars
+                   'M' || {b36('numer')} || '/' || {b36('denom')} as text from {bars}
             union all
             select s.piece_id, s.onset, 4, 'P', {nothing}, 'P' || {b36('(s.onset - b.onset)')}
-            from {x}spots s asof join bars b on s.piece_id = b.piece_id and s.onset >= b.onset
+            from {x}spots s asof join {bars} b on s.piece_id = b.piece_id and s.onset >= b.onset
             union all
-            select piece_id, onset, 5, 'T', {nothing}, text from timed where type = 'T'
+            select piece_id, onset, 5, 'T', {nothing}, text from {timed} where type = 'T'
             union all
             select piece_id, onset, 6, case when shape_id > 1 then 'U' else 'N' end, track_number, k, {NULL}, {NULL},
                    {shape} || ':' || {b36('pitch')} || ':' || {b36('stretch')} || ':' || {b36('velocity')} || ':' || {b36('track_number')}
-            from m{rounds}_notes""",
+            from {notes}""",
         f"{x}tokens": Once(f"""
             select b.piece_id, n_tracks + 1 + row_number() over (partition by b.piece_id order by onset, prio, track_number, k) as seq,
                    type, numer, denom, text

@@ -90,27 +90,21 @@ def shapes_frame(spark: SparkSession, shapes: list[tuple]) -> DataFrame:
 
 # ---- notes as multi-notes ---------------------------------------------------------------
 
-def _phrases(notes: DataFrame, gap: int) -> DataFrame:
-    """The phrase (named by its first onset) of every ``(piece, track, onset)``.
+def to_multi_notes(timed_notes: DataFrame, tpq: int) -> DataFrame:
+    """BPE1, TOP2: single notes as multi-notes of the default shapes, ranked within their phrase.
 
-    Runs on one row per tick of a track, so a group is bounded by the event time limit.
+    A phrase is named by its first onset.  Notes are dealt out by track once; phrases and ranks are windows along it,
+    and ``pack`` needs no other exchange.
     """
-    ticks = notes.groupBy("piece_id", "track_number", "onset").agg(
-        F.max(F.col("onset") + F.col("stretch")).alias("end"))
-    w = Window.partitionBy("piece_id", "track_number").orderBy("onset")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(reach.isNull() | (F.col("onset") > reach + gap), F.col("onset"))
-    return (ticks.withColumn("start", start)
-            .withColumn("phrase", F.last("start", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .select("piece_id", "track_number", "onset", "phrase"))
-
-
-def to_multi_notes(timed_notes: DataFrame, tpq: int) -> DataFrame:
-    """BPE1, TOP2: single notes as multi-notes of the default shapes, ranked within their phrase."""
     base = timed_notes.filter("type = 'N'").select(
         "piece_id", "track_number", F.col("is_cont").alias("shape_id"), "onset", "pitch",
         F.col("duration").alias("stretch"), "velocity")
-    placed = base.join(_phrases(base, tpq), ["piece_id", "track_number", "onset"])
+    track = Window.partitionBy("piece_id", "track_number").orderBy("onset")
+    # Notes of one onset begin a phrase together, whatever their order.
+    reach = F.max(F.col("onset") + F.col("stretch")).over(track.rangeBetween(Window.unboundedPreceding, -1))
+    start = F.when(reach.isNull() | (F.col("onset") > reach + tpq), F.col("onset"))
+    placed = base.withColumn("_start", start).withColumn(
+        "phrase", F.max("_start").over(track.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     order = Window.partitionBy("piece_id", "track_number", "phrase").orderBy(
         "onset", "pitch", "stretch", "shape_id", "velocity")
     return placed.withColumn("k", F.row_number().over(order)).select(*COLUMNS)

@@ -253,6 +253,11 @@ def test_sampling_takes_whole_pieces(spark):
     assert per.filter("count != all").isEmpty() and 5 < per.count() < 35
 
 
+def test_phrases_and_rows_take_one_exchange(spark):
+    plan = B.pack(as_frame(spark, random_tracks(1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(piece_id") == 1
+
+
 def test_phrases_end_at_rests(spark):
     note = lambda on, st: {"on": on, "pi": 60, "st": st, "sh": 0, "ve": 40}
     got = as_frame(spark, [[note(0, 30), note(5, 5), note(42, 3), note(58, 3)]])

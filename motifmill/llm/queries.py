@@ -99,7 +99,8 @@ def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of other labels within 80 to 100 % of an anchor's positives' scores."""
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label", "embedding")
-    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 

@@ -14,8 +14,8 @@ The product is taken in blocks, and only where a bound by size allows a link:
    left out, so the components are exact.
 4. *Bounds.* Sizes bound the overlap from above; so does the parity of the n-grams in each of 2n or
    more buckets, kept as a bitmap: sets differ in at least as many n-grams as parities.
-5. *Overlaps.* What is left is dealt out to blocks of rows times rows; a block gets the texts of its rows
-   and counts the overlap of every pair that was given to it.
+5. *Overlaps.* What is left is dealt out to blocks of rows times rows; a block gets the texts of its rows, lays
+   out their incidence with the block's n-grams and adds up, column by column, the cells of the product it was given.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.graph import components
 from motifmill.llm.tables import keyed, parts, prepare, with_key
-from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, word_hashes
+from motifmill.llm.text import STEP, mix, ranges_of, shingles_of, texts_of, tidied, word_hashes
 from motifmill.session import job, stage
 
 #: A column is busy from so many rows on, or from a power of two more if over BUSY would be.
@@ -70,16 +70,26 @@ def _parity(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def _differ(x: bytes, y: bytes) -> int:
-    """At least so many n-grams are in one set only."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2:]
-    return int(np.bitwise_count(a ^ b).sum())
+def _folded(x: np.ndarray, to: int) -> np.ndarray:
+    """Parities in ``to`` buckets from those in more."""
+    while x.shape[-1] > to:
+        x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2:]
+    return x
 
 
+def _differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """At least so many n-grams are in one set only, for each pair of parities."""
+    out = np.zeros(len(x), np.int64)
+    wide = np.array([(len(p) // 8, len(q) // 8) for p, q in zip(x, y)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(wide, axis=0).tolist():
+        at = np.flatnonzero((wide == (a, b)).all(axis=1))
+        left, right = (np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1) for z in (x, y))
+        to = min(a, b)
+        out[at] = np.bitwise_count(_folded(left, to) ^ _folded(right, to)).sum(axis=1)
+    return out
+
+
+@tidied
 def _row_batches(batches, width):
     for batch in batches:
         n, digest, parity = [], [], []
@@ -104,6 +114,7 @@ def _dealt(part, n_parts, *columns):
     return out
 
 
+@tidied
 def _count_batches(batches, width, percent, n_parts):
     """How many sets have each n-gram among twice as many of the smallest hashes as a prefix takes."""
     for batch in batches:
@@ -115,6 +126,7 @@ def _count_batches(batches, width, percent, n_parts):
                                              names=["part", "grams", "counts"])
 
 
+@tidied
 def _busy(frame: pd.DataFrame) -> pd.DataFrame:
     grams = np.frombuffer(b"".join(frame["grams"]), np.uint64)
     count = np.frombuffer(b"".join(frame["counts"]), np.uint32)
@@ -129,7 +141,7 @@ def _busy_columns(rows: DataFrame, width, percent, n_parts):
     """Sorted hashes of the busy columns and their counts: at most BUSY of them, so 16 MB."""
     counted = rows.mapInArrow(lambda b: _count_batches(b, width, percent, n_parts),
                               "part int, grams binary, counts binary")
-    busy = stage(counted.groupBy("part").applyInPandas(_busy, "gram long, rows long"), "busy")
+    busy = stage(counted.groupBy("part").applyInPandas(lambda f: _busy(f), "gram long, rows long"), "busy")
     by_size = {r["k"]: r["count"] for r in busy.groupBy(F.floor(F.log2("rows")).alias("k")).count().collect()}
     least, total = BUSY_FROM, sum(by_size.values())
     for k in sorted(by_size):
@@ -142,6 +154,7 @@ def _busy_columns(rows: DataFrame, width, percent, n_parts):
     return grams[order], found["rows"].to_numpy(np.int64)[order]
 
 
+@tidied
 def _posting_batches(batches, width, percent, n_parts, busy):
     """Prefixes with busy columns last; quiet columns by part, busy ones anywhere."""
     columns, rows = busy.value
@@ -186,6 +199,7 @@ def _narrow(values: bytes, kind) -> bytes:
     return np.frombuffer(values, kind).astype(np.uint32).tobytes()
 
 
+@tidied
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Entries of columns that more than one row has."""
     out = []
@@ -206,22 +220,18 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 def _possible(batches, percent):
     """Pairs whose parities leave room for a link."""
     for batch in batches:
-        a, b = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-        keep = [_differ(x, y) <= p + q - 2 * needed_overlap(p, q, percent)
-                for p, q, x, y in zip(a, b, batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+        differ = _differ(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())
+        yield batch.select(["a", "b"]).filter(pa.array(differ <= a + b - 2 * needed_overlap(a, b, percent)))
 
 
+@tidied
 def _block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of one block of a long list: rows of different components that may link."""
     left, right = frame[frame["side"] != 1], frame[frame["side"] != 0]
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     out = []
-    def folded(x, to):
-        while x.shape[-1] > to:
-            x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2:]
-        return x
     # Sizes alone say which rows can meet; of two widths the larger is folded to the smaller, on either side.
     by_width = {}
     wide = np.array([len(p) // 8 for p in right["parity"]])
@@ -237,8 +247,8 @@ def _block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 continue
             to = min(w, len(parity))
             if to not in bits:
-                bits[to] = folded(bits[w], to)
-            low = np.bitwise_count(bits[to][ok] ^ folded(parity, to)).sum(axis=1)
+                bits[to] = _folded(bits[w], to)
+            low = np.bitwise_count(bits[to][ok] ^ _folded(parity, to)).sum(axis=1)
             good = low <= sizes[ok] + n - 2 * needed_overlap(sizes[ok], n, percent)
             other = reps[ok][good]
             out.append(np.stack([np.minimum(rep, other), np.maximum(rep, other)], axis=1))
@@ -246,17 +256,31 @@ def _block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+@tidied
 def _overlaps(key, texts: pd.DataFrame, pairs: pd.DataFrame, width, percent) -> pd.DataFrame:
-    """The pairs of one block that link."""
+    """The pairs of one block that link: a sparse product of its rows, for the cells that were asked for."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts["text"], pa.string())], names=["text"])
-    sets = {k: g for k, (_, g) in zip(texts["rep"], _sets(batch, width))}
-    keep = []
-    for a, b in zip(pairs["a"], pairs["b"]):
-        x, y = sets[a], sets[b]
-        x, y = (x, y) if len(x) < len(y) else (y, x)
-        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        keep.append(100 * both >= percent * (len(x) + len(y) - both))
-    return pairs.loc[np.array(keep, bool), ["a", "b"]]
+    sets = [g for _, g in _sets(batch, width)]
+    size = np.array([len(g) for g in sets], np.int64)
+    first = np.cumsum(size) - size
+    columns, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    # The incidence matrix, cell by cell in order.
+    cells = np.repeat(np.arange(len(sets)), size) * len(columns) + column
+    place = pd.Series(np.arange(len(sets)), index=texts["rep"].to_numpy())
+    a, b = (place[pairs[c].to_numpy()].to_numpy(np.int64) for c in "ab")
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    both = np.zeros(len(a), np.int64)
+    ends, k = np.cumsum(size[a]), 0
+    while k < len(a):  # a bounded number of products at a time
+        j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + STEP, "right")))
+        many = size[a[k:j]]
+        pair = np.repeat(np.arange(j - k), many)
+        own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[a[k:j]][pair]
+        wanted = b[k:j][pair] * len(columns) + column[own]
+        hit = cells[np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)] == wanted
+        both[k:j] = np.bincount(pair[hit], minlength=j - k)
+        k = j
+    return pairs.loc[100 * both >= percent * (size[a] + size[b] - both), ["a", "b"]]
 
 
 class _Join:
@@ -278,7 +302,7 @@ class _Join:
         w, p, k = self.width, self.percent, self.n_parts
         dealt = source.mapInArrow(lambda b: _posting_batches(b, w, p, k, busy),
                                   "part int, grams binary, low binary, high binary, n binary, busy boolean")
-        return stage(dealt.groupBy("part").applyInPandas(_shared, "gram long, key long, n long"), "postings")
+        return stage(dealt.groupBy("part").applyInPandas(lambda f: _shared(f), "gram long, key long, n long"), "postings")
 
     def fits(self, a: str, b: str):
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)

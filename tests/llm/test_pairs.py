@@ -60,8 +60,23 @@ def test_parity_never_exceeds_difference():
     for n, m in ((10, 12), (100, 90), (900, 1000), (33, 60)):
         x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 62, m - n // 2).astype(np.uint64)]))
-        assert N._differ(N._parity(x), N._parity(y)) <= len(set(x.tolist()) ^ set(y.tolist()))
-        assert N._differ(N._parity(x), N._parity(x)) == 0
+        low = N._differ([N._parity(x), N._parity(y), N._parity(x)], [N._parity(y), N._parity(x), N._parity(x)])
+        assert low[0] == low[1] <= len(set(x.tolist()) ^ set(y.tolist())) and low[2] == 0
+
+
+def test_overlaps_of_a_block():
+    """The cells asked for, next to sets; empty texts and texts that are asked for often among them."""
+    import pandas as pd
+    rng = random.Random(8)
+    base = words(rng, 40).split()
+    texts = ["", "a"] + [" ".join(w if rng.random() > 0.03 else "x" for w in base[: rng.randint(20, 40)]) for _ in range(40)]
+    frame = pd.DataFrame({"rep": [10 * k for k in range(len(texts))], "text": texts})
+    pairs = pd.DataFrame([(10 * i, 10 * j) for i in range(len(texts)) for j in range(i)], columns=["a", "b"])
+    sets = {10 * k: grams(t, 3) for k, t in enumerate(texts)}
+    want = {(a, b) for a, b in pairs.itertuples(index=False) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    found = N._overlaps((0,), frame, pairs, 3, 60)
+    assert set(found.itertuples(index=False, name=None)) == want and len(want) > 50
+    assert N._overlaps((0,), frame, pairs.iloc[:0], 3, 60).empty
 
 
 @pytest.mark.parametrize("percent, sizes", [(80, (32, 33)), (80, (33, 32)), (80, (30, 36)), (40, (32, 70)), (40, (70, 32))])

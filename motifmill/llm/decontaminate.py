@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.tables import prepare
-from motifmill.llm.text import ranges_of, texts_of
+from motifmill.llm.text import ranges_of, texts_of, tidied
 
 #: Bytes of benchmark text that are sent to the executors at once; more is searched in turns.
 SLICE = 8 << 20
@@ -248,6 +248,7 @@ def _found(batch, items: Items):
             yield i + r, t, d, words
 
 
+@tidied
 def _search(batches, items):
     held = items.value
     for batch in batches:
@@ -294,6 +295,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float =
     """The rows of ``docs`` in which no item is found, with all their columns."""
     prepare(docs.sparkSession)
 
+    @tidied
     def clean(batches, items):
         for batch in batches:
             texts = batch.select(["text"])

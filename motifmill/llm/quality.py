@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from motifmill.llm.tables import prepare, smallest_hashes
-from motifmill.llm.text import STEP, ranges_of, texts_of
+from motifmill.llm.text import STEP, ranges_of, texts_of, tidied
 
 WIDTH, FILTERS, EMBEDDING = 8, 16, 6
 #: Bytes of half a chunk; chunks overlap by a half.  Zero bytes before and after each text.
@@ -240,6 +240,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     docs = docs.drop("quality_score")
     model = docs.sparkSession.sparkContext.broadcast(network)
 
+    @tidied
     def run(batches):
         for batch in batches:
             found = model.value.scores(*texts_of(batch.column("text")))
@@ -254,6 +255,7 @@ def keep_good(docs: DataFrame, network: Network, least: float = 0.3) -> DataFram
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)
 
+    @tidied
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(model.value.scores(*texts_of(batch.column("text"))) >= least))

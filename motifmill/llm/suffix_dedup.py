@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.tables import asked_for, keyed, parts, prepare, with_key
-from motifmill.llm.text import STEP, Rolling, mix, ranges_of, texts_of
+from motifmill.llm.text import STEP, Rolling, mix, ranges_of, texts_of, tidied
 from motifmill.session import job, stage
 
 #: Bits of a window's packed key that hold its place in a slice; the rest orders triggers.
@@ -96,6 +96,7 @@ def _cut_slice(data, bounds, row0, shift, length, trigger):
     return [row + row0, first - base + shift, last - base + shift, grams[place], phrase]
 
 
+@tidied
 def _parse_batches(batches, length, trigger, n_parts):
     """Per batch: the earliest occurrence of each phrase, by range of triggers, and the repeats."""
     for batch in batches:
@@ -155,6 +156,7 @@ def _join_spans(s):
     return out
 
 
+@tidied
 def _settle(frame: pd.DataFrame) -> pd.DataFrame:
     """One range of triggers: spans repeated as a whole (kind 0), phrases to look into (kind 1)."""
     spans = [np.frombuffer(b"".join(frame["spans"]), _SPAN)]
@@ -179,6 +181,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+@tidied
 def _phrases(batches, length):
     """Cut the phrases to look into out of their documents."""
     for batch in batches:
@@ -200,6 +203,7 @@ def _phrases(batches, length):
             names=["grp", "way", "key", "start", "phrase", "ways"])
 
 
+@tidied
 def _sort_suffixes(batches, length):
     """Sort the phrase suffixes of whole triggers; all but the first of equals are repeated.
 
@@ -257,7 +261,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, trigger: int = 32) -> D
     parsed = docs.mapInArrow(lambda b: _parse_batches(b, length, trigger, n_parts),
                              "part int, keys binary, spans binary")
     settled = stage(parsed.groupBy("part").applyInPandas(
-        _settle, "key long, start long, stop long, grp long, ways int"), "parse")
+        lambda f: _settle(f), "key long, start long, stop long, grp long, ways int"), "parse")
     look = settled.filter("grp >= 0")
     some, _ = asked_for(docs, "key", look)
     look = look.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "grp", "ways")).alias("wanted"))
@@ -290,6 +294,7 @@ def _whole_characters(text: bytes, spans):
             yield start, stop
 
 
+@tidied
 def _remove(batches, length, as_text):
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
@@ -353,6 +358,7 @@ def without_repeats(docs: DataFrame, length: int = 100, trigger: int = 32) -> Da
     if "n_chars" in names:
         rest = rest.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType))
 
+    @tidied
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))

@@ -14,11 +14,11 @@ BATCH_BYTES = 8 << 20
 _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """What Python tasks need: the package on the workers, and batches of bounded size."""
     ship_package(spark)
     if spark.conf.get(_SETTING, None) == _DEFAULT:
-        spark.conf.set(_SETTING, BATCH_BYTES)
+        spark.conf.set(_SETTING, batch_bytes)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,9 @@ callers go through a batch in steps of ``STEP`` bytes, whatever the length of it
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,34 @@ def _give_back() -> None:
 
 
 _C = ctypes.CDLL(None)
+#: Seconds between two times that a worker gives memory back after a piece of work.
+_PAUSE = 0.25
+_last = [0.0]
+
+
+def tidied(work):
+    """``work`` on a group or on batches; what it has freed goes back to the system when it is done.
+
+    A worker outlives its task and waits for others beside new ones, so what it holds by then counts.
+    """
+    def done():
+        if time.monotonic() - _last[0] > _PAUSE:
+            _give_back()
+            _last[0] = time.monotonic()
+
+    def batches(found):
+        yield from found
+        del found
+        _give_back()
+
+    @functools.wraps(work)
+    def run(*args, **more):
+        found = work(*args, **more)
+        if inspect.isgenerator(found):
+            return batches(found)
+        done()
+        return found
+    return run
 
 
 def texts_of(column) -> tuple[np.ndarray, np.ndarray]:

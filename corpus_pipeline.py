@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from motifmill.llm import bpe_automaton, decontaminate, ngram_join, quality, suffix_dedup
 from motifmill.llm.queries import vocabulary
+from motifmill.llm.tables import prepare
 from motifmill.session import stage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network doesn't reject; it learns from the labels of these documents."""
+    """Documents that the quality network doesn't reject; it learns from the labels of these documents.
+
+    As the first stage it asks for smaller batches than single operators do: what one session's workers and caches hold adds up.
+    """
+    prepare(spark, batch_bytes=4 << 20)
     network = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, network)
 
@@ -43,7 +48,7 @@ STAGES = [
     ("bpe encoding and decoding", tokens),
 ]
 
-#: The classifier, the samples of embeddings and the merges are beyond SQL.
+#: The classifier, the search with edits and the merges are beyond SQL.
 ORACLE_SQL = None
 
 

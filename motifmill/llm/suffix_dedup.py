@@ -157,7 +157,7 @@ def _join_spans(s):
 
 
 @tidied
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+def _settle(frame: pd.DataFrame, group: int) -> pd.DataFrame:
     """One range of triggers: spans repeated as a whole (kind 0), phrases to look into (kind 1)."""
     spans = [np.frombuffer(b"".join(frame["spans"]), _SPAN)]
     keys = np.frombuffer(b"".join(frame["keys"]), _SENT)
@@ -177,7 +177,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
         "start": np.concatenate([s["start"], look["start"].astype(np.int64)]),
         "stop": np.concatenate([s["stop"], look["start"].astype(np.int64) + look["more"] + 1]),
         "grp": np.concatenate([np.full(len(s), -1), (int(frame["part"].iloc[0]) << 32) + look["anchor"].astype(np.int64)]),
-        "ways": np.concatenate([np.zeros(len(s), np.int32), -(-weight // GROUP)]).astype(np.int32),
+        "ways": np.concatenate([np.zeros(len(s), np.int32), -(-weight // group)]).astype(np.int32),
     })
 
 
@@ -204,7 +204,7 @@ def _phrases(batches, length):
 
 
 @tidied
-def _sort_suffixes(batches, length):
+def _sort_suffixes(batches, length, group):
     """Sort the phrase suffixes of whole triggers; all but the first of equals are repeated.
 
     Triggers are hashed to partitions, so a partition's suffixes are sorted in one go, in steps.
@@ -218,7 +218,7 @@ def _sort_suffixes(batches, length):
     i = 0
     while i < len(edges) - 1:
         # Whole groups, a bounded number of phrases at a time.
-        j = max(i + 1, int(np.searchsorted(edges, edges[i] + GROUP, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + group, "right")) - 1)
         part = frame.iloc[edges[i]: edges[j]]
         yield from _repeats(part, length)
         i = j
@@ -252,23 +252,24 @@ def _repeats(part, length):
                                          names=["key", "start", "stop"])
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, trigger: int = 32) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, trigger: int = 32, group: int = GROUP) -> DataFrame:
     """(key, start, stop): starts of the ``length``-byte strings of ``docs`` (key, text) that also
     start earlier, as half-open runs.  Earlier means a smaller key, or the same and a smaller start.
+    At most ``group`` phrases are sorted at once; the result doesn't depend on it.
     """
     spark = docs.sparkSession
     n_parts = 2 * parts(spark)
     parsed = docs.mapInArrow(lambda b: _parse_batches(b, length, trigger, n_parts),
                              "part int, keys binary, spans binary")
     settled = stage(parsed.groupBy("part").applyInPandas(
-        lambda f: _settle(f), "key long, start long, stop long, grp long, ways int"), "parse")
+        lambda f: _settle(f, group), "key long, start long, stop long, grp long, ways int"), "parse")
     look = settled.filter("grp >= 0")
     some, _ = asked_for(docs, "key", look)
     look = look.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "grp", "ways")).alias("wanted"))
     phrases = some.join(look, "key").mapInArrow(
         lambda b: _phrases(b, length), "grp long, way int, key long, start long, phrase binary, ways int")
     sorted_ = phrases.repartition(parts(spark), "grp", "way").mapInArrow(
-        lambda b: _sort_suffixes(b, length), "key long, start long, stop long")
+        lambda b: _sort_suffixes(b, length, group), "key long, start long, stop long")
     return settled.filter("grp < 0").select("key", "start", "stop").union(sorted_)
 
 
@@ -316,7 +317,7 @@ def _remove(batches, length, as_text):
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_text: bool = True, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per document of ``docs`` (doc_id, text).
 
     ``kept`` is what is left of the text, with spans shrunk to whole characters; without
@@ -327,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
     """
     prepare(docs.sparkSession)
     rows = keyed(docs)
-    runs = _runs(rows.select("key", "text"), length, trigger)
+    runs = _runs(rows.select("key", "text"), length, trigger, group)
     some, rest = asked_for(rows, "key", runs)
     text = F.coalesce("text", F.lit(""))
     rest = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -337,10 +338,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, trigger: int = 32, as_tex
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept string").union(rest)
 
 
-def _runs(rows: DataFrame, length: int, trigger: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, trigger: int, group: int = GROUP) -> DataFrame:
     """(key, runs) of the texts that have repeats, written; what led to it is dropped."""
     with job(rows.sparkSession):
-        found = repeated_windows(rows, length, trigger).groupBy("key").agg(
+        found = repeated_windows(rows, length, trigger, group).groupBy("key").agg(
             F.collect_list(F.struct("start", "stop")).alias("runs"))
         return stage(found, "runs", outlives_job=True)
 

@@ -130,13 +130,33 @@ def repeats(rows, length):
 
 
 @pytest.mark.parametrize("length, trigger, group", [(20, 8, 4096), (24, 6, 2), (100, 32, 4096)])
-def test_remove_repeats(spark, docs_of, corpus, monkeypatch, length, trigger, group):
-    monkeypatch.setattr(S, "GROUP", group)
+def test_remove_repeats(spark, docs_of, corpus, length, trigger, group):
     rows = corpus + [(1000, "ab" * 300), (1001, "x" + "ab" * 90 + "\x00" * 60), (1002, "\x00" * 90)]
-    found = S.remove_repeats(docs_of(rows), length, trigger, as_text=False).collect()
+    found = S.remove_repeats(docs_of(rows), length, trigger, as_text=False, group=group).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in found} == repeats(rows, length)
 
 
+def test_busy_triggers_are_split(spark, docs_of):
+    """One passage in many contexts: its trigger's phrases take several ways, and a trigger's ways are sorted apart."""
+    rng = random.Random(6)
+    line = words(rng, 30)
+    rows = [(i, f"{words(rng, 6)} {line} {words(rng, 6)}") for i in range(140)]
+    ways = []
+    settle = S._settle
+    try:
+        S._settle = lambda frame, group: ways.append(settle(frame, group)["ways"].max()) or settle(frame, group)
+        import pyarrow as pa
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["key", "text"])
+        parts = pa.Table.from_batches(S._parse_batches(iter([batch]), 40, 8, 2)).to_pandas()
+        for _, frame in parts.groupby("part"):
+            S._settle(frame, 16)
+    finally:
+        S._settle = settle
+    assert max(ways) > 1
+    found = S.remove_repeats(docs_of(rows), 40, 8, as_text=False, group=16).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in found} == repeats(rows, 40)
+
+
 def test_long_text_in_slices(spark, docs_of, monkeypatch):
     from motifmill.llm import text as X
     rng = random.Random(4)

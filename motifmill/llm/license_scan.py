@@ -9,6 +9,7 @@ have been put in or left out, and a span counts if it holds enough of the notice
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -73,7 +74,9 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text, with A-Z in lower case and other letters as they are."""
+    folded = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def _templates() -> str:
 
 
 OP5 = rf"""
-with words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+with words as (select doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 pairs as (select doc_id, i - 1 p, w[i] x, w[i + 1] y from (select doc_id, w, unnest(range(1, len(w))) i from words)),
 votes as (select doc_id, t, label, phrase, seeds, length, p - q d, count(*) votes, min(p) a, max(p) + 1 b
   from pairs join {_templates()} using (x, y) group by all),

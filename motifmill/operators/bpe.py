@@ -258,13 +258,12 @@ def unpack(phrases: DataFrame) -> DataFrame:
 
 def _divided(multi_notes: DataFrame, rules: H.Rules, chunk: int):
     """Phrases that are one row each (with their pairs and the counts of these), and a part for the longer ones."""
-    phrases = pack(multi_notes, chunk).persist(StorageLevel.MEMORY_AND_DISK)
+    phrases = stage(pack(multi_notes, chunk), "phrases")
     of_long = (F.col("chunk") > 0) | (F.size("k") >= chunk)
-    blocks = stage(phrases.filter(of_long), "blocks")
-    part = None
+    blocks, part = phrases.filter(of_long), None
     if not blocks.isEmpty():
         part = Blocks(blocks) if rules.limits.neighbours is not None else Stream(lay_out(unpack(blocks)))
-    return phrases, phrases.filter(~of_long), part
+    return phrases.filter(~of_long), part
 
 
 def _summed_changes(state: DataFrame) -> DataFrame:
@@ -371,7 +370,7 @@ def apply_shapes(multi_notes: DataFrame, learned: list[tuple], gap: int,
         plan.append((i, splits_of(shapes[i], known)))
         known[shapes[i]] = i
     plan = [(i, targets) for i, targets in plan if len(targets)]
-    _, phrases, long = _divided(multi_notes, rules, chunk)
+    phrases, long = _divided(multi_notes, rules, chunk)
     merged = unpack(phrases.mapInArrow(lambda it: H.merge_all(it, plan, rules, include_last), _ROW))
     if long is None:
         return merged
@@ -418,13 +417,13 @@ def learn(multi_notes: DataFrame, tpq: int, b: BpeParams, chunk: int = CHUNK) ->
     ship_package(spark)
     shapes = list(DEFAULT_SHAPES)
     rules = H.Rules(M.ShapeBounds.of(shapes), b.adjacency, tpq, b.limits)
-    packed, phrases, long = _divided(multi_notes, rules, chunk)
+    phrases, long = _divided(multi_notes, rules, chunk)
     survey = lambda rows, rules: rows.mapInArrow(lambda it: H.first_survey(it, rules), _STATE)
     named = lambda keys: _name_pairs(keys, shapes_frame(spark, shapes).select("shape_id", "shape"), b.limits)
     keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
     state = keep(survey(phrases, rules))
     counts = named(_summed_changes(state))
-    log, held = [], [packed, state]
+    log, held = [], [state]
     for iteration in range(b.iterations):
         began = perf_counter()
         if b.sampling_rate < 1:

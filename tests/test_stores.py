@@ -115,6 +115,26 @@ def test_an_export_goes_on_where_it_was_broken_off(spark, arrays, tmp_path):
     assert rows(E.damaged_shards(spark, whole), *E.SHARD) == [(32, 0)]
 
 
+def test_a_wave_reads_its_own_examples(spark, arrays, tmp_path, monkeypatch):
+    """Waves don't read what other waves write; the examples are placed once, and come out whole."""
+    seen, table = [], E.stage
+
+    def staged(df, name="stage", **more):
+        out = table(df, name, **more)
+        seen.append((name, out))
+        return out
+
+    monkeypatch.setattr(E, "stage", staged)
+    manifest = E.export_examples(arrays, str(tmp_path), P, 6000, 16, wave=4)
+    assert bare(E.read_shards(spark, str(tmp_path))) == rows(arrays, *KEYS)
+    assert [name for name, _ in seen].count("placed") == 1 and "wave" not in dict(seen)
+    waves, n = dict(seen)["waves"], manifest.count()
+    own = waves.filter(F.col("_wave") == 1)._jdf.queryExecution().executedPlan().toString()
+    assert "(_wave" in own.split("PartitionFilters: [")[1].split("]")[0]
+    assert waves.count() == 500 and waves.select(*E.SHARD, "_wave").distinct().count() == n
+    assert rows(waves.groupBy("_wave").agg(F.countDistinct(*E.SHARD).alias("n")), "n")[-1] == (4,)
+
+
 def test_export_of_nothing(spark, arrays, tmp_path):
     assert E.export_examples(arrays.limit(0), str(tmp_path), P).isEmpty()
 

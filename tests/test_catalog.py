@@ -59,3 +59,12 @@ def test_merged_corpus_through_rows(spark, folder):
     assert {(r.piece_id, r.seq): r.text for r in run("jon08_merged_rows_and_back").collect()} == texts
     lines = {r.piece_id: r.text.split(" ") for r in run("bpe07_snk04_merged_corpus").collect()}
     assert {(p, k): t for p, line in lines.items() for k, t in enumerate(line)} == texts
+
+
+def test_running_time_is_found_once(spark, folder, monkeypatch):
+    """Queries on decoded notes and queries on multi-notes share the stored running time."""
+    named, table = [], catalog.stage
+    monkeypatch.setattr(catalog, "stage", lambda df, name="stage", **more: named.append(name) or table(df, name, **more))
+    w = catalog.Workspace(spark, folder)
+    assert w.decoded.notes.count() > 0 and w.multi_notes.count() > 0
+    assert named.count("timed") == 1

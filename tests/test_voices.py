@@ -88,3 +88,18 @@ def test_text_order_decides_over_time(spark):
     found = stitched(spark, {(0, 0, 60, 64): [(0, 1, 12, 2, 0), (1, 0, 6, 6, 1)], (0, 0, 61, 64): [(0, 1, 12, 2, 1), (1, 0, 6, 6, 1)]}, 8)
     assert found == {(0, 0, 60, 64): [(6, 14)], (0, 0, 61, 64): [(6, 12), (12, 14)]}
     assert rows(D.stitch_continuations(spark.createDataFrame([(0, 0, 0, 0, 64, 5, 60, 0, 0)], SCHEMA)), "start", "end") == [(5, 5)]
+
+
+def test_members_of_tokens(spark):
+    """Single notes and shapes, pitches out of range and notes without a length; single notes need no lists."""
+    kinds = [("N", None, 60, 4, 0), ("N", None, 61, 9, 1), ("U", "0,0,1;2,5,1~;", 62, 3, 0), ("U", "0,0,1;1,99,2;", 63, 2, 0),
+             ("U", None, 64, 5, 1), ("N", None, 128, 4, 0), ("N", None, -1, 4, 0), ("N", None, 65, None, 1), ("P", None, 66, 4, 0)]
+    timed = spark.createDataFrame([(1, k, 2, 80, 10 * k, *row) for k, row in enumerate(kinds)],
+                                  "piece_id bigint, seq int, track_number int, velocity int, onset int, type string, shape string, "
+                                  "pitch int, duration int, is_cont int")
+    found = D.token_members(timed)
+    assert [tuple(r) for r in found.orderBy("seq", "member").select("seq", "member", "onset", "pitch", "duration", "is_cont").collect()] == [
+        (0, 0, 0, 60, 4, 0), (1, 0, 10, 61, 9, 1), (2, 0, 20, 62, 3, 0), (2, 1, 26, 67, 3, 1), (3, 0, 30, 63, 2, 0),
+        (4, 0, 40, 64, 5, 1), (7, 0, None, 65, None, 1)]
+    plan = timed.sparkSession._jvm.PythonSQLUtils.explainString(D.token_members(timed)._jdf.queryExecution(), "simple")
+    assert "Union" in plan and plan.count("Generate") == 1

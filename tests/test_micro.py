@@ -65,6 +65,12 @@ def test_gcd_of(spark, values):
     assert value(spark, S.gcd_of(F.array(*(F.lit(v) for v in values)))) == math.gcd(*values)
 
 
+@pytest.mark.parametrize("values", [(1000, 48, 96), (48, 1000), (127, 127), (2**40, 0, 127), (0, 5, 0)])
+def test_gcd_of_small_values_takes_no_divisions(spark, monkeypatch, values):
+    monkeypatch.setattr(S.F, "sequence", lambda *_: F.array(F.raise_error(F.lit("divided")).cast("int")))
+    assert value(spark, S.gcd_of(F.array(*(F.lit(v) for v in values)))) == math.gcd(*values)
+
+
 def test_forty_two_time_signatures(spark):
     s = S.supported_time_signatures(spark)
     assert s.count() == 42 and s.agg(F.max("length")).first()[0] == 144

@@ -50,6 +50,16 @@ def test_numbered_tokens_spell_the_corpus(one_big_piece):
     assert ends.filter("n != top + 1 or n != d").isEmpty()
 
 
+def test_stored_blocks_and_times_hold_no_text(one_big_piece):
+    build = J.build_corpus(one_big_piece, CORPUS)
+    tokens = stage(build.tokens)
+    assert "text" not in build.blocks.columns and "text" in tokens.columns
+    timed = J.timed_tokens(tokens, CORPUS.tpq)
+    assert "Exchange" in (plan := timed._jdf.queryExecution().executedPlan().toString()) and "text" not in plan
+    both = K.running_time(tokens, CORPUS.tpq).drop("text")
+    assert timed.columns == both.columns and timed.exceptAll(both).isEmpty() and both.exceptAll(timed).isEmpty()
+
+
 def test_scans_do_not_depend_on_their_block(one_big_piece, monkeypatch):
     tokens = stage(J.build_corpus(one_big_piece, CORPUS).tokens)
 

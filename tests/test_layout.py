@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from motifmill.functions import scan
-from motifmill.operators import decode as D, features as X, tokens as K, verify as Y, vocab as V
+from motifmill.operators import cleaning as C, decode as D, features as X, tokens as K, verify as Y, vocab as V
 from motifmill.params import CORPUS
 from motifmill.plans import jobs as J
 from motifmill.session import stage
@@ -60,6 +60,19 @@ def test_stored_blocks_and_times_hold_no_text(one_big_piece):
     assert timed.columns == both.columns and timed.exceptAll(both).isEmpty() and both.exceptAll(timed).isEmpty()
 
 
+def test_small_sides_leave_notes_and_blocks_in_place(spark, one_big_piece):
+    build = J.build_corpus(one_big_piece, CORPUS)
+    blocks, tracks, track_map = stage(build.blocks), stage(build.tracks), stage(build.track_map)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        for column, frame in (("blk#", K.number_tokens(blocks, tracks)), ("track_idx#", C.quantised_notes(one_big_piece, track_map, CORPUS))):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.split("\n") if "Join [piece_id#" in line and column in line]
+            assert joins and all("BroadcastHashJoin" in line for line in joins), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scans_do_not_depend_on_their_block(one_big_piece, monkeypatch):
     tokens = stage(J.build_corpus(one_big_piece, CORPUS).tokens)
 

@@ -1,7 +1,9 @@
 """Merging against a plain re-implementation on small tracks, and laws of the whole loop."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
@@ -203,6 +205,76 @@ def test_many_shapes_cost_what_they_touch(spark):
     assert all(len(t) for _, t in plan) and len(looked_at) <= 2 * len(learned) + len(batches)
 
 
+def crowd(n, ticks, seed=5):
+    """Notes of one phrase as the kernels have them, many of them at each tick."""
+    rng = np.random.default_rng(seed)
+    notes = np.stack([np.arange(1, n + 1), rng.integers(0, 2, n), np.sort(rng.integers(0, ticks, n)), rng.integers(30, 90, n),
+                      rng.integers(1, 49, n), rng.integers(0, 32, n)])
+    return notes, np.zeros(n, np.int64)
+
+
+@pytest.mark.parametrize("limit", [2, 126, None])
+def test_neighbours_of_a_crowd_are_those_of_a_walk(limit):
+    """Ranges of neighbours next to a walk from each note to the right; phrases of one note and of none too."""
+    (notes, _), phrase = crowd(300, 400), np.repeat([0, 1, 2, 3], [1, 149, 30, 120])
+    onset, end = notes[H.ONSET].copy(), notes[H.ONSET] + notes[H.STRETCH]
+    pairs, cut = [], []
+    for i in range(len(onset)):
+        found, follow = [], None
+        for j in range(i + 1, len(onset)):
+            if phrase[j] != phrase[i]:
+                break
+            if onset[j] >= end[i]:
+                follow = onset[j] if follow is None else follow
+                if onset[j] != follow or onset[j] > end[i] + GAP:
+                    break
+            found.append((i, j))
+        pairs += found[:limit]
+        cut += [i] if limit is not None and len(found) > limit else []
+    left, right, short = M.neighbours(onset, end, phrase, GAP, limit)
+    assert list(zip(left.tolist(), right.tolist())) == pairs and short.tolist() == cut
+    assert [x.size for x in M.neighbours(onset[:0], end[:0], phrase[:0], GAP, limit)] == [0, 0, 0]
+    rules = H.Rules(M.ShapeBounds.of(B.DEFAULT_SHAPES), "ours", GAP, Limits(neighbours=limit))
+    surveyed = H.survey(notes, phrase, rules)
+    final = {a: b for a, b in pairs}
+    same = [(a, b) for a, b in pairs if notes[H.VELOCITY][a] == notes[H.VELOCITY][b]]
+    assert list(zip(surveyed.left.tolist(), surveyed.right.tolist())) == same
+    assert surveyed.last.tolist() == [final[a] == b for a, b in same] and surveyed.totals[:3] == [len(pairs), 300, len(cut)]
+
+
+def test_a_survey_takes_what_notes_and_pairs_of_equal_velocity_take():
+    """Neighbours of other velocities, most of a dense phrase's, are counted and not formed."""
+    notes, phrase = crowd(6000, 400)
+    rules = H.Rules(M.ShapeBounds.of(B.DEFAULT_SHAPES), "ours", GAP, Limits())
+    tracemalloc.start()
+    try:
+        found = H.survey(notes, phrase, rules)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.totals[0] > 100 * 6000 and len(found.left) < 6000 * 6
+    assert peak < 8 * (40 * 6000 + 30 * len(found.left))
+
+
+def test_batches_are_looked_at_in_slices(spark, monkeypatch):
+    """However many phrases a batch has, a survey is of so many notes; the counts stay those of the batch."""
+    notes = as_frame(spark, random_tracks(8))
+    rules = H.Rules(M.ShapeBounds.of(B.DEFAULT_SHAPES), "ours", GAP, Limits())
+    batch = B.pack(notes).toArrow().combine_chunks().to_batches()[0]
+    sizes, survey = [], H.survey
+    monkeypatch.setattr(H, "survey", lambda notes, *args: sizes.append(notes.shape[1]) or survey(notes, *args))
+
+    def counts():
+        out = [b.to_pylist() for b in H.first_survey(iter([batch]), rules)]
+        change = [r["changes"] for rows in out for r in rows if r["changes"] is not None]
+        return len(change), sorted(tuple(x.values()) for x in change[0]), sum(len(rows) for rows in out)
+    whole, longest = counts(), max(len(r) for r in batch.column("k").to_pylist())
+    assert sizes == [notes.count()]
+    sizes.clear()
+    monkeypatch.setattr(H, "SLICE", longest)
+    assert counts() == whole and whole[0] == 1 and len(sizes) > 1 and max(sizes) <= longest
+
+
 def test_strict_apply_misses_the_last_neighbour(spark):
     tracks = [[{"on": 0, "pi": 60, "st": 6, "sh": 0, "ve": 40}, {"on": 6, "pi": 60, "st": 6, "sh": 0, "ve": 40}]]
     shape = B.shape_tuple("0,0,1;1,0,1;")

@@ -15,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     As the first stage it asks for smaller batches than single operators do: what one session's workers and caches hold adds up.
     """
-    prepare(spark, batch_bytes=4 << 20)
+    prepare(spark, batch_bytes=1 << 20)
     network = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, network)
 

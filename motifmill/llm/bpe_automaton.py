@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motifmill.llm.pretokens import WordTable, split
 from motifmill.llm.tables import prepare
-from motifmill.llm.text import Rolling, ranges_of, texts_of
+from motifmill.llm.text import Rolling, ranges_of, texts_of, tidied
 
 NEVER = 1 << 30
 #: Longer words take their steps alone.
@@ -257,6 +257,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, table: WordTable, special) -
     return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
+@tidied
 def _encode(batches, path, with_ids):
     automaton, table = _compiled(path)
     for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from .conftest_llm import EDGES, words
@@ -265,6 +266,29 @@ def test_items_of_few_characters_as_whole_words():
     assert set(searched(["short", "one two", "短い"], docs)) == {(0, 0), (2, 0), (4, 1), (6, 2)}
 
 
+def test_plain_words_in_pieces(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(21)
+    texts = ["", None, "Ab", "c.", *("".join(rng.choice("aB7 .éÀ　。春😀-") for _ in range(rng.randint(0, 40))) for _ in range(60)), None, ""]
+    whole, at = D.plain(pa.array(texts, pa.string()))
+    assert [whole[a:b].tobytes().decode().strip() for a, b in zip(at[:-1], at[1:])] == [
+        re.sub(r"[^0-9a-zéà春]+", " ", (t or "").lower()).strip() for t in texts]
+    for step in (1, 2, 5, 64):
+        monkeypatch.setattr(D, "STEP", step)
+        data, places = D.plain(pa.array(texts, pa.string()))
+        assert data.tobytes() == whole.tobytes() and places.tolist() == at.tolist()
+
+
+def test_plain_words_take_a_few_times_the_text():
+    import pyarrow as pa
+    column = pa.array(["Some words, of é and 春. " * 400] * 400, pa.string())
+    tracemalloc.start()
+    D.plain(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * column.nbytes
+
+
 def test_distance_within():
     rng = random.Random(3)
     for _ in range(60):

@@ -100,6 +100,17 @@ def test_pipeline_step_by_step(spark, folder, tables):
     assert docs
 
 
+def test_pipeline_asks_for_batches_of_a_megabyte(spark, docs_of, folder):
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, default)
+        corpus_pipeline.good_quality(spark, docs_of([(1, "some words")]), folder)
+        assert int(spark.conf.get(name)) <= 1 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_of_odd_rows(spark, docs_of, folder):
     from .conftest_llm import EDGES
     docs = docs_of(EDGES)

@@ -8,7 +8,7 @@ from motifmill.functions import scan
 from motifmill.operators import cleaning as C, decode as D, features as X, tokens as K, verify as Y, vocab as V
 from motifmill.params import CORPUS
 from motifmill.plans import jobs as J
-from motifmill.session import stage
+from motifmill.session import setting, stage
 from motifmill.sources.projections import raw_tables
 from motifmill.sources.raw import RawTables
 
@@ -106,3 +106,26 @@ def test_plans_read_few_columns_and_use_no_cross_join(spark, folder, one_big_pie
     assert plan.count("hashpartitioning(piece_id") == 1
     narrow = build.quantised.groupBy("piece_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<piece_id:bigint>" in narrow
+
+
+def test_side_tables_are_as_large_as_their_rows(spark):
+    """Tables with a row per piece, track or measure are no smaller on disk than their numbers, so Catalyst doesn't take millions of rows for a few kB."""
+    ids = spark.range(400).select(F.col("id").alias("piece_id"))
+    of = lambda df, spec: df.selectExpr(*spec.split("; "))
+    raw = RawTables(*(stage(p.repartition(1), "raw", plain=True) for p in (
+        of(ids, "piece_id; concat('a/', piece_id, '.mid') path; 12 ticks_per_beat"),
+        of(ids, "piece_id; explode(sequence(0, 5)) track_idx; 0 program; false is_drum"),
+        of(ids, "piece_id; explode(sequence(0, 5)) track_idx; 0 start_tick; 460 end_tick; 60 pitch; 64 velocity"),
+        of(ids, "piece_id; 0 change_idx; 0 time_tick; 4 numer; 4 denom"),
+        of(ids, "piece_id; 0 change_idx; 0 time_tick; 120.0D bpm"))))
+    build = J.build_corpus(raw, CORPUS)
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tables = {"track_map": build.track_map, "stats": build.stats, "time_sigs": build.time_sigs, "segments": build.segments,
+              "all_measures": build.all_measures, "tempos": build.tempos}
+    for name, table in tables.items():
+        full = [c for c, kind in table.dtypes if kind in ("int", "bigint") and table.filter(F.col(c).isNull()).isEmpty()]
+        assert size(table) >= table.count() * 4 * len(full), name
+    # A side of 2400 rows is above a limit of 30 kB: notes are not joined to a broadcast of it.
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "30k"):
+        plan = C.quantised_notes(raw, build.track_map, CORPUS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -1,6 +1,7 @@
 """Files by ranges of pieces, shards of training examples, digests of corpora."""
 
 import os
+import shutil
 from dataclasses import replace
 
 import pytest
@@ -135,6 +136,33 @@ def test_a_wave_reads_its_own_examples(spark, arrays, tmp_path, monkeypatch):
     assert rows(waves.groupBy("_wave").agg(F.countDistinct(*E.SHARD).alias("n")), "n")[-1] == (4,)
 
 
+def test_shards_are_read_some_at_a_time(spark, arrays, tmp_path, monkeypatch):
+    """The driver lists the files of no more than ``listed`` shards at once, whatever their number."""
+    folder, seen, staged = str(tmp_path), [], E.stage_each
+
+    def stage_each(parts, name):
+        def watched():
+            for part in parts:
+                seen.append(len(part.inputFiles()))
+                yield part
+        return staged(watched(), name)
+
+    monkeypatch.setattr(E, "stage_each", stage_each)
+    n = E.export_examples(arrays, folder, P, 6000, 16).count()
+    # What the manifest doesn't have is left out, also of shards read so.
+    E.read_shards(spark, folder).filter("bucket = 16 and shard = 0").withColumn("shard", F.lit(1000)).write.mode("append").partitionBy(*E.SHARD).parquet(f"{folder}/shards")
+    key, before = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    few = E.read_shards(spark, folder, listed=7)
+    assert sum(seen) == n > 7 and max(seen) == 7 and spark.conf.get(key) == before
+    assert len(few.inputFiles()) <= len(seen) * spark.sparkContext.defaultParallelism
+    whole = E.read_shards(spark, folder)
+    assert few.schema == whole.schema and rows(few, *whole.columns) == rows(whole, *whole.columns) and bare(few) == rows(arrays, *KEYS)
+    # A shard that is lost is left out, as in a read of all.
+    shutil.rmtree(tmp_path / "shards" / "bucket=32" / "shard=0")
+    few, whole = E.read_shards(spark, folder, listed=7), E.read_shards(spark, folder)
+    assert rows(few, *whole.columns) == rows(whole, *whole.columns) and few.count() < 500
+
+
 def test_export_of_nothing(spark, arrays, tmp_path):
     assert E.export_examples(arrays.limit(0), str(tmp_path), P).isEmpty()
 
